@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -84,19 +84,26 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64 = _BASE) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, by differences of one running polynomial."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    inverse = np.uint64(pow(int(base), -1, 1 << 64))
-    powers = np.cumprod(np.r_[np.uint64(1), np.full(len(data), base)], dtype=np.uint64)
-    back = np.cumprod(np.r_[np.uint64(1), np.full(len(data), inverse)], dtype=np.uint64)
-    sums = np.r_[np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:-1], dtype=np.uint64)]
-    return mixed((sums[ends] - sums[starts]) * back[starts] ^ mixed((ends - starts).astype(np.uint64)))
-
-
-def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64 = _BASE, step: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of the bytes of each ordered, disjoint span, by differences of a running polynomial.
+
+    About `step` bytes are taken at a time, so the working memory does not grow with the text.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    cuts = np.r_[0, np.flatnonzero(np.diff(starts // step)) + 1, len(starts)]
+    powers = back = np.ones(1, np.uint64)
+    for i, j in zip(cuts, cuts[1:]):
+        if i == j:
+            continue
+        s, e = starts[i:j] - starts[i], ends[i:j] - starts[i]
+        if len(powers) <= e[-1]:
+            inverse = np.uint64(pow(int(base), -1, 1 << 64))
+            powers = np.cumprod(np.r_[np.uint64(1), np.full(e[-1], base)], dtype=np.uint64)
+            back = np.cumprod(np.r_[np.uint64(1), np.full(e[-1], inverse)], dtype=np.uint64)
+        part = data[starts[i] : ends[j - 1]].astype(np.uint64) + np.uint64(1)
+        sums = np.r_[np.uint64(0), np.cumsum(part * powers[: len(part)], dtype=np.uint64)]
+        out[i:j] = mixed((sums[e] - sums[s]) * back[s] ^ mixed((e - s).astype(np.uint64)))
+    return out
 
 
 def words_col(text, pattern: str = r"[^\x20\x09-\x0D]+"):
