@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality, simhash
+from . import decontaminate, quality, reshard, simhash
 from .common import read
 
 
+def op2_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reshard.query(read(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -23,6 +27,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_reshard": op2_reshard,
     "op3_decontaminate": op3_decontaminate,
     "op5_quality": op5_quality,
     "op7_simhash": op7_simhash,
