@@ -4,12 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality, reshard, simhash
+from . import bpe, decontaminate, quality, reshard, simhash, tokenfile
 from .common import read
 
 
+#: The place of the tokenizer that the queries use.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.query(read(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op2_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshard.query(read(spark, sf_dir, "documents"))
 
@@ -26,11 +35,17 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(read(spark, sf_dir, "documents"))
 
 
+def op9_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.query(read(spark, sf_dir, "documents"), TOKENIZER)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
     "op2_reshard": op2_reshard,
     "op3_decontaminate": op3_decontaminate,
     "op5_quality": op5_quality,
     "op7_simhash": op7_simhash,
+    "op9_tokenfile": op9_tokenfile,
 }
 
 ORACLE_SQL: dict[str, str] = {
