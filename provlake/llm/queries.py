@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, quality, reshard, simhash, tokenfile
+from . import bpe, decontaminate, quality, reshard, simhash, suffixes, tokenfile
 from .common import read
 
 
@@ -35,6 +35,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(read(spark, sf_dir, "documents"))
 
 
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.query(read(spark, sf_dir, "documents"))
+
+
 def op9_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.query(read(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op5_quality": op5_quality,
     "op7_simhash": op7_simhash,
+    "op8_suffixes": op8_suffixes,
     "op9_tokenfile": op9_tokenfile,
 }
 
