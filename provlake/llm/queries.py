@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, quality, reshard, simhash, suffixes, tokenfile
+from . import bpe, decontaminate, quality, reshard, simhash, suffixes, tokenfile, urls
 from .common import read
 
 
@@ -31,6 +31,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.query(read(spark, sf_dir, "documents"))
 
 
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.query(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(read(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_reshard": op2_reshard,
     "op3_decontaminate": op3_decontaminate,
     "op5_quality": op5_quality,
+    "op6_urls": op6_urls,
     "op7_simhash": op7_simhash,
     "op8_suffixes": op8_suffixes,
     "op9_tokenfile": op9_tokenfile,
