@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, quality, reshard, simhash, suffixes, tokenfile, urls
+from . import bpe, decontaminate, quality, reshard, simhash, suffixes, tokenfile, transcripts, urls
 from .common import read
 
 
@@ -47,6 +47,10 @@ def op9_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.query(read(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op10_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcripts.query(read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_reshard": op2_reshard,
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash": op7_simhash,
     "op8_suffixes": op8_suffixes,
     "op9_tokenfile": op9_tokenfile,
+    "op10_transcripts": op10_transcripts,
 }
 
 ORACLE_SQL: dict[str, str] = {
