@@ -3,16 +3,51 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from provlake.llm import simhash
+from provlake.llm import bpe, decontaminate, quality, simhash, suffixes
 from provlake.llm.common import read, written
+from provlake.llm.queries import TOKENIZER
+
+
+def _recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of documents, with n_chars as their texts now have it."""
+    return docs.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in columns))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go; boilerplate lines of the others go."""
+    return _recounted(quality.filtered(docs), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
     return simhash.keep_first(docs).select(docs.columns)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages are cut from the texts; no document goes."""
+    return _recounted(suffixes.cleaned(docs), docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a window of a benchmark item go."""
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each document, with the checksums of ids and decoded text."""
+    both = bpe.decode(bpe.encode(docs, TOKENIZER), TOKENIZER)
+    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("decontamination", decontamination),
+    ("bpe", tokens),
+]
 
 #: SQL can't express the fingerprints, the suffix buckets or the tokenizer.
 ORACLE_SQL = None
