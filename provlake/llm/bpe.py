@@ -18,33 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, span_hashes, utf8
+from .packed import ROW, by_block, column_of, numbered, pack, row, rows_of, unpack, with_column
 from .tokens import decode_ids, encode_words, piece_starts, spread
 
-_ROW = "block long, part int, payload binary"
-
-
-def _row(block: int, part: int, payload: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([payload], pa.binary())], ["block", "part", "payload"])
-
-
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Unsigned 32-bit arrays, by byte planes, compressed."""
-    sizes = np.array([len(arrays), *map(len, arrays)], "<u4").tobytes()
-    planes = (np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for a in arrays)
-    return zstandard.compress(b"".join([sizes, *planes]), 3)
-
-
-def _unpack(payload: bytes) -> list[np.ndarray]:
-    raw = np.frombuffer(zstandard.decompress(payload), np.uint8)
-    n = int(raw[:4].view("<u4")[0])
-    sizes = raw[4 : 4 + 4 * n].view("<u4").astype(np.int64)
-    out, at = [], 4 + 4 * n
-    for s in sizes.tolist():
-        out.append(np.ascontiguousarray(raw[at : at + 4 * s].reshape(4, s).T).view("<u4").ravel())
-        at += 4 * s
-    return out
-
-
 def _distinct(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bytes; starts and ends of the distinct words by ascending hash; hashes; words by position; words in each row."""
     data, off = utf8(column)
@@ -54,12 +30,6 @@ def _distinct(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return data, starts[first], ends[first], keys, which, np.diff(np.searchsorted(starts, off))
 
 
-def _numbered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Blocks with numbers that a rerun over the same partition repeats."""
-    for i, batch in enumerate(blocks(batches, "text", limit)):
-        yield (batch.column("_part")[0].as_py() << 32) + i, batch
-
-
 def encode(docs: DataFrame, path: str, parts: int | None = None, limit: int = 1 << 23) -> DataFrame:
     """(doc_id, ids): one row for each row of `docs` (doc_id, text; others ignored).
 
@@ -73,7 +43,7 @@ def encode(docs: DataFrame, path: str, parts: int | None = None, limit: int = 1
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, batch in _numbered(batches, limit):
+        for block, batch in numbered(batches, limit):
             data, a, b, keys, _, _ = _distinct(batch.column("text"))
             part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
             cuts = np.searchsorted(part, np.arange(parts + 1))
@@ -81,60 +51,44 @@ def encode(docs: DataFrame, path: str, parts: int | None = None, limit: int = 1
                 i, j = cuts[p], cuts[p + 1]
                 n = b[i:j] - a[i:j]
                 at = np.arange(n.sum()) + np.repeat(a[i:j] - (np.cumsum(n) - n), n)
-                yield _row(block, p, _pack_words(n, data[at].tobytes()))
+                yield row(block, p, _pack_words(n, data[at].tobytes()))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, bytes] = {}
-        for batch in batches:
-            for block, part, payload in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "payload"))):
-                found = _unpack_words(payload)
-                new = [w for w in found if w not in known]
-                if new:
-                    known.update(zip(new, encode_words(path, new)))
-                ids = [known[w] for w in found]
-                yield _row(block, part, _pack(np.fromiter(map(len, ids), np.int64, len(ids)) // 4, np.frombuffer(b"".join(ids), "<u4")))
+        for block, part, payload in rows_of(batches):
+            found = _unpack_words(payload)
+            new = [w for w in found if w not in known]
+            if new:
+                known.update(zip(new, encode_words(path, new)))
+            ids = [known[w] for w in found]
+            yield row(block, part, pack(np.fromiter(map(len, ids), np.int64, len(ids)) // 4, np.frombuffer(b"".join(ids), "<u4")))
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, batch in _numbered(batches, limit):
+        for block, batch in numbered(batches, limit):
             _, _, _, keys, which, n = _distinct(batch.column("text"))
             order = np.argsort(-np.bincount(which, minlength=len(keys)), kind="stable")  # frequent words get small numbers
             rank = np.empty(len(keys), np.int64)
             rank[order] = np.arange(len(keys))
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.select(["doc_id"]).schema) as w:
-                w.write_batch(batch.select(["doc_id"]))
-            ids = sink.getvalue().to_pybytes()
-            yield _row(block, -1, len(ids).to_bytes(8, "little") + ids + _pack(n, order, rank[which]))
+            yield row(block, -1, with_column(batch.column("doc_id"), pack(n, order, rank[which])))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, head, got = None, None, []
-        for batch in batches:
-            for b, p, payload in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "payload"))):
-                if b != block:
-                    if head is not None:
-                        yield _assembled(head, got)
-                    if p != -1:
-                        raise RuntimeError("documents changed between two reads of the same partition")
-                    block, head, got = b, payload, []
-                else:
-                    got.append(payload)
-        if head is not None:
-            yield _assembled(head, got)
-
-    sent = docs.mapInArrow(words, _ROW).repartition(parts, "part").mapInArrow(encoded, _ROW)
-    there = docs.mapInArrow(positions, _ROW)
+        for _, head, got in by_block(batches):
+            yield _assembled(head, [x for _, x in got])
+
+    sent = docs.mapInArrow(words, ROW).repartition(parts, "part").mapInArrow(encoded, ROW)
+    there = docs.mapInArrow(positions, ROW)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return sent.union(there).repartition("block").sortWithinPartitions("block", "part").mapInArrow(joined, f"doc_id {kind}, ids binary")
 
 
 def _pack_words(n: np.ndarray, flat: bytes) -> bytes:
-    head = _pack(n)
+    head = pack(n)
     return len(head).to_bytes(4, "little") + head + zstandard.compress(flat, 3)
 
 
 def _unpack_words(payload: bytes) -> list[bytes]:
     size = int.from_bytes(payload[:4], "little")
-    (n,) = _unpack(payload[4 : 4 + size])
+    (n,) = unpack(payload[4 : 4 + size])
     flat = zstandard.decompress(payload[4 + size :])
     ends = np.cumsum(n.astype(np.int64))
     return [flat[a:b] for a, b in zip((ends - n).tolist(), ends.tolist())]
@@ -142,10 +96,9 @@ def _unpack_words(payload: bytes) -> list[bytes]:
 
 def _assembled(head: bytes, got: list[bytes]) -> pa.RecordBatch:
     """The ids of a block's rows: the words of its parts, in order of hash, joined to its positions."""
-    size = int.from_bytes(head[:8], "little")
-    doc_id = pa.ipc.open_stream(head[8 : 8 + size]).read_next_batch().column(0)
-    n, order, rank = _unpack(head[8 + size :])
-    found = [_unpack(x) for x in got]
+    doc_id, rest = column_of(head)
+    n, order, rank = unpack(rest)
+    found = [unpack(x) for x in got]
     counts = np.concatenate([x[0] for x in found] or [np.zeros(0, "<u4")]).astype(np.int64)
     if len(counts) != len(order):
         raise RuntimeError("documents changed between two reads of the same partition")

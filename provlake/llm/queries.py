@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, quality, reshard, simhash, suffixes, tokenfile, transcripts, urls
+from . import bpe, decontaminate, katz, quality, reshard, simhash, suffixes, tokenfile, transcripts, urls
 from .common import read
 
 
@@ -27,6 +27,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.query(read(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.query(read(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_reshard": op2_reshard,
     "op3_decontaminate": op3_decontaminate,
+    "op4_katz": op4_katz,
     "op5_quality": op5_quality,
     "op6_urls": op6_urls,
     "op7_simhash": op7_simhash,
