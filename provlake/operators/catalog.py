@@ -92,17 +92,18 @@ def stats(photos: DataFrame, subjects: DataFrame) -> DataFrame:
     done = F.col("status") == "complete"
     keys = [group_label(F.col(c)).alias(c) for c in GROUP_COLUMNS]
     rows = photos.select(*keys, done.alias("done"), "file_size")
-    sets = rows.groupingSets([[F.col(c)] for c in GROUP_COLUMNS] + [[]], *(F.col(c) for c in GROUP_COLUMNS)).agg(
+    sets = rows.groupingSets([[F.col(c)] for c in GROUP_COLUMNS], *(F.col(c) for c in GROUP_COLUMNS)).agg(
         F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n"), F.count_if("done").alias("n_done"), F.sum(F.when(F.col("done"), F.col("file_size"))).alias("bytes"))
     bit = {c: (1 << len(GROUP_COLUMNS)) - 1 - (1 << (len(GROUP_COLUMNS) - 1 - i)) for i, c in enumerate(GROUP_COLUMNS)}
     section, value = F.lit(None).cast("string"), F.col("n_done")
     for c, g in bit.items():
         section = F.when(F.col("g") == g, f"by_{c}").otherwise(section)
     value = F.when(F.col("g") == bit["status"], F.col("n")).otherwise(value)
-    groups = sets.where(section.isNotNull()).select(section.alias("section"), F.coalesce(*GROUP_COLUMNS).alias("k"), value.alias("n")).where("n > 0")
-    whole = sets.where(section.isNull()).select(F.explode(F.array(
+    groups = sets.select(section.alias("section"), F.coalesce(*GROUP_COLUMNS).alias("k"), value.alias("n")).where("n > 0")
+    sums = sets.where(F.col("g") == bit["status"]).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+    whole = sums.select(F.explode(F.array(
         F.struct(F.lit("photographs").alias("section"), F.lit("").alias("k"), F.col("n").alias("n")),
-        F.struct(F.lit("total_bytes").alias("section"), F.lit("").alias("k"), F.coalesce("bytes", F.lit(0)).alias("n")))).alias("r")).select("r.*")
+        F.struct(F.lit("total_bytes").alias("section"), F.lit("").alias("k"), F.col("bytes").alias("n")))).alias("r")).select("r.*")
     known = subjects.agg(F.count(F.lit(1)).alias("n")).select(F.lit("subjects").alias("section"), F.lit("").alias("k"), "n")
     return groups.union(whole).union(known)
 
