@@ -249,12 +249,30 @@ def test_simhash(spark, files, texts):
         root = components(prints, most)
         least = {q: min((i for (i, _), x in zip(texts, root) if x == q and i is not None), default=None) for q in set(root)}
         want = bag((i, p - (1 << 64) if p >> 63 else p, least[q]) for (i, _), p, q in zip(texts, prints, root))
-        assert bag(simhash.near_duplicates(files, most=most, segments=segments, tile=tile).collect()) == want
+        got = simhash.near_duplicates(files, most=most, segments=segments, tile=tile).select("doc_id", "low", "component_id")
+        assert bag(got.collect()) == want
     kept = simhash.keep_first(files)
     assert kept.schema.names == files.schema.names
     assert bag([x.doc_id] for x in kept.collect() if x.doc_id is not None) == bag([[q] for q in {least_ for least_ in (x.component_id for x in simhash.near_duplicates(files).collect()) if least_ is not None}])
 
 
+def test_similar_texts(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    rows, near = [], []
+    for g in range(60):
+        w = [word() for _ in range(200)]
+        rows.append((2 * g, " ".join(w)))
+        for k in r.sample(range(20, 180), 3):
+            w[k] = word()
+        near.append(2 * g + 1)
+        rows.append((2 * g + 1, " ".join(w)))
+    rows += [(1000 + i, " ".join(word() for _ in range(r.randrange(5, 200)))) for i in range(300)]
+    kept = {x.doc_id for x in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"), **simhash.SIMILAR).collect()}
+    assert all(2 * g in kept for g in range(60)) and all(1000 + i in kept for i in range(300))
+    assert sum(i in kept for i in near) <= 6  # similarity 0.86 and more: nine tenths are found at least
+
+
 def test_components(spark):
     r = random.Random(6)
     path = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 30)] + [(5, 5), (200, 201), (201, 200), (200, 201)]
