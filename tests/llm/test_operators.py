@@ -335,3 +335,59 @@ def test_transcripts(spark):
     model = transcripts.fit(transcripts.lines_of(raw).join(raw.select("conv_id", "block", "role"), ["conv_id", "block"]))
     whole, cut = ({(x.conv_id, x.block, x.pos): x.role for x in transcripts.parse(raw, model, chunk=n).collect()} for n in (4096, 7))
     assert whole == cut and len(whole) > 500  # cutting a transcript into chunks changes nothing
+
+
+def url_brute(pages, labels, rare, many, z, purity, prior):
+    """Templates and verdicts without rules, one page at a time."""
+    code = re.compile(r"^(?=.*[0-9])[0-9A-Za-z_.-]*$|^.{40,}$")
+    bad = {}
+    for p, b in labels:
+        bad[p] = max(b, bad.get(p, 0))
+    rows = [[h, ["*" if code.search(s) else s for s in path.split("/") if s], "", 1 - bad[p] if p in bad else 0, bad.get(p, 0)] for p, h, path in pages]
+    for level in range(max((len(r[1]) for r in rows), default=0)):
+        by = collections.defaultdict(lambda: collections.defaultdict(lambda: [0, 0, 0]))
+        for h, s, t, g, b in rows:
+            if level < len(s):
+                c = by[h, t][s[level]]
+                c[0], c[1], c[2] = c[0] + 1, c[1] + g, c[2] + b
+        step = {}
+        for key, kinds in by.items():
+            n, good, ill = (sum(c[i] for c in kinds.values()) for i in range(3))
+            for x, (k, g, b) in kinds.items():
+                one, rest = g + b, good + ill - g - b
+                differs = False
+                if one and rest:
+                    p = ill / (one + rest)
+                    differs = abs(b / one - (ill - b) / rest) > z * math.sqrt(p * (1 - p) * (1 / one + 1 / rest))
+                step[key, x] = "*" if x == "*" or (len(kinds) >= many and k < rare * n) or (len(kinds) > 1 and not differs) else x
+        for r in rows:
+            if level < len(r[1]):
+                r[2] += "/" + step[(r[0], r[2]), r[1][level]]
+    sums = collections.defaultdict(lambda: [0, 0])
+    for h, _, t, g, b in rows:
+        for key in ((h, t), h, None):
+            sums[key][0] += g
+            sums[key][1] += b
+    corpus = (sums[None][0] + 1) / (sum(sums[None]) + 1)
+    out = []
+    for (p, h, path), (_, _, t, _, _) in zip(pages, rows):
+        host = (sums[h][0] + prior * corpus) / (sum(sums[h]) + prior)
+        own = (sums[h, t][0] + prior * host) / (sum(sums[h, t]) + prior)
+        out.append((p, h, path, t, "block" if own < purity else "allow"))
+    return out
+
+
+def test_url_tree_equals_brute_force(spark):
+    r = random.Random(11)
+    pages, labels = [], []
+    for i in range(900):
+        h = r.choice(["a.io", "a.io", "a.io", "b.io", "c.d.io"])
+        path = "/" + "/".join(r.choice([["news", "spam", "en", f"n{i}", "x" * 45], ["a", "b", f"{i}"], [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}"]][k % 3]) for k in range(r.randrange(0, 5)))
+        pages.append((i if i % 50 else None, h, path))
+        if i % 3:
+            labels.append((i, int(("spam" in path) if r.random() < 0.9 else r.random() < 0.3)))
+    labels += labels[:20] + [(9999, 1)]
+    how = {"rare": 0.03, "many": 10, "z": 1.96, "purity": 0.5, "prior": 5.0}
+    df = spark.createDataFrame([(p, f"http://{h}{path}") for p, h, path in pages], "page_id long, url string")
+    got = urls.judge(df, spark.createDataFrame(labels, "page_id long, bad int"), rules=[], **how)
+    assert bag((x.page_id, x.host, x.path, x.template, x.verdict) for x in got.collect()) == bag(url_brute(pages, labels, **how))
