@@ -65,3 +65,15 @@ def test_empty(spark, folder):
 def test_stages_call_the_operators():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "substring_dedup", "decontamination", "bpe"]
     assert all(callable(x) for x in (quality.filtered, simhash.keep_first, suffixes.cleaned, decontaminate.clean))
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from provlake.llm.common import scratch, written
+
+    with scratch(spark):
+        gone, kept = (written(spark.range(3), "x", keep=k) for k in (False, True))
+        assert gone.count() == 3
+    assert kept.count() == 3 and os.path.exists(kept.inputFiles()[0].removeprefix("file://"))
+    assert not os.path.exists(gone.inputFiles()[0].removeprefix("file://"))
