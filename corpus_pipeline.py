@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provlake.llm import bpe, decontaminate, quality, simhash, suffixes
-from provlake.llm.common import read, written
+from provlake.llm.common import read, scratch, written
 from provlake.llm.queries import TOKENIZER
 
 
@@ -56,5 +56,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), name, keep=True)
     return docs
