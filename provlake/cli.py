@@ -9,6 +9,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .acquire import acquire
 from .operators import catalog, pool
 from .schema import PHOTOGRAPHS, SUBJECTS
 from .sources import archive, seeds
@@ -45,6 +46,11 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
     run = sub.add_parser("fetch", help="ingest candidates, with their fetch results, from Parquet")
     run.add_argument("candidates")
+    live = sub.add_parser("run", help="search, fetch, ingest and land")
+    live.add_argument("--search-url", required=True)
+    live.add_argument("--source", default="commons")
+    live.add_argument("--category")
+    live.add_argument("--limit", type=int, default=archive.SEARCH_MAX)
     plan = sub.add_parser("plan", help="show what would be searched")
     plan.add_argument("--sources", default=",".join(archive.SOURCES))
     plan.add_argument("--category")
@@ -76,6 +82,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
     if args.command == "fetch":
         done = ingest_batch(Store(spark, root), spark.read.parquet(args.candidates), max_total_bytes(dict(os.environ)))
         _show(done.groupBy("outcome").count().orderBy("outcome"), 10, out)
+    elif args.command == "run":
+        done = acquire(spark, args.home, args.search_url, args.source, args.category, args.limit, max_total_bytes(dict(os.environ)))
+        _show(done.groupBy("outcome").count().orderBy("outcome"), 10, out)
     elif args.command == "plan":
         found = seeds.load_subjects(spark, category=args.category).select("seq", F.col("folder").alias("name"), "category")
         _show(archive.harvest_plan(split_csv(args.sources) or [], found).orderBy("seq"), 1000, out)

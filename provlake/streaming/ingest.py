@@ -10,15 +10,18 @@ from ..functions.text import extension, normalise_licence, pool_filename, slugif
 from ..operators.ingest import outcomes, upsert_subjects
 from ..operators.ordered import with_ids
 from ..schema import PHOTOGRAPHS, SUBJECTS
+from ..sources.fetch import land
 from ..state import Store
 
 #: What a run's outcome makes of a photograph's status; skipped ones stay as they are.
 _LANDS = ("complete", "failed", "duplicate", "quarantined", "pending")
 
 
-def ingest_batch(store: Store, batch: DataFrame, cap: int = 0) -> DataFrame:
+def ingest_batch(store: Store, batch: DataFrame, cap: int = 0, images: str | None = None) -> DataFrame:
     """Ingest candidates (seq, subject, category, source, remote_url, source_url, licence, year, title, sha256, size, failure) and commit.
 
+    With `images`, the files of complete ones (column cached) are landed there before the commit.
+
     Running a batch again changes nothing but failed and pending rows, which are tried again.
     """
     spark = batch.sparkSession
@@ -49,6 +52,9 @@ def ingest_batch(store: Store, batch: DataFrame, cap: int = 0) -> DataFrame:
     top = photos.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     added = with_ids(added, "seq", top).join(subjects.select(F.col("id").alias("subject_id"), F.col("name").alias("subject"), "category"), ["subject", "category"])
     added = added.select(*(F.col(f"new_{f.name}").alias(f.name) if f.name in fields else F.col(f.name) if f.name in added.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in PHOTOGRAPHS))
+    if images is not None:
+        files = done.where("outcome = 'complete'").withColumn("filename", fields["filename"])
+        land(files.withColumnRenamed("seq", "id"), images).count()
     store.commit(subjects, kept.unionByName(added))
     return done
 

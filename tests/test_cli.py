@@ -29,3 +29,43 @@ def test_budget_from_the_environment():
     assert cli.max_total_bytes({}) == 40 * 1024**3
     assert cli.max_total_bytes({"PROVLAKE_MAX_GB": "0"}) == 0
     assert cli.max_total_bytes({"PROVLAKE_MAX_GB": " 1.5 "}) == 3 * 1024**3 // 2
+
+
+def test_run_from_search_to_pool(spark, tmp_path):
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from urllib.parse import parse_qs, urlparse
+
+    class Archive(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200)
+            self.end_headers()
+            if not self.path.startswith("/search"):
+                self.wfile.write(self.path.encode())
+                return
+            name = parse_qs(urlparse(self.path).query)["gsrsearch"][0].split()[0]
+            info = lambda n, licence: [{"url": f"http://127.0.0.1:{server.server_port}/{n}", "mime": "image/png", "extmetadata": {"LicenseShortName": {"value": licence}}}]
+            pages = {"1": {"title": "File:1900", "imageinfo": info(f"{name}.png", "CC0")}, "2": {"title": "File:b", "imageinfo": info(f"{name}2.png", "CC BY")}, "3": {"title": "File:c", "imageinfo": info("same.png?" + name, "PD")}}
+            self.wfile.write(json.dumps({"query": {"pages": pages}}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Archive)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+
+    def run(*argv):
+        out = io.StringIO()
+        cli.main(["--home", str(tmp_path / "h"), *argv], spark, out)
+        return out.getvalue().split()
+
+    from provlake.acquire import acquire
+
+    done = acquire(spark, str(tmp_path / "h"), f"http://127.0.0.1:{server.server_port}/search", category="identity", rate=1000)
+    assert sorted(tuple(r) for r in done.groupBy("outcome").count().collect()) == [("complete", 6), ("quarantined", 3)]
+    assert run("verify") == ["ok=6", "missing=0", "corrupt=0", "mismatch=0"]
+    assert run("list", "--subject", "Mark_Twain")[0] == "2"
+    again = acquire(spark, str(tmp_path / "h"), f"http://127.0.0.1:{server.server_port}/search", category="identity", rate=1000)
+    assert again.count() == 0 and run("stats")[:2] == ["by_category", "identity"]  # all is settled
+    server.shutdown()
