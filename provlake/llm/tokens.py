@@ -11,7 +11,6 @@ space and none of the punctuation, so no cut falls inside it.
 from __future__ import annotations
 
 from functools import cache
-from itertools import repeat
 
 import numpy as np
 

@@ -51,7 +51,7 @@ def stripped(line: Column) -> Column:
     return line
 
 
-def lines_of(transcripts: DataFrame, chunk: int = 4096) -> DataFrame:
+def lines_of(transcripts: DataFrame) -> DataFrame:
     """(conv_id, block, pos, line, sym): the lines of `transcripts` (conv_id, block, text), in order.
 
     A transcript may come as several rows in the order of `block`; null texts have no lines.
