@@ -108,14 +108,15 @@ def _decode(syms: np.ndarray, before: int | None, end: int, start: np.ndarray, m
 def parse(transcripts: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], chunk: int = 4096) -> DataFrame:
     """(conv_id, block, pos, line, role): each line of `transcripts` (conv_id, block, text) with its likeliest role.
 
-    `block` orders the rows of a transcript and must differ between them, and a block's lines
-    make at least one chunk; longer ones are cut. Null ids are one transcript; an empty table
-    gives no rows. Ties fall to the role that stands first in ROLES.
+    `block` orders the rows of a transcript; rows that share one are interleaved line by line, so
+    repeated rows give repeated lines. Null ids are one transcript; an empty table gives no
+    rows. Ties fall to the role that stands first in ROLES. Of a transcript, one task sees a
+    chunk, or one small matrix for each chunk.
     """
     start, move, emit = model
     lines = lines_of(transcripts)
     kinds = {f.name: f.dataType.simpleString() for f in lines.schema}
-    # several blocks make a chunk: blocks are numbered by running line counts, in two small steps
+    # lines are numbered by running sums over blocks, so a chunk may hold several blocks or part of one
     sizes = lines.groupBy("conv_id", "block").agg((F.max("pos") + 1).cast("long").alias("n"))
     before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumnsRenamed({"conv_id": "c", "block": "b"})
