@@ -138,7 +138,7 @@ def _sums(h: np.ndarray, c: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.array([np.add.reduceat(x.astype(np.float64), at) for x in columns]).T if len(at) else np.zeros((0, K + 2))
 
 
-def score(docs: DataFrame, train, parts: int | None = None, limit: int = 1 << 23) -> DataFrame:
+def score(docs: DataFrame, train, parts: int | None = None, limit: int = 1 << 22) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of `docs` (doc_id, text; others ignored).
 
     `train` is a boolean column; the model learns from those rows. A null or wordless text is
@@ -148,7 +148,7 @@ def score(docs: DataFrame, train, parts: int | None = None, limit: int = 1 << 23
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"), F.spark_partition_id().alias("_part"))
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # a part is held whole
     answer = f"{ROW}, h long, sums array<double>"
 
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,18 +251,19 @@ def score(docs: DataFrame, train, parts: int | None = None, limit: int = 1 << 23
             new = np.zeros(len(b.h), bool)
             new[cuts] = True
             new[1:] |= b.h[1:] != b.h[:-1]
-            sums = own[np.cumsum(new) - 1]
             if len(hot_h):
-                k = np.minimum(np.searchsorted(hot_h, b.h), len(hot_h) - 1)
-                sums = np.where((hot_h[k] == b.h)[:, None], hot_sums[k], sums)
+                h = b.h[new]
+                k = np.minimum(np.searchsorted(hot_h, h), len(hot_h) - 1)
+                heat = hot_h[k] == h
+                own[heat] = hot_sums[k[heat]]
             r = np.arange(1, K + 1)
-            total = sums[:, :K] @ r + sums[:, K]
-            left = sums[:, :K] @ (r * (1 - d2[1:]))
+            total = own[:, :K] @ r + own[:, K]
+            left = own[:, :K] @ (r * (1 - d2[1:]))
             total, left = np.where(left > 0, total, total + 1), np.where(left > 0, left, 1.0)
-            low = uni.p(b.cw)
-            backed = np.where(sums[:, :-1].any(1), left / total / (1 - sums[:, -1]), 1.0) * low
+            alpha = np.where(own[:, :-1].any(1), left / total / (1 - own[:, -1]), 1.0)
+            context = np.cumsum(new) - 1
             d = np.where(c > K, 1.0, d2[np.minimum(c, K).astype(np.int64)])
-            log = np.log10(np.where(c > 0, d * c / total, backed))
+            log = np.log10(np.where(c > 0, d * c / total[context], alpha[context] * uni.p(b.cw)))
             each = np.log10(uni.p(b.c))
             each[b.asked] = log[b.at]
             text = np.repeat(np.arange(len(b.n)), b.n)
