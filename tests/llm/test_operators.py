@@ -273,6 +273,42 @@ def test_similar_texts(spark):
     assert sum(i in kept for i in near) <= 6  # similarity 0.86 and more: nine tenths are found at least
 
 
+def test_similar_is_exact(spark, texts):
+    """All fingerprints as one candidate component, dealt to tiles of a few texts: the links are those of the Jaccard similarity."""
+    r = random.Random(3)
+    rows = list(texts)
+    for i in range(40):
+        w = prose(r, 60).split(" ")
+        rows.append((100 + 2 * i, " ".join(w)))
+        for k in r.sample(range(60), 1 + i % 4):
+            w[k] = "new"
+        rows.append((101 + 2 * i if i else None, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = {}
+    for _, t in rows:
+        w = words(low(t))
+        sets.setdefault(simhash.simhash((t or "").encode(), 5, bits=128), {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    prints = simhash.fingerprints(docs, 5, bits=128)
+    ids = prints.groupBy("fp").agg(F.first("high").alias("high"), F.first("low").alias("low"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("rep"))
+    node = {(x.high % (1 << 64), x.low % (1 << 64)): x.fp for x in ids.collect()}
+    assert len(node) == len(sets)
+    hub = min(node.values())
+    found = ids.select("fp", F.lit(hub).alias("hub")).toDF("a", "b")
+    alike = [(node[p], node[q]) for p, a in sets.items() for q, b in sets.items() if p < q and a | b and len(a & b) / len(a | b) >= 0.8]
+    assert len(alike) > 20
+
+    def groups(links):
+        up = {x: x for x in node.values()}
+        for a, b in links:
+            old, new = up[a], up[b]
+            up = {k: new if v == old else v for k, v in up.items()}
+        return {frozenset(k for k, v in up.items() if v == g) for g in set(up.values())}
+
+    for size in ({}, {"texts": 7}, {"words": 400}):
+        got = simhash.similar(docs, ids, found, 0.8, 5, 128, **size).collect()
+        assert groups((x.a, x.b) for x in got) == groups(alike)
+
+
 def test_components(spark):
     r = random.Random(6)
     path = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 30)] + [(5, 5), (200, 201), (201, 200), (200, 201)]
