@@ -278,9 +278,9 @@ def test_similar_is_exact(spark, texts):
     r = random.Random(3)
     rows = list(texts)
     for i in range(40):
-        w = prose(r, 60).split(" ")
+        w = prose(r, 150).split(" ")
         rows.append((100 + 2 * i, " ".join(w)))
-        for k in r.sample(range(60), 1 + i % 4):
+        for k in r.sample(range(150), 1 + i % 4):
             w[k] = "new"
         rows.append((101 + 2 * i if i else None, " ".join(w)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
