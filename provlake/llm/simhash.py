@@ -259,8 +259,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, seed: int = 42, bits: int =
     empty table gives no rows.
     """
     prints = written(fingerprints(docs, width, seed, bits), "fingerprints")
-    rep = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("rep")
-    ids = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("high").alias("high"), F.first("low").alias("low"), rep)
+    rep = [] if similarity is None else [F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("rep")]
+    ids = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("high").alias("high"), F.first("low").alias("low"), *rep)
     found = links(ids, bits=bits, **how)
     if similarity is not None:
         found = similar(docs, ids, found, similarity, width, how.get("most", 4))
