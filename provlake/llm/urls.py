@@ -44,8 +44,8 @@ def segments(path: Column) -> Column:
     return F.transform(parts, lambda s: F.when(s.rlike(code), "*").otherwise(s))
 
 
-def templates(pages: DataFrame, labels: DataFrame, rare: float = 0.01, many: int = 20, z: float = 1.96) -> DataFrame:
-    """(page_id, host, path, template, good, bad): each page with its final template and label counts (null labels: 0).
+def grown(pages: DataFrame, labels: DataFrame, rare: float = 0.01, many: int = 20, z: float = 1.96) -> tuple[DataFrame, DataFrame]:
+    """(page_id, host, path, s): each page with its path shape; and (host, s, t, good, bad): the template of each shape with its label counts (null labels: 0).
 
     `pages` has page_id, host, path; `labels` has page_id and bad (0/1), a row for each labelled
     page. Level by level, only counts by (host, template, segment) are gathered, each bounded by
@@ -70,8 +70,13 @@ def templates(pages: DataFrame, labels: DataFrame, rare: float = 0.01, many: int
         step = by.join(branch, ["host", "t"]).select("host", "t", "x", F.when(wild, "*").otherwise(F.col("x")).alias("g"))
         shapes = written(here.join(step, ["host", "t", "x"], "left").withColumn("t", F.concat("t", F.when(F.col("x").isNull(), "").otherwise(F.concat(F.lit("/"), "g")))).select(*shapes.columns), "shapes")
     counts = shapes.groupBy("host", "t").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    known = shapes.select("host", "s", "t").join(counts, ["host", "t"])
-    return flag.select("page_id", "host", "path", "s").join(known, ["host", "s"]).select("page_id", "host", "path", F.col("t").alias("template"), "good", "bad")
+    return flag.select("page_id", "host", "path", "s"), shapes.select("host", "s", "t").join(counts, ["host", "t"])
+
+
+def templates(pages: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """(page_id, host, path, template, good, bad): each page with its final template; arguments as for grown()."""
+    flag, known = grown(pages, labels, **how)
+    return flag.join(known, ["host", "s"]).select("page_id", "host", "path", F.col("t").alias("template"), "good", "bad")
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = RULES, purity: float = 0.5, prior: float = 20.0, **how) -> DataFrame:
@@ -83,13 +88,15 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
     """
     host, path = split(F.col("url"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
-    found = templates(parts, labels, **how)
+    flag, known = grown(parts, labels, **how)
     sums = lambda df: df.agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
-    each = found.select("host", "template", "good", "bad").distinct()
+    each = known.select("host", "t", "good", "bad").distinct()
     total = sums(each).select(((F.coalesce("g", F.lit(0)) + 1) / (F.coalesce("g", F.lit(0)) + F.coalesce("b", F.lit(0)) + 1)).alias("corpus"))
     total = float((total.first() or [1.0])[0])
     hosts = sums(each.groupBy("host")).select("host", ((F.col("g") + prior * total) / (F.col("g") + F.col("b") + prior)).alias("host_purity"))
-    out = found.join(hosts, "host").withColumn("purity", (F.col("good") + prior * F.col("host_purity")) / (F.col("good") + F.col("bad") + prior))
+    # purity is settled by shape, so pages meet it by host and shape, never by host alone
+    known = known.join(hosts, "host").select("host", "s", F.col("t").alias("template"), ((F.col("good") + prior * F.col("host_purity")) / (F.col("good") + F.col("bad") + prior)).alias("purity"))
+    out = flag.join(known, ["host", "s"])
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("purity") < purity, "block").otherwise("allow")
     return out.select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "template", "purity")
