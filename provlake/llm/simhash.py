@@ -39,12 +39,15 @@ def _shingles(text: bytes | None, width: int) -> list[bytes]:
     return list(map(b" ".join, zip(*(words[i:] for i in range(width)))))
 
 
-def simhash(text: bytes | None, width: int = 4, seed: int = 42, bits: int = 64) -> tuple[int, int]:
+def simhash(text: bytes | None, width: int = 4, seed: int = 42, bits: int = 64, distinct: bool = False) -> tuple[int, int]:
     """High and low word of the fingerprint of a text's `width`-word shingles; no words give 0.
 
-    64 bits come from XXH64, 128 from the 128-bit XXH3.
+    64 bits come from XXH64, 128 from the 128-bit XXH3. A shingle counts as often as it stands,
+    or once if `distinct`: then the fingerprint is that of the set.
     """
     parts = _shingles(text, width)
+    if distinct:
+        parts = set(parts)
     if not parts:
         return 0, 0
     n, lanes = len(parts), bits // 8
@@ -66,13 +69,13 @@ def _node(high: np.ndarray, low: np.ndarray) -> np.ndarray:
     return np.where(high == 0, low, mixed(mixed(high) + low))
 
 
-def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, bits: int = 64) -> DataFrame:
+def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, bits: int = 64, distinct: bool = False) -> DataFrame:
     """(doc_id, digest, fp, high, low): one row for each row of `docs`; fp names the fingerprint high:low, digest is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = pc.cast(batch.column("text"), pa.binary())
-            words = np.array([simhash(x.as_py(), width, seed, bits) for x in texts], np.uint64).reshape(-1, 2)
+            words = np.array([simhash(x.as_py(), width, seed, bits, distinct) for x in texts], np.uint64).reshape(-1, 2)
             high, low = words[:, 0].copy(), words[:, 1].copy()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), *(pa.array(x.view(np.int64)) for x in (_node(high, low), high, low))], ["doc_id", "digest", "fp", "high", "low"])
 
@@ -253,12 +256,13 @@ def near_duplicates(docs: DataFrame, width: int = 4, seed: int = 42, bits: int =
     """(doc_id, fp, high, low, component_id) for each row of `docs` (doc_id, text; other columns are ignored).
 
     component_id is the smallest doc_id reachable over links of at most `most` differing bits;
-    with `similarity`, over those of them whose shingle sets have that Jaccard similarity or more.
+    with `similarity`, over those of them whose shingle sets have that Jaccard similarity or more
+    (fingerprints are then of the sets too, since repeats would move them and not the similarity).
     A null or wordless text has fingerprint 0, linked like any other. Null ids are never the
     smallest unless a component has no other. Repeated rows stay, each with its own row; an
     empty table gives no rows.
     """
-    prints = written(fingerprints(docs, width, seed, bits), "fingerprints")
+    prints = written(fingerprints(docs, width, seed, bits, distinct=similarity is not None), "fingerprints")
     rep = [] if similarity is None else [F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("rep")]
     ids = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("high").alias("high"), F.first("low").alias("low"), *rep)
     found = links(ids, bits=bits, **how)
