@@ -252,38 +252,47 @@ def similar(docs: DataFrame, ids: DataFrame, found: DataFrame, similarity: float
     return _tiled(sets, "root", F.col("tiles"), ["high", "low", "shingles"]).mapInArrow(verified, _LINK)
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, seed: int = 42, bits: int = 64, similarity: float | None = None, **how) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 4, seed: int = 42, bits: int = 64, similarity: float | None = None, firsts: bool = False, **how) -> DataFrame:
     """(doc_id, fp, high, low, component_id) for each row of `docs` (doc_id, text; other columns are ignored).
 
     component_id is the smallest doc_id reachable over links of at most `most` differing bits;
     with `similarity`, over those of them whose shingle sets have that Jaccard similarity or more
     (fingerprints are then of the sets too, since repeats would move them and not the similarity).
+    With `firsts`, also digest and first: whether the row has the component's id and, of the texts
+    with that id in the component, the one of the least digest.
     A null or wordless text has fingerprint 0, linked like any other. Null ids are never the
     smallest unless a component has no other. Repeated rows stay, each with its own row; an
     empty table gives no rows.
     """
     prints = written(fingerprints(docs, width, seed, bits, distinct=similarity is not None), "fingerprints")
-    rep = [] if similarity is None else [F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("rep")]
+    rep = [F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("rep")] if firsts or similarity is not None else []
     ids = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("high").alias("high"), F.first("low").alias("low"), *rep)
     found = links(ids, bits=bits, **how)
     if similarity is not None:
         found = similar(docs, ids, found, similarity, width, how.get("most", 4))
     roots = connected_components(found)
-    named = ids.join(roots, ids.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(named.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "high", "low", "component_id")
+    lead = ["rep"] if firsts else []
+    named = ids.join(roots, ids.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"), *lead)
+    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"), *(F.min(c).alias("lead") for c in lead))
+    named = named.join(smallest, "root").select("fp", "component_id", *("lead" for _ in lead))
+    first = (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("digest") == F.col("lead.digest"))).alias("first") if firsts else None
+    return prints.join(named, "fp").select("doc_id", "fp", "high", "low", "component_id", *(["digest", first] if firsts else []))
 
 
 def keep_first(docs: DataFrame, **how) -> DataFrame:
-    """`docs` with one document of each component: the one whose id is the component's. `how`: as for near_duplicates().
+    """`docs` with one document of each component: its first, as near_duplicates() has it. `how`: as there.
 
-    Of repeated rows with that id, one stays (all columns alike or not: the least by a hash of the text);
-    documents without an id are kept.
+    Documents are told apart by id and text, so different texts with one id stay or go each with
+    their own component. Of rows alike in both, one stays: the least by a hash of all columns.
+    Documents without an id are kept.
     """
-    found = near_duplicates(docs, **how)
-    gone = found.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(kept.where(F.col("doc_id").isNull()))
+    found = near_duplicates(docs, firsts=True, **how)
+    gone = found.where(F.col("doc_id").isNotNull() & ~F.col("first")).select("doc_id", F.col("digest").alias("_digest")).distinct()
+    keyed = docs.withColumn("_digest", F.xxhash64("text"))
+    order = Window.partitionBy("doc_id", "_digest").orderBy(F.xxhash64(*docs.columns))
+    kept = keyed.where(F.col("doc_id").isNotNull()).join(gone, ["doc_id", "_digest"], "left_anti")
+    kept = kept.withColumn("_place", F.row_number().over(order)).where("_place = 1").select(docs.columns)
+    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 #: Texts of a 5-word Jaccard similarity s differ in arccos(2 s / (1 + s)) / pi of their bits on

@@ -327,6 +327,18 @@ def test_similar_is_exact(spark, texts):
         assert groups((x.a, x.b) for x in got) == groups(alike)
 
 
+def test_keep_first_with_repeated_ids(spark):
+    """Different texts under one id stay or go each with its own component; of rows alike in id and text the same one stays."""
+    r = random.Random(5)
+    a, b, c, d = (prose(r, 90) for _ in range(4))
+    rows = [(1, a, "x"), (5, a, "x"), (5, b, "x"), (6, c, "x"), (6, d, "x"), (7, c, "x"), (7, b, "x"), (8, d, "x"), (None, a, "x"), (None, a, "x")] + [(6, c, s) for s in "pqrst"]
+    got = [simhash.keep_first(spark.createDataFrame(given, "doc_id long, text string, source string").repartition(3)).collect() for given in (rows, rows[::-1])]
+    assert bag(got[0]) == bag(got[1])  # the order of the rows does not matter
+    assert bag((x.doc_id, x.text) for x in got[0]) == bag([(1, a), (5, b), (6, c), (6, d), (None, a), (None, a)])
+    alike = simhash.keep_first(spark.createDataFrame([(3, "", "x"), (3, None, "x"), (3, " ", "y")], "doc_id long, text string, source string")).collect()
+    assert len(alike) == 1  # one component, one id: one text
+
+
 def test_components(spark):
     r = random.Random(6)
     path = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 30)] + [(5, 5), (200, 201), (201, 200), (200, 201)]
