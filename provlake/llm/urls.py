@@ -1,10 +1,10 @@
 """URL filters: rules by longest match, and a path-template tree per host for the rest.
 
 The tree is grown level by level with groupings only. Under each (host, template so far) the
-segments at the next level are counted; segments that look like identifiers, or that are rarer
-than `rare` of their branch where the branch has many, become the wildcard `*`. Siblings left
-literal whose share of bad labels does not differ significantly from the branch's own (a
-two-proportion test at `z`) merge into the wildcard too. A template's purity is its smoothed
+segments at the next level are counted; segments that look like identifiers become the wildcard
+`*`, and so do siblings whose share of bad labels does not differ significantly from that of the
+rest of the branch (a two-proportion test at `z`). Where the branch has many kinds, a segment rarer
+than `rare` of it needs `few` labels at least for that test, else it merges. A template's purity is its smoothed
 share of good labels, the host's own share being the prior with weight `prior`, the corpus's
 share the prior of the host; templates under `purity` are rejected.
 """
@@ -44,7 +44,7 @@ def segments(path: Column) -> Column:
     return F.transform(parts, lambda s: F.when(s.rlike(code), "*").otherwise(s))
 
 
-def grown(pages: DataFrame, labels: DataFrame, rare: float = 0.01, many: int = 20, z: float = 1.96) -> tuple[DataFrame, DataFrame]:
+def grown(pages: DataFrame, labels: DataFrame, rare: float = 0.01, many: int = 20, z: float = 1.96, few: int = 10) -> tuple[DataFrame, DataFrame]:
     """(page_id, host, path, s): each page with its path shape; and (host, s, t, good, bad): the template of each shape with its label counts (null labels: 0).
 
     `pages` has page_id, host, path; `labels` has page_id and bad (0/1), a row for each labelled
@@ -66,7 +66,8 @@ def grown(pages: DataFrame, labels: DataFrame, rare: float = 0.01, many: int = 2
         pooled = F.try_divide("all_bad", all_)
         gap = F.abs(F.try_divide("bad", one) - F.try_divide(F.col("all_bad") - F.col("bad"), rest))
         differs = gap > z * F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), one) + F.try_divide(F.lit(1), rest)))  # null without labels on both sides
-        wild = (F.col("x") == "*") | ((F.col("kinds") >= many) & (F.col("n") < rare * F.col("all_n"))) | ((F.col("kinds") > 1) & ~F.coalesce(differs, F.lit(False)))
+        untold = (F.col("kinds") >= many) & (F.col("n") < rare * F.col("all_n")) & (one < few)  # rare, with too few labels for the test
+        wild = (F.col("x") == "*") | untold | ((F.col("kinds") > 1) & ~F.coalesce(differs, F.lit(False)))
         step = by.join(branch, ["host", "t"]).select("host", "t", "x", F.when(wild, "*").otherwise(F.col("x")).alias("g"))
         shapes = written(here.join(step, ["host", "t", "x"], "left").withColumn("t", F.concat("t", F.when(F.col("x").isNull(), "").otherwise(F.concat(F.lit("/"), "g")))).select(*shapes.columns), "shapes")
     counts = shapes.groupBy("host", "t").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))

@@ -383,6 +383,17 @@ def test_url_templates(spark):
     assert by[1003].template == "/u/*/z"
 
 
+def test_rare_directory_with_bad_labels(spark):
+    """Of 30 kinds of one host, one with 0.5 % of the pages and bad labels only stays literal and is blocked; one with a few labels merges."""
+    names = [f"{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(28)]
+    paths = [f"/{names[i % 28]}/p" for i in range(9_930)] + ["/spam/p"] * 50 + ["/tiny/p"] * 20
+    labels = [(i, int(i % 50 == 0 or i >= 9_930)) for i in range(9_983)]
+    pages = spark.createDataFrame([(i, f"http://h.info{p}") for i, p in enumerate(paths)], "page_id long, url string")
+    got = {r.page_id: (r.template, r.verdict) for r in urls.judge(pages, spark.createDataFrame(labels, "page_id long, bad int"), rules=[]).collect()}
+    assert {got[i] for i in range(9_930, 9_980)} == {("/spam/p", "block")}
+    assert {got[i] for i in range(9_980, 10_000)} == {("/*/p", "allow")}
+
+
 def test_transcripts(spark):
     r = random.Random(7)
     rows = []
