@@ -1,9 +1,10 @@
-"""Transcript parsing: a hidden Markov model over line features recovers who speaks.
+"""Transcript parsing: a hidden Markov model over line features recovers who speaks and where turns begin.
 
 The hidden states are the roles, each as a turn's first line or as a line that goes on. Each line of a transcript emits one symbol made of its
 speaker marker (or none) and coarse features of the line. Start, transition and emission tables
-are counted, with add-one smoothing, on labelled lines; Viterbi then finds the likeliest roles,
-and runs of one role become turns in a canonical rendering.
+are counted, with add-one smoothing, on labelled lines; a line can go on only with the turn before
+it. Viterbi then finds the likeliest states, and each begin state opens a turn in a canonical
+rendering. A line's features are its own, so nothing tells the model where its text was joined.
 
 A transcript may be of any length, so no task holds one whole. It is cut into chunks of `chunk`
 lines; each chunk is first reduced to its matrix of best scores from entry to exit state
@@ -29,39 +30,41 @@ STATES = 2 * len(ROLES)
 #: Markers at a line's start and the symbol each stands for.
 MARKERS = {"user": r"(?i)^\s*(?:user|human|q)\s*[:>]", "assistant": r"(?i)^\s*(?:assistant|bot|ai|a)\s*[:>]", "system": r"(?i)^\s*(?:system|instructions?)\s*[:>]", "other": r"^\s*(?:[-*]|\[[^\]]*\])\s"}
 _N = len(MARKERS) + 1
-SYMBOLS = _N * 3 * 2 * 2
+SYMBOLS = _N * 4 * 2
+_MOVES = np.array([[r % 2 == 0 or p // 2 == r // 2 for r in range(STATES)] for p in range(STATES)])
 
 
-def symbol(line: Column, first: Column) -> Column:
-    """The emission symbol: marker, length class, whether it asks, whether it opens a paragraph."""
+def symbol(line: Column) -> Column:
+    """The emission symbol: marker, length class (blank lines are one), whether it asks."""
     marker = F.lit(len(MARKERS))
     for i, pattern in reversed(list(enumerate(MARKERS.values()))):
         marker = F.when(line.rlike(pattern), i).otherwise(marker)
     n = F.length(line)
-    size = F.when(n < 80, 0).when(n < 240, 1).otherwise(2)
+    size = F.when(F.trim(line) == "", 3).when(n < 80, 0).when(n < 240, 1).otherwise(2)
     asks = line.rlike(r"\?\s*$").cast("int")
-    return (((marker * 3 + size) * 2 + asks) * 2 + first.cast("int")).cast("int")
+    return ((marker * 4 + size) * 2 + asks).cast("int")
 
 
 def stripped(line: Column) -> Column:
-    """The line without its speaker marker."""
-    for name, pattern in MARKERS.items():
-        if name != "other":
-            line = F.regexp_replace(line, pattern + r"\s*", "")
-    return line
+    """The line without its speaker marker and the blank after it."""
+    spoken = "|".join(f"(?:{p})" for name, p in MARKERS.items() if name != "other")
+    return F.regexp_replace(line, rf"^(?:{spoken})[ \t]?", "")
 
 
 def lines_of(transcripts: DataFrame) -> DataFrame:
-    """(conv_id, block, pos, line, sym): the lines of `transcripts` (conv_id, block, text), in order.
+    """(conv_id, block, pos, line, sym): the lines of `transcripts` (conv_id, block, text), in order, blank ones too.
 
-    A transcript may come as several rows in the order of `block`; null texts have no lines.
+    A transcript may come as several rows in the order of `block`; a null or empty text is one blank line.
     """
-    cut = transcripts.where(F.col("text").isNotNull()).select("conv_id", "block", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return cut.where(F.trim("line") != "").select("conv_id", "block", "pos", "line", symbol(F.col("line"), F.col("pos") == 0).alias("sym"))
+    cut = transcripts.select("conv_id", "block", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
+    return cut.select("conv_id", "block", "pos", "line", symbol(F.col("line")).alias("sym"))
 
 
 def fit(lines: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log start, transition and emission tables from `lines` (conv_id, block, pos, sym, role); only small counts reach the driver."""
+    """Log start, transition and emission tables from `lines` (conv_id, block, pos, sym, role); only small counts reach the driver.
+
+    A block is a turn here: its first line begins it.
+    """
     k = STATES
     code = lines.where(F.col("role").isin(ROLES)).select("conv_id", "block", "pos", "sym", (2 * (F.array_position(F.array(*map(F.lit, ROLES)), F.col("role")) - 1) + (F.col("pos") > 0).cast("int")).cast("int").alias("r"))
     emit = np.ones((k, SYMBOLS))
@@ -78,7 +81,9 @@ def fit(lines: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             start[row.r] += row["count"]
         else:
             move[row.p, row.r] += row["count"]
-    return np.log(start / start.sum()), np.log(move / move.sum(1, keepdims=True)), np.log(emit / emit.sum(1, keepdims=True))
+    start, move = np.where(np.arange(k) % 2 == 0, start, 0), np.where(_MOVES, move, 0)
+    with np.errstate(divide="ignore"):
+        return np.log(start / start.sum()), np.log(move / move.sum(1, keepdims=True)), np.log(emit / emit.sum(1, keepdims=True))
 
 
 def _product(syms: np.ndarray, move: np.ndarray, emit: np.ndarray) -> np.ndarray:
@@ -106,7 +111,9 @@ def _decode(syms: np.ndarray, before: int | None, end: int, start: np.ndarray, m
 
 
 def parse(transcripts: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], chunk: int = 4096) -> DataFrame:
-    """(conv_id, block, pos, line, role): each line of `transcripts` (conv_id, block, text) with its likeliest role.
+    """(conv_id, block, pos, at, line, role, begins): each line of `transcripts` (conv_id, block, text) with its likeliest role, and whether it begins a turn.
+
+    at is the line's place in the transcript, pos that in its row.
 
     `block` orders the rows of a transcript; rows that share one are interleaved line by line, so
     repeated rows give repeated lines. Null ids are one transcript; an empty table gives no
@@ -165,36 +172,89 @@ def parse(transcripts: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarra
             states = [_decode(syms[a:b], p, e, start, move, emit) for a, b, p, e in zip(off, off[1:], batch.column("before").to_pylist(), batch.column("last").to_pylist())]
             which = np.concatenate(states) if states else np.zeros(0, np.int64)
             owner = batch.column("conv_id").take(pa.array(np.repeat(np.arange(len(rows)), np.diff(off))))
-            yield pa.RecordBatch.from_arrays([owner, flat.field("block"), flat.field("pos"), flat.field("line"), pa.array(np.array(ROLES, object)[which // 2], pa.string())], ["conv_id", "block", "pos", "line", "role"])
+            yield pa.RecordBatch.from_arrays([owner, flat.field("block"), flat.field("pos"), flat.field("at"), flat.field("line"), pa.array(np.array(ROLES, object)[which // 2], pa.string()), pa.array(which % 2 == 0)], ["conv_id", "block", "pos", "at", "line", "role", "begins"])
 
-    return joined.mapInArrow(decode, f"conv_id {kind}, block {kinds['block']}, pos int, line string, role string")
+    return joined.mapInArrow(decode, f"conv_id {kind}, block {kinds['block']}, pos int, at long, line string, role string, begins boolean")
 
 
 def render(conversations: DataFrame) -> DataFrame:
     """(conv_id, block, text, role) from `conversations` (conv_id, turn, role, text): turns as they stand in raw transcripts.
 
-    A turn's marker varies, and by a hash of its place a third of the turns have none.
+    A turn's marker varies, and by a hash of its place a third of the turns have none. A null text
+    is an empty turn; an empty turn always has its marker, as nothing else of it would be left.
     """
-    h = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(9))
+    body = F.coalesce("text", F.lit(""))
+    h = F.pmod(F.xxhash64("conv_id", "turn"), F.when(body == "", 6).otherwise(9))
     marks = {"system": ["System: ", "Instructions: ", "SYSTEM> "], "user": ["User: ", "Human: ", "Q: "], "assistant": ["Assistant: ", "Bot> ", "A: "]}
     mark = F.lit("")
     for role, forms in marks.items():
         mark = F.when(F.col("role") == role, F.when(h < 2, forms[0]).when(h < 4, forms[1]).when(h < 6, forms[2]).otherwise("")).otherwise(mark)
-    return conversations.select("conv_id", F.col("turn").alias("block"), F.concat(mark, F.col("text")).alias("text"), "role")
+    return conversations.select("conv_id", F.col("turn").alias("block"), F.concat(mark, body).alias("text"), "role")
+
+
+def joined(raw: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """(conv_id, block, text, own): the turns `raw` (conv_id, block, text, role) of each conversation as one text.
+
+    A long one is cut between turns into rows of about `most` characters, numbered by block. own has, for
+    each line, the turn it came from (of), who said it and whether it opens its turn; parse() doesn't see it.
+    """
+    before = Window.partitionBy("c").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = raw.groupBy(F.col("conv_id").alias("c"), F.col("block").alias("b")).agg(F.sum(F.length("text") + 1).alias("n"))
+    sizes = sizes.select("c", "b", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / most).alias("piece"))
+    placed = raw.join(sizes, raw.conv_id.eqNullSafe(F.col("c")) & raw.block.eqNullSafe(F.col("b")))
+    rows = placed.groupBy("conv_id", "piece").agg(F.sort_array(F.collect_list(F.struct("block", "role", "text"))).alias("l"))
+    own = lambda x: F.transform(F.split(x.text, "\n"), lambda _, i: F.struct(x.block.alias("of"), x.role.alias("said"), (i == 0).alias("opens")))
+    return rows.select("conv_id", F.col("piece").alias("block"), F.array_join(F.transform("l", lambda x: x.text), "\n").alias("text"), F.flatten(F.transform("l", own)).alias("own"))
+
+
+def turns(parsed: DataFrame, piece: int = 4096) -> DataFrame:
+    """(conv_id, block, pos, turn, role, text): canonical turns, each from a line that begins one to the next; the marker of that line is removed.
+
+    block and pos are those of the first line. Turns are numbered within `piece` lines, then over the pieces' totals.
+    """
+    cut = written(parsed.withColumn("piece", F.floor(F.col("at") / piece)), "parsed")
+    inner = Window.partitionBy("conv_id", "piece").orderBy("at", "block", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("c").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    base = cut.groupBy(F.col("conv_id").alias("c"), F.col("piece").alias("p")).agg(F.count_if("begins").alias("n"))
+    base = base.select("c", "p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    local = cut.withColumn("seen", F.sum(F.col("begins").cast("long")).over(inner))
+    numbered = local.join(base, local.conv_id.eqNullSafe(F.col("c")) & (local.piece == F.col("p"))).withColumn("turn", F.col("base") + F.col("seen"))
+    by = numbered.groupBy("conv_id", "turn", "role").agg(F.sort_array(F.collect_list(F.struct("at", "block", "pos", "line"))).alias("l"))
+    body = F.array_join(F.transform("l", lambda x, i: F.when(i == 0, stripped(x.line)).otherwise(x.line)), "\n")
+    return by.select("conv_id", F.col("l")[0].block.alias("block"), F.col("l")[0].pos.alias("pos"), "turn", "role", F.concat(F.lit("<|"), "role", F.lit("|>\n"), body).alias("text"))
 
 
-def turns(parsed: DataFrame) -> DataFrame:
-    """(conv_id, block, turn, role, text): runs of lines of one role within a block, markers removed, as canonical turns."""
-    order = Window.partitionBy("conv_id", "block").orderBy("pos")
-    marked = parsed.withColumn("new", F.coalesce((F.lag("role").over(order) != F.col("role")).cast("int"), F.lit(1))).withColumn("turn", F.sum("new").over(order))
-    by = marked.groupBy("conv_id", "block", "turn", "role").agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("l"))
-    body = F.array_join(F.transform("l", lambda x: stripped(x.line)), "\n")
-    return by.select("conv_id", "block", "turn", "role", F.concat(F.lit("<|"), "role", F.lit("|>\n"), body).alias("text"))
+def _held_out() -> Column:
+    return F.pmod(F.crc32(F.col("conv_id").cast("string").cast("binary")), F.lit(5)) == 0
+
+
+def _fitted(raw: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The model of four fifths of the conversations; their turns, line by line, are the lines of joined()."""
+    known = lines_of(raw.select("conv_id", "block", "text")).join(raw.select("conv_id", "block", "role").distinct(), ["conv_id", "block"])
+    return fit(known.where(~_held_out()))
+
+
+def _with_own(df: DataFrame, whole: DataFrame) -> DataFrame:
+    """`df` (conv_id, block, pos, ...) with own of joined() for its lines."""
+    own = whole.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), F.posexplode("own").alias("p", "own"))
+    return df.join(own, df.conv_id.eqNullSafe(F.col("c")) & (df.block == F.col("b")) & (df.pos == F.col("p"))).drop("c", "b", "p")
+
+
+def accuracy(conversations: DataFrame) -> dict[str, float]:
+    """On the conversations held out: the share of lines with the right role, and precision and recall of the turns' first lines."""
+    raw = render(conversations)
+    whole = joined(raw.where(_held_out()))
+    got = _with_own(parse(whole.select("conv_id", "block", "text"), _fitted(raw)), whole)
+    n = got.agg(F.avg((F.col("role") == F.col("own.said")).cast("int")).alias("roles"), *(F.count_if(c).alias(a) for a, c in {"hit": F.col("begins") & F.col("own.opens"), "said": F.col("begins"), "true": F.col("own.opens")}.items())).first()
+    return {"roles": n.roles, "precision": n.hit / n.said, "recall": n.hit / n.true}
 
 
 def query(conversations: DataFrame) -> DataFrame:
-    """Transcripts of all conversations, parsed by a model fitted on four fifths of them, and rendered."""
+    """Transcripts of all conversations, each one text, parsed by a model fitted on four fifths of them, and rendered.
+
+    block is the given turn in which the turn found begins.
+    """
     raw = render(conversations)
-    known = lines_of(raw.select("conv_id", "block", "text")).join(raw.select("conv_id", "block", "role").distinct(), ["conv_id", "block"])
-    model = fit(known.where(F.pmod(F.crc32(F.col("conv_id").cast("string").cast("binary")), F.lit(5)) != 0))
-    return turns(parse(raw.select("conv_id", "block", "text"), model))
+    whole = written(joined(raw), "transcripts")
+    found = turns(parse(whole.select("conv_id", "block", "text"), _fitted(raw)))
+    return _with_own(found, whole).select("conv_id", F.col("own.of").alias("block"), "turn", "role", "text")

@@ -414,6 +414,23 @@ def test_transcripts(spark):
     assert whole == cut and len(whole) > 500  # cutting a transcript into chunks changes nothing
 
 
+def test_transcript_as_one_text(spark):
+    """Turn boundaries are found within one text; blank lines and later markers stay; empty turns have rows."""
+    r = random.Random(9)
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", "\n\n".join(prose(r, 9).replace("\n", " ") for _ in range(1 + t % 2 * 2))) for c in range(60) for t in range(6)]
+    model = transcripts._fitted(transcripts.render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    text = "User: one\nAssistant: two\n\nthree\nUser: \nAssistant: four"
+    parts = [(1, 0, text), (2, 0, "User: one\nAssistant: two\n"), (2, 1, "three\nUser: \nAssistant: four")]
+    parsed = transcripts.parse(spark.createDataFrame(parts, "conv_id long, block long, text string"), model)
+    want = ["<|user|>\none", "<|assistant|>\ntwo\n\nthree", "<|user|>\n", "<|assistant|>\nfour"]
+    for size in (4096, 2):
+        got = sorted((x.conv_id, x.turn, x.text) for x in transcripts.turns(parsed, size).collect())
+        assert got == [(c, i + 1, t) for c in (1, 2) for i, t in enumerate(want)]
+    odd = transcripts.query(spark.createDataFrame([*rows, (900, 0, "user", None), (900, 1, "assistant", ""), (901, 0, None, None)], "conv_id long, turn long, role string, text string")).collect()
+    assert {(x.block, x.text) for x in odd if x.conv_id == 900} == {(0, "<|user|>\n"), (1, "<|assistant|>\n")}
+    assert sum(x.conv_id == 901 for x in odd) == 1
+
+
 def url_brute(pages, labels, rare, many, z, purity, prior):
     """Templates and verdicts without rules, one page at a time."""
     code = re.compile(r"^(?=.*[0-9])[0-9A-Za-z_.-]*$|^.{40,}$")
