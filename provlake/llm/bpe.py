@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, span_hashes, utf8
+from .common import blocks, distinct_spans, frugal, utf8
 from .packed import ROW, by_block, column_of, numbered, pack, row, rows_of, unpack, with_column
 from .tokens import decode_ids, encode_words, piece_starts, spread
 
@@ -26,7 +26,7 @@ def _distinct(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     data, off = utf8(column)
     starts = piece_starts(data, off)
     ends = np.r_[starts[1:], len(data)][: len(starts)]
-    keys, first, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    keys, first, which = distinct_spans(data, starts, ends)
     return data, starts[first], ends[first], keys, which, np.diff(np.searchsorted(starts, off))
 
 
@@ -39,8 +39,8 @@ def encode(docs: DataFrame, path: str, parts: int | None = None, limit: int = 1
     partitions both times, as files do; a mismatch raises.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text", F.spark_partition_id().alias("_part"))
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = frugal(docs).select("doc_id", "text", F.spark_partition_id().alias("_part"))
+    parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, batch in numbered(batches, limit):
@@ -55,7 +55,10 @@ def encode(docs: DataFrame, path: str, parts: int | None = None, limit: int = 1
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, bytes] = {}
+        here = None
         for block, part, payload in rows_of(batches):
+            if part != here:  # rows come part by part, and no two parts share a word
+                known, here = {}, part
             found = _unpack_words(payload)
             new = [w for w in found if w not in known]
             if new:
@@ -75,7 +78,7 @@ def encode(docs: DataFrame, path: str, parts: int | None = None, limit: int = 1
         for _, head, got in by_block(batches):
             yield _assembled(head, [x for _, x in got])
 
-    sent = docs.mapInArrow(words, ROW).repartition(parts, "part").mapInArrow(encoded, ROW)
+    sent = docs.mapInArrow(words, ROW).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(encoded, ROW)
     there = docs.mapInArrow(positions, ROW)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return sent.union(there).repartition("block").sortWithinPartitions("block", "part").mapInArrow(joined, f"doc_id {kind}, ids binary")

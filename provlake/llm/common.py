@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,13 +21,16 @@ SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 #: A-Z to a-z, all other bytes unchanged.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_LONG = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is named."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a local one only for a local session that names none."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "/tmp/checkpoints/provlake"
         os.makedirs(path, exist_ok=True)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -32,36 +38,74 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-_OPEN: list[list[str]] = []
+#: The tables that the innermost scratch() of this thread deletes.
+_OPEN: ContextVar[list[str] | None] = ContextVar("tables", default=None)
+
+
+def _located(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def dropped(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables that `written` made and that nothing needs any more, and the shuffle files that led to them.
+
+    Spark's cleaner removes shuffle files once the driver's garbage is collected, so that is asked for.
+    """
+    for table in tables:
+        for path in {os.path.dirname(f) for f in table.inputFiles()}:
+            fs, where = _located(spark, path)
+            fs.delete(where, True)
+    spark._jvm.System.gc()
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete the tables that `written` makes within, once nothing needs them any more."""
-    _OPEN.append([])
+    paths: list[str] = []
+    token = _OPEN.set(paths)
     try:
         yield
     finally:
-        for path in _OPEN.pop():
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _OPEN.reset(token)
+        for path in paths:
+            fs, where = _located(spark, path)
+            fs.delete(where, True)
 
 
 def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it back, which cuts the lineage.
 
-    Within scratch() the table goes when that ends, but for those with `keep`.
+    Within scratch() the table goes when that ends, but for those with `keep`; the others go with
+    the driver, since what a query returns may still read them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if _OPEN and not keep:
-        _OPEN[-1].append(path)
+    paths = _OPEN.get()
+    if paths is not None and not keep:
+        paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
+    fs, where = _located(spark, path)
+    fs.deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def frugal(df: DataFrame, most: int = 8 << 20) -> DataFrame:
+    """`df`, whose batches to and from Python are then of about `most` bytes.
+
+    Spark's limit is a number of rows, which says nothing where a row is a long text or a packed
+    block. A smaller limit that the session has stays.
+    """
+    conf = df.sparkSession.conf
+    for key in ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxBytesPerOutputBatch"):
+        held = re.fullmatch(r"(\d+)b?", conf.get(key).lower())
+        if held is None or not 0 < int(held[1]) <= most:
+            conf.set(key, str(most))
+    return df
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return frugal(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -105,28 +149,65 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64 = _BASE, step: int = 1 << 20) -> np.ndarray:
-    """A 64-bit hash of the bytes of each ordered, disjoint span, by differences of a running polynomial.
+def eights(data: np.ndarray) -> np.ndarray:
+    """A view of the little-endian 64-bit number in the 8 bytes from each position; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data), "<u8", padded.data, 0, (1,))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span.
 
-    About `step` bytes are taken at a time, so the working memory does not grow with the text.
+    Eight bytes at a time are mixed in, each by a bijection, so spans of one length up to 8 never
+    share a hash and no pattern of the bytes survives; long spans take XXH64.
     """
-    out = np.zeros(len(starts), np.uint64)
-    cuts = np.r_[0, np.flatnonzero(np.diff(starts // step)) + 1, len(starts)]
-    powers = back = np.ones(1, np.uint64)
-    for i, j in zip(cuts, cuts[1:]):
-        if i == j:
-            continue
-        s, e = starts[i:j] - starts[i], ends[i:j] - starts[i]
-        if len(powers) <= e[-1]:
-            inverse = np.uint64(pow(int(base), -1, 1 << 64))
-            powers = np.cumprod(np.r_[np.uint64(1), np.full(e[-1], base)], dtype=np.uint64)
-            back = np.cumprod(np.r_[np.uint64(1), np.full(e[-1], inverse)], dtype=np.uint64)
-        part = data[starts[i] : ends[j - 1]].astype(np.uint64) + np.uint64(1)
-        sums = np.r_[np.uint64(0), np.cumsum(part * powers[: len(part)], dtype=np.uint64)]
-        out[i:j] = mixed((sums[e] - sums[s]) * back[s] ^ mixed((e - s).astype(np.uint64)))
+    n = ends - starts
+    out = mixed(n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    words = eights(data)
+    at = np.flatnonzero((n > 0) & (n <= _LONG))
+    done = 0
+    while len(at):
+        chunk = words[starts[at] + done] & _FIRST[np.minimum(n[at] - done, 8)]
+        out[at] = mixed(out[at] ^ chunk)
+        done += 8
+        at = at[n[at] > done]
+    for i in np.flatnonzero(n > _LONG).tolist():
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]])
     return out
 
 
+def _alike(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each span has the bytes of the span `other`."""
+    n = ends - starts
+    ok = n == n[other]
+    words = eights(data)
+    at, done = np.flatnonzero(ok & (n > 8) & (n <= _LONG) & (other != np.arange(len(n)))), 0
+    while len(at):
+        last = _FIRST[np.minimum(n[at] - done, 8)]
+        ok[at] &= (words[starts[at] + done] & last) == (words[starts[other[at]] + done] & last)
+        done += 8
+        at = at[n[at] > done]
+    for i in np.flatnonzero(ok & (n > _LONG) & (other != np.arange(len(n)))).tolist():
+        ok[i] = np.array_equal(data[starts[i] : ends[i]], data[starts[other[i]] : ends[other[i]]])
+    return ok
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct spans, ascending; a span with each; which of them each span is.
+
+    Bytes are compared where hashes agree: spans that share a hash but not their bytes stay apart.
+    """
+    keys, first, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    if not _alike(data, starts, ends, first[which]).all():
+        names: dict[tuple[int, bytes], int] = {}
+        mine = [names.setdefault((int(keys[w]), data[a:b].tobytes()), i) for i, (w, a, b) in enumerate(zip(which.tolist(), starts.tolist(), ends.tolist()))]
+        order = {at: k for k, (_, at) in enumerate(sorted(names.items()))}
+        keys, first = (np.array(x, t) for x, t in (([k for (k, _), _ in sorted(names.items())], np.uint64), ([at for _, at in sorted(names.items())], np.int64)))
+        which = np.array([order[at] for at in mine], np.int64)
+    return keys, first, which
+
+
 def words_col(text, pattern: str = r"[^\x20\x09-\x0D]+"):
     """The words of a text as an array column, with built-in functions; null has none."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))

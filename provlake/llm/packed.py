@@ -21,6 +21,30 @@ def row(block: int, part: int, payload: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([payload], pa.binary())], ["block", "part", "payload"])
 
 
+def rows(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    """Several packed rows as one batch."""
+    block, part, payload = zip(*found) if found else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(part, pa.int32()), pa.array(payload, pa.binary())], ["block", "part", "payload"])
+
+
+def spread_over(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of the hash space that owns each key; ascending keys have ascending parts."""
+    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
+    """From rows sorted by part and block: each part with its blocks and what they sent, one part at a time."""
+    part, got = None, []
+    for b, p, payload in rows_of(batches):
+        if p != part and got:
+            yield part, got
+            got = []
+        part = p
+        got.append((b, payload))
+    if got:
+        yield part, got
+
+
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
     for batch in batches:
         yield from zip(*(batch.column(c).to_pylist() for c in ("block", "part", "payload")))
@@ -56,9 +80,9 @@ def unpack64(payload: bytes) -> list[np.ndarray]:
 
 
 def numbered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Blocks of about `limit` text bytes, with numbers that a rerun over the same partition (column `_part`) repeats."""
+    """Blocks of about `limit` text bytes, with numbers that a rerun over the same partition (the last column) repeats."""
     for i, batch in enumerate(blocks(batches, "text", limit)):
-        yield (batch.column("_part")[0].as_py() << 32) + i, batch
+        yield (batch.column(batch.num_columns - 1)[0].as_py() << 32) + i, batch
 
 
 def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, list[bytes]]]:
@@ -77,16 +101,25 @@ def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, li
         yield block, head, got
 
 
-def with_column(column: pa.Array, payload: bytes) -> bytes:
-    """A payload with an Arrow column before it."""
+def with_batch(batch: pa.RecordBatch, payload: bytes) -> bytes:
+    """A payload with an Arrow batch, compressed, before it."""
     sink = pa.BufferOutputStream()
-    batch = pa.RecordBatch.from_arrays([column], ["c"])
-    with pa.ipc.new_stream(sink, batch.schema) as w:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
         w.write_batch(batch)
     head = sink.getvalue().to_pybytes()
     return len(head).to_bytes(8, "little") + head + payload
 
 
-def column_of(payload: bytes) -> tuple[pa.Array, bytes]:
+def batch_of(payload: bytes) -> tuple[pa.RecordBatch, bytes]:
     size = int.from_bytes(payload[:8], "little")
-    return pa.ipc.open_stream(payload[8 : 8 + size]).read_next_batch().column(0), payload[8 + size :]
+    return pa.ipc.open_stream(payload[8 : 8 + size]).read_next_batch(), payload[8 + size :]
+
+
+def with_column(column: pa.Array, payload: bytes) -> bytes:
+    """A payload with an Arrow column before it."""
+    return with_batch(pa.RecordBatch.from_arrays([column], ["c"]), payload)
+
+
+def column_of(payload: bytes) -> tuple[pa.Array, bytes]:
+    batch, rest = batch_of(payload)
+    return batch.column(0), rest

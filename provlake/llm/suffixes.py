@@ -2,214 +2,305 @@
 
 Every byte of a `size`-byte string that starts at two places or more is to be removed. Sorting
 all suffixes is not needed for that: each window of `size` bytes designates one suffix within
-it, the one whose initial `gram`-byte bucket has the least hash, so equal windows designate
-suffixes in equal buckets at the same offset.
-
-1. Initial buckets: the designated suffixes of all documents by their `gram`-byte bucket; only
-   buckets with two suffixes or more can hold a repeat.
-2. Refinement: the suffixes of such a bucket meet, with the bytes that their windows cover.
-   Bucket identifiers of later offsets refine shorter ones (8, 16, 32, 64, 128 bytes and then
-   `size`), each level reusing the last, and sorting the windows by the final identifier shows
-   which have company. A bucket of more than `most` suffixes is not gathered: its windows travel
-   as identifiers, are counted by partial aggregation and joined back.
-3. The repeated windows of each document are merged into runs and cut.
-
-Identifiers are 64-bit; windows count as equal if both the bucket's and the window's agree.
+it, the one whose initial bucket, its first `gram` bytes, has the least hash. Equal windows
+designate suffixes of equal buckets at the same offset in the window. A suffix stands for the
+run of windows that designate it, an interval of such offsets.
+
+A bucket pointer is the identifier of the bucket that the bytes at some offset fall into. All
+suffixes start in the bucket of their own q-gram; then each bucket is refined by the pointers of
+the bytes at later offsets, once for each node of a tree over the offsets (all of them, about
+sqrt(span) at a time, single ones):
+
+* the pointer of a node is the bytes that all its windows have in common; suffixes that no other
+  suffix joins there have no repeated window in the node and are done with;
+* beside it each suffix shows the pointer of all the bytes under its own windows in the node. If
+  another suffix has the same, all these windows are repeated;
+* where a bucket holds several kinds of the latter, one suffix of each kind goes on to the
+  node's children, where the pointers of the parts are made from the same running sums.
+
+A refinement is a sort of (pointer, pointer) pairs. It is dealt over the parts of the hash space:
+a block of documents asks a part about its distinct pairs in one packed row, and the answer is a
+few bits for each. So no bucket is ever gathered, a string in a third of all documents is one
+entry for each block, and what is repeated whole ends in the first refinement.
+
+Pointers are 64-bit; windows count as equal if two independent ones agree (128 bits).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, mixed, utf8
+from .common import dropped, eights, frugal, mixed, utf8, written
+from .packed import ROW, batch_of, by_block, by_part, numbered, pack, pack64, rows, spread_over, unpack, unpack64, with_batch
 
-_BASE = np.uint64(0x9FB21C651E98DF25)
-_STEP = 1 << 20
+#: The bases of two independent running sums.
+_GRAM, _WHOLE = 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93
+_STEP = 1 << 17
 _POS = np.uint64((1 << 24) - 1)
+#: Rows with spans have this part or more; a part of the hash space is below it.
+_SPANS = 1 << 30
+_REPEATED, _GOES_ON = 1, 2
 
 
-def _designated(data: np.ndarray, off: np.ndarray, size: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Position, first and last window start, bucket and row of the suffixes that windows designate."""
+@cache
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    power = lambda b: np.cumprod(np.r_[np.uint64(1), np.full(n, b, np.uint64)], dtype=np.uint64)
+    return power(base), power(pow(base, -1, 1 << 64))
+
+
+def _running(part: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums over the mixed 8 bytes from each position, and the factors that shift them to one origin."""
+    up, back = _powers(base, 1 << max(16, (len(part) - 1).bit_length()))
+    return np.r_[np.uint64(0), np.cumsum(mixed(eights(part).astype(np.uint64)) * up[: len(part)], dtype=np.uint64)], back
+
+
+def pointers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+    """A 64-bit identifier of the bytes of each range of 8 bytes or more."""
+    out = np.empty(len(starts), np.uint64)
+    order = np.argsort(starts, kind="stable")
+    cuts = np.r_[0, np.flatnonzero(np.diff(starts[order] // _STEP)) + 1, len(order)]
+    for i, j in zip(cuts, cuts[1:]):
+        if i < j:
+            mine = order[i:j]
+            first = starts[mine[0]]
+            sums, back = _running(data[first : ends[mine].max()], base)
+            a, b = starts[mine] - first, ends[mine] - first
+            out[mine] = mixed((sums[b - 7] - sums[a]) * back[a] ^ mixed((b - a).astype(np.uint64)))
+    return out
+
+
+def _designated(data: np.ndarray, off: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Row, first window start, number of windows, position (both from the row's start) and bucket of the suffixes that windows designate."""
     span = size - gram + 1
-    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-    most = min(len(data), _STEP + size)
-    powers = np.cumprod(np.r_[np.uint64(1), np.full(most, _BASE)], dtype=np.uint64)
-    back = np.cumprod(np.r_[np.uint64(1), np.full(most, inverse)], dtype=np.uint64)
+    found = [(np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)]
     for c in range(0, len(data) - size + 1, _STEP):
         part = data[c : c + _STEP + size - 1]
-        sums = np.r_[np.uint64(0), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * powers[: len(part)], dtype=np.uint64)]
+        sums, back = _running(part, _GRAM)
         n = len(part) - gram + 1
-        bucket = mixed((sums[gram:] - sums[:-gram]) * back[:n])
-        packed = bucket & ~_POS | np.arange(n, dtype=np.uint64)
+        bucket = mixed((sums[gram - 7 :][:n] - sums[:n]) * back[:n])
         tiles = np.full(-(-n // span) * span, np.uint64((1 << 64) - 1))
-        tiles[:n] = packed
+        tiles[:n] = bucket & ~_POS | np.arange(n, dtype=np.uint64)
         tiles = tiles.reshape(-1, span)
         ahead = np.minimum.accumulate(tiles, axis=1).ravel()
         behind = np.minimum.accumulate(tiles[:, ::-1], axis=1)[:, ::-1].ravel()
-        starts = np.arange(min(_STEP, len(part) - size + 1))
-        chosen = (np.minimum(behind[starts], ahead[starts + span - 1]) & _POS).astype(np.int64)
+        many = min(_STEP, len(part) - size + 1)
+        chosen = (np.minimum(behind[:many], ahead[span - 1 :][:many]) & _POS).astype(np.int64)
+        # a run of windows ends where the suffix or the row changes; windows across rows are none
+        starts = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]])
+        lows = np.searchsorted(off, c, "right") - 1
+        edges = off[lows : np.searchsorted(off, c + many, "left")] - c
+        starts = np.union1d(starts, np.r_[edges[edges > 0], np.maximum(edges - size + 1, 0)])
+        starts = starts[starts < many]
+        ends = np.r_[starts[1:], many]
         row = np.searchsorted(off, starts + c, "right") - 1
-        whole = starts + c + size <= off[row + 1]
-        starts, chosen, row = starts[whole], chosen[whole], row[whole]
-        if len(starts):
-            new = np.flatnonzero(np.r_[True, (chosen[1:] != chosen[:-1]) | (row[1:] != row[:-1]) | (np.diff(starts) > 1)])
-            last = np.r_[new[1:], len(starts)] - 1
-            at = off[row[new]] - c
-            yield chosen[new] - at, starts[new] - at, starts[last] - at, bucket[chosen[new]], row[new]
-
-
-def _window_ids(data: np.ndarray, size: int) -> np.ndarray:
-    """An identifier of the `size` bytes from each position, by doubling; 0 where too few follow."""
-    ids, width = data.astype(np.uint64) + np.uint64(1), 1
-    while width < size:
-        step = min(width, size - width)
-        later = np.zeros(len(ids), np.uint64)
-        later[: max(0, len(ids) - step)] = ids[step:]
-        ids, width = mixed(ids * np.uint64(0xC2B2AE3D27D4EB4F) + later), width + step
-    return ids
-
-
-def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    return np.arange(counts.sum()) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
-
-
-def _ranges(rows: np.ndarray, at: np.ndarray, flags: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, start and end of the bytes under runs of flagged windows; `at` ascends by one within a row."""
-    rows, at = rows[flags], at[flags]
-    if not len(rows):
-        return rows, at, at
-    new = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (at[1:] != at[:-1] + 1)])
-    last = np.r_[new[1:], len(rows)] - 1
-    return rows[new], at[new], at[last] + size
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.xxhash64("text").alias("digest"), "text")
-
-
-def _same(left: DataFrame, right: DataFrame) -> Column:
-    return left.doc_id.eqNullSafe(right.doc_id) & (left.digest == right.digest)
-
-
-def repeats(docs: DataFrame, size: int = 200, gram: int = 64, most: int = 20_000) -> DataFrame:
-    """(doc_id, digest, spans): for each text with repeated strings the byte ranges they cover, as found (they may overlap).
-
-    A row is known by its id and a hash of its text; rows alike in both share their spans.
+        ends = np.minimum(ends, off[row + 1] - c - size + 1)
+        ok = ends > starts
+        starts, ends, row = starts[ok], ends[ok], row[ok]
+        at = chosen[starts]
+        found.append((row, starts + c - off[row], ends - starts, at + c - off[row], bucket[at]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _asks(block: int, one: np.ndarray, other: np.ndarray, parts: int) -> tuple[list[tuple[int, int, bytes]], np.ndarray, np.ndarray]:
+    """The block's distinct pointer pairs as packed rows for their parts; which of them each pair is; the first place of each."""
+    order = np.lexsort((other, one))
+    a, b = one[order], other[order]
+    at = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
+    which = np.empty(len(a), np.int64)
+    n = np.diff(np.r_[at, len(a)])
+    which[order] = np.repeat(np.arange(len(at)), n)
+    a, b = a[at], b[at]
+    cuts = np.searchsorted(spread_over(a, parts), np.arange(parts + 1))
+    sent = []
+    for p in np.flatnonzero(np.diff(cuts)).tolist():
+        s = slice(cuts[p], cuts[p + 1])
+        sent.append((block, p, pack64(np.r_[a[s][:1], np.diff(a[s])], b[s] if b[s].any() else b[:0], np.minimum(n[s], 2))))
+    return sent, which, order[at]
+
+
+def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One refinement of the buckets of each part: two bits for every pair that a block asked about."""
+    for part, got in by_part(batches):
+        asked = [unpack64(x) for _, x in got]
+        size = [len(x[0]) for x in asked]
+        one = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in asked])
+        other = np.concatenate([x[1] if len(x[1]) else np.zeros(len(x[0]), np.uint64) for x in asked])
+        order = np.lexsort((other, one))
+        a, b = one[order], other[order]
+        bucket = np.r_[True, a[1:] != a[:-1]]
+        kind = bucket | np.r_[True, b[1:] != b[:-1]]
+        at = np.flatnonzero(kind)
+        many = np.add.reduceat(np.concatenate([x[2] for x in asked])[order], at) > 1
+        kinds = np.add.reduceat(kind.astype(np.int64), np.flatnonzero(bucket))
+        flags = np.repeat(many, np.diff(np.r_[at, len(a)])) * np.uint8(_REPEATED) | (kind & np.repeat(kinds > 1, np.diff(np.r_[np.flatnonzero(bucket), len(a)]))) * np.uint8(_GOES_ON)
+        out = np.empty(len(a), np.uint8)
+        out[order] = flags
+        cuts = np.cumsum([0, *size])
+        yield rows([(block, part, zstandard.compress(out[i:j].tobytes(), 3)) for (block, _), i, j in zip(got, cuts, cuts[1:])])
+
+
+def _flags(got: list[tuple[int, bytes]], which: np.ndarray) -> np.ndarray:
+    """The answer to each pair of a block."""
+    flags = np.frombuffer(b"".join(zstandard.decompress(x) for _, x in got), np.uint8)
+    if len(which) and len(flags) <= which.max():
+        raise RuntimeError("an answer of the refinement is missing")
+    return flags[which]
+
+
+def _flat(data: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return data[np.arange(n.sum()) + np.repeat(starts - (np.cumsum(n) - n), n)]
+
+
+def _spans(block: int, level: int, row: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, bytes]]:
+    return [(block, _SPANS + level, pack(row, a, b))] if len(row) else []
+
+
+def repeats(docs: DataFrame, size: int = 200, gram: int = 64, limit: int = 1 << 22) -> tuple[DataFrame, DataFrame]:
+    """The rows of `docs` as packed blocks, and the packed spans of repeated bytes in them.
+
+    Both are (block, part, payload). `docs` is read once.
     """
-    keyed = _keyed(docs)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    owner = f"doc_id {kind}, digest long"
-
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text", 1 << 22):
-            for pos, _, _, bucket, row in _designated(*utf8(batch.column("text")), size, gram):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket.view(np.int64)), batch.column("doc_id").take(pa.array(row)), batch.column("digest").take(pa.array(row)), pa.array(pos.astype(np.int32))],
-                    ["bucket", "doc_id", "digest", "pos"])
-
-    found = keyed.mapInArrow(suffixes, f"bucket long, {owner}, pos int")
-    sizes = found.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    where = found.join(sizes, "bucket").groupBy("doc_id", "digest").agg(F.collect_set(F.struct("pos", (F.col("n") > most).alias("large"))).alias("at"))
-    met = keyed.join(where, _same(keyed, where)).select(keyed["*"], F.sort_array("at").alias("at"))
-
-    def designated(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
-        """As _designated, for the noted suffixes only, with whether their bucket is large."""
-        data, off = utf8(batch.column("text"))
-        at = batch.column("at")
-        rows = np.repeat(np.arange(len(at)), np.diff(at.offsets.to_numpy()))
-        noted = (rows << 40) + at.flatten().field("pos").to_numpy()
-        large = at.flatten().field("large").to_numpy(zero_copy_only=False)
-        for pos, first, last, bucket, row in _designated(data, off, size, gram):
-            k = np.minimum(np.searchsorted(noted, (row << 40) + pos), len(noted) - 1)
-            ok = noted[k] == (row << 40) + pos
-            yield data, off, first[ok], last[ok], bucket[ok], row[ok], large[k[ok]]
-
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text", 1 << 21):
-            for data, off, first, last, bucket, row, large in designated(batch):
-                first, last, bucket, row = (x[~large] for x in (first, last, bucket, row))
-                n = last - first + size
-                flat = data[_spread(off[row] + first, n)]
-                raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.py_buffer(flat)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket.view(np.int64)), batch.column("doc_id").take(pa.array(row)), batch.column("digest").take(pa.array(row)), pa.array(first.astype(np.int32)), raw],
-                    ["bucket", "doc_id", "digest", "first", "bytes"])
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text", 1 << 21):
-            for data, off, first, last, bucket, row, large in designated(batch):
-                first, last, bucket, row = (x[large] for x in (first, last, bucket, row))
-                if not len(first):
-                    continue
-                n = last - first + 1
-                at, rows = _spread(first, n), np.repeat(row, n)
-                ids = _window_ids(data, size)[off[rows] + at]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(bucket, n).view(np.int64)), pa.array(ids.view(np.int64)), batch.column("doc_id").take(pa.array(rows)), batch.column("digest").take(pa.array(rows)), pa.array(at.astype(np.int32))],
-                    ["bucket", "window", "doc_id", "digest", "a"])
-
-    def refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        many = 0
-        for batch in batches:
-            for part in blocks(iter([batch]), "bytes", 1 << 21):
-                held.append(part)
-                many += part.column("bytes").nbytes
-                if many < 1 << 22:
-                    continue
-                whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                bucket = whole.column("bucket").to_numpy()
-                cut = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on
-                if cut:
-                    yield _repeated(whole.slice(0, cut), size)
-                held, many = [whole.slice(cut)], whole.slice(cut).column("bytes").nbytes
-        if held:
-            yield _repeated(pa.Table.from_batches(held).combine_chunks().to_batches()[0], size)
-
-    context = f"bucket long, {owner}, first int, bytes binary"
-    small = met.mapInArrow(contexts, context).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(refined, f"{owner}, a int, b int")
-    wide = met.where(F.exists("at", lambda x: x.large)).mapInArrow(windows, f"bucket long, window long, {owner}, a int")
-    twice = wide.groupBy("bucket", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    large = wide.join(twice, ["bucket", "window"]).select("doc_id", "digest", "a", (F.col("a") + size).alias("b"))
-    return small.union(large).groupBy("doc_id", "digest").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-
-
-def _repeated(batch: pa.RecordBatch, size: int) -> pa.RecordBatch:
-    """The byte ranges of the windows that occur twice or more among rows of whole buckets."""
-    data, off = utf8(batch.column("bytes"))
-    n = np.diff(off) - size + 1
-    rows = np.repeat(np.arange(len(n)), n)
-    at = _spread(np.zeros(len(n), np.int64), n)
-    ids = _window_ids(data, size)[off[rows] + at]
-    bucket = batch.column("bucket").to_numpy()[rows]
-    order = np.argsort(ids)
-    same = (ids[order[1:]] == ids[order[:-1]]) & (bucket[order[1:]] == bucket[order[:-1]])
-    flags = np.zeros(len(ids), bool)
-    flags[order[1:][same]] = True
-    flags[order[:-1][same]] = True
-    row, a, b = _ranges(rows, at, flags, size)
-    first = batch.column("first").to_numpy()[row]
-    take = pa.array(row)
-    return pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("digest").take(take), pa.array((a + first).astype(np.int32)), pa.array((b + first).astype(np.int32))], ["doc_id", "digest", "a", "b"])
-
-
-def _cut(text: bytes, spans: list[dict] | None) -> tuple[bytes, int]:
-    """The bytes outside the spans, and the number of runs cut."""
-    if not spans:
-        return text, 0
-    kept, runs, end = [], 0, -1
-    for a, b in sorted((s["a"], s["b"]) for s in spans):
-        if a > end:
-            kept.append(text[max(end, 0) : a])
-            runs, end = runs + 1, b
-        end = max(end, b)
-    kept.append(text[end:])
-    return b"".join(kept), runs
+    spark = docs.sparkSession
+    span = size - gram + 1
+    width = max(1, round(span**0.5))
+    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not 8 <= gram <= size:
+        raise ValueError("a bucket takes 8 bytes at least, and no more than a window")
+
+    def root(n: int) -> np.ndarray:
+        return np.zeros(n, np.uint64)
+
+    def initial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The blocks, and each suffix's bucket."""
+        for block, batch in numbered(batches, limit):
+            batch = batch.select(range(batch.num_columns - 1))
+            row, first, n, pos, bucket = _designated(*utf8(batch.column("text")), size, gram)
+            sent, which, _ = _asks(block, mixed(bucket), root(len(row)), parts)
+            yield rows([(block, -1, with_batch(batch, pack(row, first, n, pos, which))), *sent])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Suffixes with company in their buckets, by all the bytes under their windows."""
+        for block, head, got in by_block(batches):
+            batch, rest = batch_of(head)
+            row, first, n, pos, which = (x.astype(np.int64) for x in unpack(rest))
+            ok = _flags(got, which) > 0
+            row, first, n, pos = (x[ok] for x in (row, first, n, pos))
+            data, off = utf8(batch.column("text"))
+            at = off[row]
+            one = mixed(pointers(data, at + pos, at + pos + gram, _GRAM))
+            other = mixed(pointers(data, at + first, at + first + n - 1 + size, _WHOLE) ^ mixed((pos - first).astype(np.uint64)))
+            sent, which, kind = _asks(block, one, other, parts)
+            yield rows([(block, -1, with_batch(batch, pack(row, first, n, pos, which, kind))), *sent])
+
+    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One suffix of each kind of a mixed bucket goes on to the nodes that its windows touch."""
+        for block, head, got in by_block(batches):
+            batch, rest = batch_of(head)
+            row, first, n, pos, which, kind = (x.astype(np.int64) for x in unpack(rest))
+            flags = _flags(got, which)
+            hit = (flags & _REPEATED) > 0
+            out = _spans(block, 0, row[hit], first[hit], (first + n - 1 + size)[hit])
+            on = kind[(flags[kind] & _GOES_ON) > 0]
+            row, first, n, pos = (x[on] for x in (row, first, n, pos))
+            data, off = utf8(batch.column("text"))
+            flat = _flat(data, off[row] + first, n - 1 + size)
+            high = pos - first
+            low = high - n + 1
+            i = low // width
+            many = high // width - i + 1
+            which = np.repeat(np.arange(len(row)), many)
+            node = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - i, many)
+            yield rows([*out, *asked(block, 1, flat, row, first, n, pos, which, node * width, np.minimum(node * width + width, span) - 1)])
+
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, head, got in by_block(batches):
+            flat, row, first, n, pos, which, low, high, asks, kind = opened(head)
+            flags = _flags(got, asks)
+            hit = (flags & _REPEATED) > 0
+            out = under(block, 1, row, first, n, pos, which[hit], low[hit], high[hit])
+            on = kind[(flags[kind] & _GOES_ON) > 0]
+            which, low, high = which[on], low[on], high[on]
+            low = np.maximum(low, (pos - first - n + 1)[which])
+            many = np.minimum(high, (pos - first)[which]) - low + 1
+            offset = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - low, many)
+            yield rows([*out, *asked(block, 2, flat, row, first, n, pos, np.repeat(which, many), offset, offset)])
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, head, got in by_block(batches):
+            _, row, first, n, pos, which, low, high, asks, _ = opened(head)
+            hit = (_flags(got, asks) & _REPEATED) > 0
+            yield rows(under(block, 2, row, first, n, pos, which[hit], low[hit], high[hit]))
+
+    def asked(block, level, flat, row, first, n, pos, which, low, high) -> list[tuple[int, int, bytes]]:
+        """Ask about nodes (suffix `which`, offsets low to high); what is needed to read the answer goes along."""
+        if not len(which):
+            return []
+        begin = np.cumsum(n - 1 + size) - (n - 1 + size) - first  # of a row's byte 0 in `flat`, if it were there
+        at = (begin + pos)[which]
+        a, b = np.maximum(low, (pos - first - n + 1)[which]), np.minimum(high, (pos - first)[which])
+        one = mixed(pointers(flat, at - low, at - high + size, _GRAM) ^ mixed((low + level * span).astype(np.uint64)))
+        other = mixed(pointers(flat, at - b, at - a + size, _WHOLE) ^ mixed((a * span + b).astype(np.uint64)))
+        sent, asks, kind = _asks(block, one, other, parts)
+        state = pack(row, first, n, pos, which, low, high, asks, kind)
+        return [(block, -1, len(state).to_bytes(8, "little") + state + zstandard.compress(flat.tobytes(), 3)), *sent]
+
+    def opened(head: bytes) -> list[np.ndarray]:
+        size_ = int.from_bytes(head[:8], "little")
+        return [np.frombuffer(zstandard.decompress(head[8 + size_ :]), np.uint8), *(x.astype(np.int64) for x in unpack(head[8 : 8 + size_]))]
+
+    def under(block, level, row, first, n, pos, which, low, high) -> list[tuple[int, int, bytes]]:
+        """The bytes under the windows that suffixes have in repeated nodes."""
+        a, b = np.maximum(low, (pos - first - n + 1)[which]), np.minimum(high, (pos - first)[which])
+        return _spans(block, level, row[which], pos[which] - b, pos[which] - a + size)
+
+    def answered(table: DataFrame) -> DataFrame:
+        """The heads of blocks with the answers to what they asked, block by block."""
+        asks = table.where((F.col("part") >= 0) & (F.col("part") < _SPANS)).repartition(parts, "part").sortWithinPartitions("part", "block")
+        return table.where("part = -1").union(asks.mapInArrow(_refined, ROW)).repartition("block").sortWithinPartitions("block", "part")
+
+    own = "_part" + "_" * max(map(len, docs.columns))
+    first = written(frugal(docs).withColumn(own, F.spark_partition_id()).mapInArrow(initial, ROW), "buckets")
+    second = written(answered(first).mapInArrow(whole, ROW), "whole")
+    dropped(spark, first)
+    third = written(answered(second).mapInArrow(nodes, ROW), "nodes")
+    fourth = written(answered(third).mapInArrow(leaves, ROW), "leaves")
+    found = written(answered(fourth).mapInArrow(last, ROW), "spans")
+    spans = third.where(F.col("part") >= _SPANS).union(fourth.where(F.col("part") >= _SPANS)).union(found)
+    spark._jvm.System.gc()
+    return second.where("part = -1"), spans
+
+
+def _cut(docs: DataFrame, finish: Callable[[pa.RecordBatch, list[bytes], np.ndarray], pa.RecordBatch], schema, **how) -> DataFrame:
+    """`finish` of each block: its rows, the bytes each keeps, and the runs cut from each."""
+    blocks, spans = repeats(docs, **how)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, head, got in by_block(batches):
+            batch, _ = batch_of(head)
+            data, off = utf8(batch.column("text"))
+            row, a, b = (np.concatenate(x).astype(np.int64) for x in zip(*(unpack(x) for _, x in got))) if got else (np.zeros(0, np.int64),) * 3
+            a, b = off[row] + a, off[row] + b
+            order = np.argsort(a, kind="stable")
+            a, b = a[order], np.maximum.accumulate(b[order]) if len(b) else b
+            row = row[order]
+            new = np.flatnonzero(np.r_[True, (a[1:] > b[:-1]) | (row[1:] != row[:-1])]) if len(a) else np.zeros(0, np.int64)
+            a, b, row = a[new], b[np.r_[new[1:], len(b)] - 1] if len(new) else b, row[new]
+            edge = np.zeros(len(data) + 1, np.int8)
+            np.add.at(edge, a, 1)
+            np.add.at(edge, b, -1)
+            keep = np.cumsum(edge[:-1], dtype=np.int8) == 0
+            n = np.r_[0, np.cumsum(keep)][off]
+            flat = data[keep].tobytes()
+            yield finish(batch, [flat[i:j] for i, j in zip(n.tolist(), n[1:].tolist())], np.bincount(row, minlength=batch.num_rows))
+
+    return blocks.union(spans).repartition("block").sortWithinPartitions("block", "part").mapInArrow(run, schema)
 
 
 def dedup(docs: DataFrame, **how) -> DataFrame:
@@ -219,39 +310,30 @@ def dedup(docs: DataFrame, **how) -> DataFrame:
     has nothing removed; repeated rows are repeats of each other. Null ids are ids like any
     other; an empty table gives no rows.
     """
-    keyed = _keyed(docs)
-    spans = repeats(docs, **how)
-    both = keyed.join(spans, _same(keyed, spans), "left").select(keyed.doc_id, "text", "spans")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [(x.as_py() or "").encode() for x in batch.column("text")]
-            cut = [_cut(t, s) for t, s in zip(texts, batch.column("spans").to_pylist())]
-            size = np.fromiter(map(len, texts), np.int64, len(texts))
-            left = np.fromiter((len(k) for k, _ in cut), np.int64, len(cut))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size), pa.array(size - left), pa.array([n for _, n in cut], pa.int64()), pa.array([k for k, _ in cut], pa.binary())],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+    def finish(batch: pa.RecordBatch, kept: list[bytes], runs: np.ndarray) -> pa.RecordBatch:
+        size = np.diff(utf8(batch.column("text"))[1])
+        left = np.fromiter(map(len, kept), np.int64, len(kept))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(size - left), pa.array(runs), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return both.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return _cut(docs.select("doc_id", "text"), finish, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary", **how)
 
 
 def cleaned(docs: DataFrame, **how) -> DataFrame:
-    """`docs`, all columns, with the repeated bytes cut from their texts; characters cut in two are dropped whole."""
-    whole = docs.select(F.struct("*").alias("_row"), "doc_id", F.xxhash64("text").alias("digest"), "text")
-    spans = repeats(docs, **how)
-    both = whole.join(spans, _same(whole, spans), "left").select("_row", "text", "spans")
+    """`docs`, all columns and rows, with the repeated bytes cut from their texts; characters cut in two are dropped whole.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            spans = batch.column("spans").to_pylist()
-            new = [_cut(t.encode(), s)[0].decode(errors="ignore") if s else t for t, s in zip(texts, spans)]
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(new, pa.string())], ["_row", "_new"])
-
-    out = both.mapInArrow(run, f"_row {docs.select(F.struct('*').alias('r')).schema['r'].dataType.simpleString()}, _new string")
-    return out.select(*(F.col("_new").alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
+    A null text stays null, an empty or short one as it is; repeated rows are repeats of each
+    other and are all cut. No column's name matters but that of text; an empty table gives no rows.
+    """
+    place = docs.columns.index("text")
+
+    def finish(batch: pa.RecordBatch, kept: list[bytes], runs: np.ndarray) -> pa.RecordBatch:
+        old = batch.column(place)
+        new = pa.array([k.decode(errors="ignore") if n else t for k, n, t in zip(kept, runs.tolist(), old.to_pylist())], old.type)
+        return batch.set_column(place, batch.schema.field(place), new)
+
+    return _cut(docs, finish, docs.schema, **how)
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from functools import cache
 
 import numpy as np
 
-from .common import SPACES, span_hashes
+from .common import SPACES, distinct_spans
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -67,27 +67,25 @@ def spread(flat: np.ndarray, counts: np.ndarray, which: np.ndarray) -> tuple[np.
     return flat[at], ends
 
 
-_KNOWN: dict[int, bytes] = {}
+_KNOWN: dict[str, dict[bytes, bytes]] = {}
 
 
-def encode_rows(path: str, data: np.ndarray, off: np.ndarray, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+def encode_rows(path: str, data: np.ndarray, off: np.ndarray, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all rows, and where each row's begin (one more at the end).
 
-    Pieces already met by this worker are looked up by a 64-bit hash, up to `most` at a time.
+    Pieces this worker has met with the same tokenizer are looked up by their bytes; beyond `most` they are forgotten and met anew.
     """
     starts = piece_starts(data, off)
     ends = np.r_[starts[1:], len(data)][: len(starts)]
-    keys, first, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-    if len(_KNOWN) > most:
-        _KNOWN.clear()
-    named = keys.tolist()
-    got = list(map(_KNOWN.get, named))
-    new = [i for i, x in enumerate(got) if x is None]
+    _, first, which = distinct_spans(data, starts, ends)
+    known = _KNOWN.setdefault(path, {})
+    if len(known) > most:
+        known.clear()
     text = data.tobytes()
-    made = encode_words(path, [text[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]) if new else []
-    for i, x in zip(new, made):
-        got[i] = x
-        _KNOWN[named[i]] = x
+    words = [text[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+    new = [w for w in words if w not in known]
+    known.update(zip(new, encode_words(path, new) if new else []))
+    got = [known[w] for w in words]
     counts = np.fromiter(map(len, got), np.int64, len(got)) // 4
     ids, at = spread(np.frombuffer(b"".join(got), "<u4"), counts, which)
     return ids, np.r_[0, at][np.searchsorted(starts, off)]

@@ -347,8 +347,8 @@ def test_components(spark):
     assert len({got[i] for i in range(61)}) == 1 and len({got[100 + i] for i in range(30)}) == 1 and got[200] == got[201] and len(set(got.values())) == 3
 
 
-@pytest.mark.parametrize("most", [20_000, 1])
-def test_suffixes(files, texts, most):
+@pytest.mark.parametrize("limit", [1 << 22, 700])
+def test_suffixes(files, texts, limit):
     size = 30
     raw = [(t or "").encode() for _, t in texts]
     count = collections.Counter(t[i : i + size] for t in raw for i in range(len(t) - size + 1))
@@ -359,9 +359,9 @@ def test_suffixes(files, texts, most):
             if count[t[k : k + size]] > 1:
                 gone[k : k + size] = b"\x01" * size
         want.append((i, len(t), sum(gone), sum(1 for k in range(len(gone)) if gone[k] and not (k and gone[k - 1])), bytes(b for b, g in zip(t, gone) if not g)))
-    got = suffixes.dedup(files, size=size, gram=12, most=most)
+    got = suffixes.dedup(files, size=size, gram=12, limit=limit)
     assert bag((*x[:4], bytes(x[4])) for x in got.collect()) == bag(want)
-    clean = suffixes.cleaned(files, size=size, gram=12, most=most)
+    clean = suffixes.cleaned(files, size=size, gram=12, limit=limit)
     assert clean.schema.names == files.schema.names and bag([x.text] for x in clean.collect() if x.text) == bag([t.decode(errors="ignore")] for *_, t in want if t.decode(errors="ignore"))
 
 
