@@ -123,3 +123,17 @@ def with_column(column: pa.Array, payload: bytes) -> bytes:
 def column_of(payload: bytes) -> tuple[pa.Array, bytes]:
     batch, rest = batch_of(payload)
     return batch.column(0), rest
+
+
+def joined(chunks: list[bytes]) -> bytes:
+    """Several payloads as one."""
+    return b"".join(len(x).to_bytes(8, "little") + x for x in chunks)
+
+
+def split(payload: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(payload):
+        size = int.from_bytes(payload[at : at + 8], "little")
+        out.append(payload[at + 8 : at + 8 + size])
+        at += 8 + size
+    return out

@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 
 from provlake.llm import bpe, decontaminate, katz, quality, reshard, simhash, suffixes, tokenfile, transcripts, urls
 from provlake.llm.components import connected_components
+from provlake.llm.packed import unpack64
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, digest string, n int, bucket int, _row int"
@@ -148,14 +149,15 @@ def test_decontamination(spark, files, texts):
     assert kept.schema.names == files.schema.names and kept.count() == sum(not x[-1] for x in want)
 
 
-def katz_brute(rows, k=5):
+def katz_brute(rows, order, k=5):
     tokens = [[*words(low(t)), "</s>\n"] for _, t in rows]
     trains = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2 for i, _ in rows]
-    uni, bi = collections.Counter(), collections.Counter()
+    grams = [collections.Counter() for _ in range(order + 1)]  # by length; longer contexts than the text has are none
     for use, w in zip(trains, tokens):
-        if use:
-            uni.update(w)
-            bi.update(zip(["<s>\n", *w], w))
+        full = ["<s>\n", *w]
+        for n in range(1, order + 1):
+            if use:
+                grams[n].update(tuple(full[i - n + 1 : i + 1]) for i in range(max(1, n - 1), len(full)))
 
     def discount(counts):
         n = [0, *(sum(v == r for v in counts.values()) for r in range(1, k + 2))]
@@ -167,31 +169,46 @@ def katz_brute(rows, k=5):
                 d[r] = x if 0 < x < 1 else 1.0
         return lambda r: d.get(r, 1.0)
 
-    d1, d2, total = discount(uni), discount(bi), sum(uni.values())
-    lost = sum((1 - d1(v)) * v for v in uni.values())
+    uni, total = grams[1], sum(grams[1].values())
+    d = [None, *map(discount, grams[1:])]
+    lost = sum((1 - d[1](v)) * v for v in uni.values())
     scale, unknown = (total, lost / total) if lost else (total + 1, 1 / (total + 1))
-    low_p = lambda w: d1(uni[w]) * uni[w] / scale if uni[w] else unknown
     after = collections.defaultdict(dict)
-    for (h, w), v in bi.items():
-        after[h][w] = v
+    for n in range(2, order + 1):
+        for g, v in grams[n].items():
+            after[g[:-1]][g[-1]] = v
+
+    def p(h, w):
+        if not h:
+            return d[1](uni[w,]) * uni[w,] / scale if uni[w,] else unknown
+        if h not in after:
+            return p(h[1:], w)
+        return d[len(h) + 1](after[h][w]) * after[h][w] / size[h] if w in after[h] else alpha[h] * p(h[1:], w)
+
     size, alpha = {}, {}
-    for h, seen in after.items():
-        n, left = sum(seen.values()), sum((1 - d2(v)) * v for v in seen.values())
+    for h in sorted(after, key=len):
+        seen = after[h]
+        n, left = sum(seen.values()), sum((1 - d[len(h) + 1](v)) * v for v in seen.values())
         n, left = (n, left) if left > 0 else (n + 1, 1)
-        size[h], alpha[h] = n, left / n / (1 - sum(map(low_p, seen)))
-    p = lambda h, w: d2(after[h][w]) * after[h][w] / size[h] if w in after.get(h, ()) else alpha.get(h, 1) * low_p(w)
-    for h in list(after)[:20]:  # all words and the unknown one
-        assert math.isclose(sum(p(h, w) for w in uni) + p(h, "never\n"), 1)
-    return [(i, not use, len(w), sum(uni[x] > 0 for x in w), total, sum(math.log10((uni[x] + 1) / (total + len(uni) + 1)) for x in w), sum(math.log10(p(h, x)) for h, x in zip(["<s>\n", *w], w))) for (i, _), use, w in zip(rows, trains, tokens)]
+        size[h], alpha[h] = n, left / n / (1 - sum(p(h[1:], x) for x in seen))
+    for h in sorted(after)[:: max(1, len(after) // 30)]:  # all words and the unknown one
+        assert math.isclose(sum(p(h, w) for w, in uni) + p(h, "never\n"), 1)
+    score = lambda w: sum(math.log10(p(tuple(["<s>\n", *w][max(0, i - order + 2) : i + 1]), x)) for i, x in enumerate(w))
+    return [(i, not use, len(w), sum(uni[x,] > 0 for x in w), total, sum(math.log10((uni[x,] + 1) / (total + len(uni) + 1)) for x in w), score(w)) for (i, _), use, w in zip(rows, trains, tokens)], grams
 
 
-@pytest.mark.parametrize("limit", [1 << 23, 800])
-def test_katz(files, texts, limit, monkeypatch):
+@pytest.mark.parametrize(("order", "limit"), [(2, 1 << 23), (3, 1 << 23), (3, 800), (4, 3000)])
+def test_katz(files, texts, order, limit, tmp_path):
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")
-    got = sorted(katz.score(files, F.crc32(name) % 7 != 2, parts=3, limit=limit).collect(), key=lambda x: (x[0] is None, x[0] or 0, x[2]))
-    want = sorted(katz_brute(texts), key=lambda x: (x[0] is None, x[0] or 0, x[2]))
+    got = sorted(katz.score(files, F.crc32(name) % 7 != 2, order, parts=3, limit=limit, model=str(tmp_path / "model")).collect(), key=lambda x: (x[0] is None, x[0] or 0, x[2]))
+    want, grams = katz_brute(texts, order)
+    want.sort(key=lambda x: (x[0] is None, x[0] or 0, x[2]))
     for a, b in zip(got, want, strict=True):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5]) and a[6] == pytest.approx(b[6])
+    tables = files.sparkSession.read.parquet(str(tmp_path / "model")).collect()
+    for n in range(1, order + 1):  # the stored counts are those of the texts
+        counts = np.concatenate([unpack64(x.payload)[-1] for x in tables if x.order == n])
+        assert sorted(counts[counts > 0].tolist()) == sorted(grams[n].values())
 
 
 def test_katz_without_training(spark, files):
