@@ -90,6 +90,24 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_apart(df: DataFrame, name: str, apart: str) -> tuple[DataFrame, DataFrame]:
+    """As `written`, the rows for which the condition `apart` holds in a table of their own: (they, the others)."""
+    spark = df.sparkSession
+    own = "_apart" + "_" * max(map(len, df.columns))
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    paths = _OPEN.get()
+    if paths is not None:
+        paths.append(path)
+    df.withColumn(own, F.coalesce(F.expr(apart), F.lit(False))).write.option("compression", "zstd").partitionBy(own).parquet(path)
+    fs, where = _located(spark, path)
+    fs.deleteOnExit(where)
+    out = []
+    for value in ("true", "false"):
+        fs.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{own}={value}"))  # there are none of a kind at times
+        out.append(spark.read.schema(df.schema).parquet(f"{path}/{own}={value}"))
+    return out[0], out[1]
+
+
 def frugal(df: DataFrame, most: int = 8 << 20) -> DataFrame:
     """`df`, whose batches to and from Python are then of about `most` bytes.
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, distinct_spans, dropped, frugal, mixed, utf8, word_spans, written
+from .common import LOWER, distinct_spans, dropped, frugal, mixed, utf8, word_spans, written, written_apart
 from .packed import ROW, by_block, by_part, column_of, joined, numbered, pack, pack64, rows, split, spread_over, unpack, unpack64, with_column
 
 K = 5
@@ -308,13 +308,13 @@ def score(docs: DataFrame, train, order: int = 3, parts: int | None = None, limi
         return {r[0] % (1 << 64): np.array([x or 0.0 for x in r[1:]]) for r in by.collect()}
 
     def counted(asks: DataFrame, run, k: int) -> DataFrame:
-        out = written(asks.where("part >= 0").repartition(parts, "part").sortWithinPartitions("part", "block").mapInArrow(run, _ANSWER), f"order{k}")
+        out = written(asks.repartition(parts, "part").sortWithinPartitions("part", "block").mapInArrow(run, _ANSWER), f"order{k}")
         if keep:
             out.where("kind = 'table'").select("part", "payload").write.mode("overwrite").option("compression", "zstd").parquet(f"{model}/order={k}")
         return out
 
-    def met(asks: DataFrame, answers: DataFrame) -> DataFrame:
-        both = asks.where("part = -1").union(answers.where("kind = 'answer'").select("block", "part", "payload"))
+    def met(heads: DataFrame, answers: DataFrame) -> DataFrame:
+        both = heads.union(answers.where("kind = 'answer'").select("block", "part", "payload"))
         return both.repartition("block").sortWithinPartitions("block", "part")
 
     def opened(head: bytes, got: list[tuple[int, bytes]], texts: int, known: list[Order], p: bool) -> tuple[_Block, list[bytes], np.ndarray | None]:
@@ -336,8 +336,9 @@ def score(docs: DataFrame, train, order: int = 3, parts: int | None = None, limi
             b.answered(c, mask, own, mass.view(np.float64), order_, prob)
         return b, chunks, prob
 
-    asks = written(docs.mapInArrow(begin, ROW), "words")
+    heads, asks = written_apart(docs.mapInArrow(begin, ROW), "words", "part = -1")
     answers = counted(asks, _count_words(parts, keep), 1)
+    dropped(spark, asks)
     whole = sums(answers, "all").get(0, np.zeros(K + 3))
     uni = Unigrams(whole[0], whole[1], whole[2:].tolist())
     texts = int(sums(answers, "texts").get(0, [0])[0])
@@ -354,8 +355,8 @@ def score(docs: DataFrame, train, order: int = 3, parts: int | None = None, limi
                 b.ask(here, parts)
                 yield rows([(block, -1, joined(chunks)), *b.asks(block)])
 
-        old = asks, answers
-        asks = written(met(*old).mapInArrow(ask, ROW), f"asks{k}")
+        old = heads, answers
+        heads, asks = written_apart(met(*old).mapInArrow(ask, ROW), f"asks{k}", "part = -1")
         dropped(spark, *old)
         answers = counted(asks, _count(k, uni, known[-1].d if known else None, here, keep), k)
         here = Order(here.hot, discounts(sums(answers, "all").get(0, np.zeros(K + 1))[: K + 1].tolist()))
@@ -363,7 +364,7 @@ def score(docs: DataFrame, train, order: int = 3, parts: int | None = None, limi
         here.sums = np.array([found.get(int(h), np.zeros(K + 1)) for h in here.hot]).reshape(-1, K + 1)
         hot = set(sums(answers, "hot"))
         known.append(here)
-    spark._jvm.System.gc()
+        dropped(spark, asks)
 
     def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, head, got in by_block(batches):
@@ -375,7 +376,7 @@ def score(docs: DataFrame, train, order: int = 3, parts: int | None = None, limi
                 [b.doc_id, pa.array(b.train == 0), pa.array(b.n), pa.array(add(b.c > 0).astype(np.int64)), pa.array(np.full(len(b.n), int(uni.total))), pa.array(add(base)), pa.array(add(np.log10(p)))],
                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return met(asks, answers).mapInArrow(evaluate, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return met(heads, answers).mapInArrow(evaluate, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def query(docs: DataFrame, order: int = 3) -> DataFrame:

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, eights, frugal, mixed, utf8, written
+from .common import dropped, eights, frugal, mixed, utf8, written, written_apart
 from .packed import ROW, batch_of, by_block, by_part, numbered, pack, pack64, rows, spread_over, unpack, unpack64, with_batch
 
 #: The bases of two independent running sums.
@@ -260,21 +260,22 @@ def repeats(docs: DataFrame, size: int = 200, gram: int = 64, limit: int = 1 <<
         a, b = np.maximum(low, (pos - first - n + 1)[which]), np.minimum(high, (pos - first)[which])
         return _spans(block, level, row[which], pos[which] - b, pos[which] - a + size)
 
-    def answered(table: DataFrame) -> DataFrame:
+    def answered(heads: DataFrame, asks: DataFrame) -> DataFrame:
         """The heads of blocks with the answers to what they asked, block by block."""
-        asks = table.where((F.col("part") >= 0) & (F.col("part") < _SPANS)).repartition(parts, "part").sortWithinPartitions("part", "block")
-        return table.where("part = -1").union(asks.mapInArrow(_refined, ROW)).repartition("block").sortWithinPartitions("block", "part")
+        answers = asks.where(F.col("part") < _SPANS).repartition(parts, "part").sortWithinPartitions("part", "block").mapInArrow(_refined, ROW)
+        return heads.union(answers).repartition("block").sortWithinPartitions("block", "part")
 
     own = "_part" + "_" * max(map(len, docs.columns))
-    first = written(frugal(docs).withColumn(own, F.spark_partition_id()).mapInArrow(initial, ROW), "buckets")
-    second = written(answered(first).mapInArrow(whole, ROW), "whole")
-    dropped(spark, first)
-    third = written(answered(second).mapInArrow(nodes, ROW), "nodes")
-    fourth = written(answered(third).mapInArrow(leaves, ROW), "leaves")
-    found = written(answered(fourth).mapInArrow(last, ROW), "spans")
-    spans = third.where(F.col("part") >= _SPANS).union(fourth.where(F.col("part") >= _SPANS)).union(found)
-    spark._jvm.System.gc()
-    return second.where("part = -1"), spans
+    given, asks = written_apart(frugal(docs).withColumn(own, F.spark_partition_id()).mapInArrow(initial, ROW), "buckets", "part = -1")
+    blocks, more = written_apart(answered(given, asks).mapInArrow(whole, ROW), "whole", "part = -1")
+    dropped(spark, given, asks)
+    heads, first = written_apart(answered(blocks, more).mapInArrow(nodes, ROW), "nodes", "part = -1")
+    dropped(spark, more)
+    smaller, second = written_apart(answered(heads, first).mapInArrow(leaves, ROW), "leaves", "part = -1")
+    dropped(spark, heads)
+    third = written(answered(smaller, second).mapInArrow(last, ROW), "spans")
+    dropped(spark, smaller)
+    return blocks, first.union(second).union(third).where(F.col("part") >= _SPANS)
 
 
 def _cut(docs: DataFrame, finish: Callable[[pa.RecordBatch, list[bytes], np.ndarray], pa.RecordBatch], schema, **how) -> DataFrame:
