@@ -102,11 +102,9 @@ def _left(sums: np.ndarray, d: np.ndarray) -> np.ndarray:
 class _Block:
     """A block's tokens with the numbers and counts of their words."""
 
-    def __init__(self, chunks: list[bytes], texts: int):
-        self.doc_id, rest = column_of(chunks[0])
+    def __init__(self, head: bytes, ids: np.ndarray, c: np.ndarray, texts: int):
+        self.doc_id, rest = column_of(head)
         self.n, self.train, rank = (x.astype(np.int64) for x in unpack(rest))
-        ids, c = unpack64(chunks[1])
-        c = c.astype(np.int64)
         self.c = c[rank] if len(rank) else rank
         self.word = np.where(c > 0, np.arange(len(c)), len(c))[rank]  # within the block; unknown words are one
         self.id = np.where(c > 0, ids, np.uint64(UNKNOWN))[rank]
@@ -177,8 +175,12 @@ class _Block:
         seen, size = c[mine], total[run]
         if p is not None:
             p[self.at] = np.where(seen > 0, _kept(order.d, seen) / size, alpha[run] * p[self.at])
+        # numbered by their last word first, so that the contexts of the next order that share it stand together
+        by = np.argsort(self.word[self.some][back] << 32 | self.place[self.some][back])
+        number = np.empty(len(by), np.int64)
+        number[by] = np.arange(len(by))
         place, count, sizes = (np.zeros(len(self.id), np.int64) for _ in range(3))
-        place[self.at], count[self.at], sizes[self.at] = self.which, seen, size
+        place[self.at], count[self.at], sizes[self.at] = number[self.which], seen, size
         older = self.last if self.k == 2 else mixed(mixed(self.older) + self.last)
         self.place, self.total = _before(place, self.first), _before(count, self.first)
         self.ok = self.total > 0
@@ -313,28 +315,25 @@ def score(docs: DataFrame, train, order: int = 3, parts: int | None = None, limi
             out.where("kind = 'table'").select("part", "payload").write.mode("overwrite").option("compression", "zstd").parquet(f"{model}/order={k}")
         return out
 
-    def met(heads: DataFrame, answers: DataFrame) -> DataFrame:
-        both = heads.union(answers.where("kind = 'answer'").select("block", "part", "payload"))
+    def met(heads: DataFrame, answers: list[DataFrame]) -> DataFrame:
+        both = heads
+        for k, found in enumerate(answers):
+            both = both.union(found.where("kind = 'answer'").select("block", (F.col("part") + k * parts).alias("part"), "payload"))
         return both.repartition("block").sortWithinPartitions("block", "part")
 
-    def opened(head: bytes, got: list[tuple[int, bytes]], texts: int, known: list[Order], p: bool) -> tuple[_Block, list[bytes], np.ndarray | None]:
+    def opened(head: bytes, got: list[tuple[int, bytes]], texts: int, known: list[Order], p: bool) -> tuple[_Block, np.ndarray | None]:
         """A block with the answers so far, ready for the next order."""
-        chunks, answer = split(head), [unpack64(x) for _, x in got]
-        new = [np.concatenate([x[i] for x in answer]) for i in range(len(answer[0]))] if answer else [np.zeros(0, np.uint64)] * (4 if known else 2)
-        if known:
-            chunks.append(pack64(*new))
-        else:
-            often = unpack(chunks[1])[0]
-            if len(often) != len(new[0]):
-                raise RuntimeError("an answer of the counts is missing")
-            chunks[1] = pack64(new[0][often], new[1][often])
-        b = _Block(chunks, texts)
+        answers = [[unpack64(x) for part, x in got if part // parts == k] for k in range(len(known) + 1)]
+        put = lambda k, i: np.concatenate([x[i] for x in answers[k]] or [np.zeros(0, np.uint64)])
+        often = unpack(split(head)[1])[0]
+        if len(put(0, 0)) != len(often):
+            raise RuntimeError("an answer of the counts is missing")
+        b = _Block(split(head)[0], put(0, 0)[often], put(0, 1)[often].astype(np.int64), texts)
         prob = uni.p(b.c) if p else None
-        for order_, chunk in zip(known, chunks[2:]):
+        for k, order_ in enumerate(known, 1):
             b.ask(order_, parts)
-            c, mask, own, mass = unpack64(chunk)
-            b.answered(c, mask, own, mass.view(np.float64), order_, prob)
-        return b, chunks, prob
+            b.answered(put(k, 0), put(k, 1), put(k, 2), put(k, 3).view(np.float64), order_, prob)
+        return b, prob
 
     heads, asks = written_apart(docs.mapInArrow(begin, ROW), "words", "part = -1")
     answers = counted(asks, _count_words(parts, keep), 1)
@@ -345,30 +344,28 @@ def score(docs: DataFrame, train, order: int = 3, parts: int | None = None, limi
     start = int(_context(np.zeros(1, np.uint64), np.array([START], np.uint64))[0])
     hot = {start, *(h for h, n in sums(answers, "hot").items() if n[0] * HOT > uni.total)}
     known: list[Order] = []
+    answers = [answers]
     for k in range(2, order + 1):
         here = Order(np.array(sorted(hot), np.uint64))
         before = list(known)
 
         def ask(batches: Iterator[pa.RecordBatch], before=before, here=here) -> Iterator[pa.RecordBatch]:
             for block, head, got in by_block(batches):
-                b, chunks, _ = opened(head, got, texts, before, False)
+                b, _ = opened(head, got, texts, before, False)
                 b.ask(here, parts)
-                yield rows([(block, -1, joined(chunks)), *b.asks(block)])
-
-        old = heads, answers
-        heads, asks = written_apart(met(*old).mapInArrow(ask, ROW), f"asks{k}", "part = -1")
-        dropped(spark, *old)
-        answers = counted(asks, _count(k, uni, known[-1].d if known else None, here, keep), k)
-        here = Order(here.hot, discounts(sums(answers, "all").get(0, np.zeros(K + 1))[: K + 1].tolist()))
-        found = sums(answers, "context")
+                yield rows(b.asks(block))
+
+        answers.append(counted(met(heads, answers).mapInArrow(ask, ROW), _count(k, uni, known[-1].d if known else None, here, keep), k))
+        dropped(spark)  # the n-grams asked about are shuffled, never stored
+        here = Order(here.hot, discounts(sums(answers[-1], "all").get(0, np.zeros(K + 1))[: K + 1].tolist()))
+        found = sums(answers[-1], "context")
         here.sums = np.array([found.get(int(h), np.zeros(K + 1)) for h in here.hot]).reshape(-1, K + 1)
-        hot = set(sums(answers, "hot"))
+        hot = set(sums(answers[-1], "hot"))
         known.append(here)
-        dropped(spark, asks)
 
     def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, head, got in by_block(batches):
-            b, _, p = opened(head, got, texts, known, True)
+            b, p = opened(head, got, texts, known, True)
             text = np.repeat(np.arange(len(b.n)), b.n)
             base = np.log10((b.c + 1) / (uni.total + uni.types + 1))
             add = lambda x: np.bincount(text, x, minlength=len(b.n))
