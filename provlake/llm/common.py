@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -50,13 +51,16 @@ def _located(spark: SparkSession, path: str):
 def dropped(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete tables that `written` made and that nothing needs any more, and the shuffle files that led to them.
 
-    Spark's cleaner removes shuffle files once the driver's garbage is collected, so that is asked for.
+    Spark's cleaner removes shuffle files once the driver's garbage is collected, so that is asked
+    for: twice, since the first time round only what names them goes.
     """
     for table in tables:
         for path in {os.path.dirname(f) for f in table.inputFiles()}:
             fs, where = _located(spark, path)
             fs.delete(where, True)
-    spark._jvm.System.gc()
+    for _ in range(2):
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 @contextmanager
