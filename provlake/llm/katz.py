@@ -31,12 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, distinct_spans, dropped, frugal, mixed, utf8, word_spans, written, written_apart
-from .packed import ROW, by_block, by_part, column_of, joined, numbered, pack, pack64, rows, split, spread_over, unpack, unpack64, with_column
+from .packed import ROW, by_block, by_part, column_of, joined, numbered, one_by_one, pack, pack64, rows, split, spread_over, together, unpack, unpack64, with_column
 
 K = 5
 HOT = 256
 #: Numbers of the start of a text, its end, and unknown words; words follow.
 START, END, UNKNOWN, FIRST = 0, 1, 2, 3
+#: So many parts of the counts travel together and are added up one after the other.
+_TOGETHER = 8
 _END_KEY = np.uint64(1)
 _LOWER = np.frombuffer(LOWER, np.uint8)
 _ANSWER = f"{ROW}, kind string, h long, sums array<double>"
@@ -146,8 +148,10 @@ class _Block:
             a = self.run[runs]
             e = slice(a[0], a[-1] + self.n_run[runs][-1])
             lead = self.some[a]
-            out.append((block, p, pack64(self.older[lead], self.last[lead], self.n_run[runs], self.low_total[lead], self.id[self.some[e]], count[e], self.low[self.some[e]])))
-        return out
+            last, total = self.last[lead], self.low_total[lead]
+            new = np.flatnonzero(np.r_[True, (last[1:] != last[:-1]) | (total[1:] != total[:-1])])
+            out.append((block, p, pack64(self.older[lead], self.n_run[runs], last[new], total[new], np.diff(np.r_[new, len(lead)]), self.id[self.some[e]], count[e], self.low[self.some[e]])))
+        return together(out, _TOGETHER)
 
     def answered(self, c: np.ndarray, mask: np.ndarray, sums: np.ndarray, mass: np.ndarray, order: Order, p: np.ndarray | None) -> None:
         """Take the answers in and go on to the next order; `p` becomes the probabilities."""
@@ -214,22 +218,33 @@ def _answers(blocks: list[tuple[int, int, bytes]], sums: list[tuple[str, int, li
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], ["block", "part", "payload", "kind", "h", "sums"])
 
 
+def _parts(batches: Iterator[pa.RecordBatch], count) -> Iterator[pa.RecordBatch]:
+    """`count` of one part after the other: (answers to blocks, sums, table)."""
+    for many, all_ in by_part(batches):
+        back: dict[int, list[bytes]] = {}
+        for i, got in one_by_one(all_, _TOGETHER):
+            answers, sums, table = count(many * _TOGETHER + i, got)
+            for (block, _), x in zip(got, answers):
+                back.setdefault(block, [b""] * _TOGETHER)[i] = x
+            yield _answers([], sums, [(many * _TOGETHER + i, x) for x in table])
+        yield _answers([(block, many, joined(x)) for block, x in back.items()], [], [])
+
+
 def _count_words(parts: int, keep: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, got in by_part(batches):
-            asked = [unpack64(x) for _, x in got]
-            keys, which = np.unique(np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in asked]), return_inverse=True)
-            c = np.bincount(which, np.concatenate([x[1] for x in asked]), minlength=len(keys)).astype(np.int64)
-            order = np.argsort(-c, kind="stable")
-            ids = np.empty(len(keys), np.uint64)
-            ids[order] = np.arange(len(keys), dtype=np.uint64) * np.uint64(parts) + np.uint64(part + FIRST)
-            ends = keys == _END_KEY
-            ids[ends] = END
-            sums = [("all", 0, [float(c.sum()), float((c > 0).sum()), *(float((c == r).sum()) for r in range(1, K + 2))]), *(("texts", 0, [float(x)]) for x in c[ends])]
-            top = order[:HOT][c[order[:HOT]] > 0]
-            sums += [("hot", int(k), [float(n)]) for k, n in zip(_context(np.zeros(len(top), np.uint64), ids[top]), c[top])]
-            cuts = np.cumsum([0, *(len(x[0]) for x in asked)])
-            yield _answers([(b, part, pack64(ids[which[i:j]], c[which[i:j]])) for (b, _), i, j in zip(got, cuts, cuts[1:])], sums, [(part, pack64(keys, ids, c))] if keep else [])
+    def run(part: int, got: list[tuple[int, bytes]]):
+        asked = [unpack64(x) for _, x in got]
+        keys, which = np.unique(np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in asked]), return_inverse=True)
+        c = np.bincount(which, np.concatenate([x[1] for x in asked]), minlength=len(keys)).astype(np.int64)
+        order = np.argsort(-c, kind="stable")
+        ids = np.empty(len(keys), np.uint64)
+        ids[order] = np.arange(len(keys), dtype=np.uint64) * np.uint64(parts) + np.uint64(part + FIRST)
+        ends = keys == _END_KEY
+        ids[ends] = END
+        sums = [("all", 0, [float(c.sum()), float((c > 0).sum()), *(float((c == r).sum()) for r in range(1, K + 2))]), *(("texts", 0, [float(x)]) for x in c[ends])]
+        top = order[:HOT][c[order[:HOT]] > 0]
+        sums += [("hot", int(k), [float(n)]) for k, n in zip(_context(np.zeros(len(top), np.uint64), ids[top]), c[top])]
+        cuts = np.cumsum([0, *(len(x[0]) for x in asked)])
+        return [pack64(ids[which[i:j]], c[which[i:j]]) for i, j in zip(cuts, cuts[1:])], sums, [pack64(keys, ids, c)] if keep else []
 
     return run
 
@@ -237,40 +252,40 @@ def _count_words(parts: int, keep: bool):
 def _count(k: int, uni: Unigrams, low: np.ndarray | None, order: Order, keep: bool):
     """Adds up the n-grams of order k; `low` are the discounts of the order below."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, got in by_part(batches):
-            asked = [unpack64(x) for _, x in got]
-            older, last, n, size, word, count, below = (np.concatenate([x[i] for x in asked]) for i in range(7))
-            runs, entries = np.cumsum([0, *(len(x[2]) for x in asked)]), np.cumsum([0, *(len(x[4]) for x in asked)])
-            n = n.astype(np.int64)
-            begin = np.cumsum(n) - n
-            older, last, size = (np.repeat(x, n) for x in (older, last, size))
-            by = np.lexsort((word, last, older))
-            older, last, word = older[by], last[by], word[by]
-            new = np.r_[True, (older[1:] != older[:-1]) | (last[1:] != last[:-1])]
-            gram = np.flatnonzero(new | np.r_[True, word[1:] != word[:-1]])
-            c = np.add.reduceat(count[by].astype(np.int64), gram)
-            below, size = below[by[gram]].astype(np.int64), size[by[gram]].astype(np.float64)
-            p = uni.p(below) if k == 2 else _kept(low, below) / np.maximum(size, 1.0)
-            contexts = np.flatnonzero(new[gram])
-            sums = np.array([*(np.add.reduceat((c == r).astype(np.float64), contexts) for r in range(1, K + 1)), np.add.reduceat(np.where(c > 0, p, 0.0), contexts)]).T
-            mask = ((sums[:, :K] > 0) @ (1 << np.arange(K))).astype(np.uint64)
-            keys = _context(older[gram[contexts]], last[gram[contexts]])
-            said = [("all", 0, [float((c == r).sum()) for r in range(1, K + 2)])]
-            said += [("context", int(keys[i]), sums[i].tolist()) for i in np.flatnonzero(np.isin(keys, order.hot))]
-            hot = gram[c * HOT > uni.total]
-            said += [("hot", int(x), [0.0]) for x in _context(last[hot] if k == 2 else mixed(mixed(older[hot]) + last[hot]), word[hot])]
-            # back to the blocks: counts by entry, and contexts by run
-            of = np.empty(len(by), np.int64)
-            of[by] = np.repeat(np.arange(len(gram)), np.diff(np.r_[gram, len(by)]))
-            back, context = c[of], (np.searchsorted(contexts, of[begin], "right") - 1)
-            need = np.minimum.reduceat(back, begin) == 0
-            out = []
-            for i, (block, _) in enumerate(got):
-                r, e = slice(runs[i], runs[i + 1]), slice(entries[i], entries[i + 1])
-                own = sums[context[r][need[r]]]
-                out.append((block, part, pack64(back[e], mask[context[r]], own[:, :K].astype(np.uint64).ravel(), own[:, K].copy())))
-            yield _answers(out, said, [(part, pack64(older[gram], last[gram], word[gram], c))] if keep else [])
+    def run(_: int, got: list[tuple[int, bytes]]):
+        asked = [unpack64(x) for _, x in got]
+        older, n, last, size, same, word, count, below = (np.concatenate([x[i] for x in asked]) for i in range(8))
+        runs, entries = np.cumsum([0, *(len(x[0]) for x in asked)]), np.cumsum([0, *(len(x[5]) for x in asked)])
+        n, same = n.astype(np.int64), same.astype(np.int64)
+        last, size = np.repeat(last, same), np.repeat(size, same)
+        begin = np.cumsum(n) - n
+        older, last, size = (np.repeat(x, n) for x in (older, last, size))
+        by = np.lexsort((word, last, older))
+        older, last, word = older[by], last[by], word[by]
+        new = np.r_[True, (older[1:] != older[:-1]) | (last[1:] != last[:-1])]
+        gram = np.flatnonzero(new | np.r_[True, word[1:] != word[:-1]])
+        c = np.add.reduceat(count[by].astype(np.int64), gram)
+        below, size = below[by[gram]].astype(np.int64), size[by[gram]].astype(np.float64)
+        p = uni.p(below) if k == 2 else _kept(low, below) / np.maximum(size, 1.0)
+        contexts = np.flatnonzero(new[gram])
+        sums = np.array([*(np.add.reduceat((c == r).astype(np.float64), contexts) for r in range(1, K + 1)), np.add.reduceat(np.where(c > 0, p, 0.0), contexts)]).T
+        mask = ((sums[:, :K] > 0) @ (1 << np.arange(K))).astype(np.uint64)
+        keys = _context(older[gram[contexts]], last[gram[contexts]])
+        said = [("all", 0, [float((c == r).sum()) for r in range(1, K + 2)])]
+        said += [("context", int(keys[i]), sums[i].tolist()) for i in np.flatnonzero(np.isin(keys, order.hot))]
+        hot = gram[c * HOT > uni.total]
+        said += [("hot", int(x), [0.0]) for x in _context(last[hot] if k == 2 else mixed(mixed(older[hot]) + last[hot]), word[hot])]
+        # back to the blocks: counts by entry, and contexts by run
+        of = np.empty(len(by), np.int64)
+        of[by] = np.repeat(np.arange(len(gram)), np.diff(np.r_[gram, len(by)]))
+        back, context = c[of], (np.searchsorted(contexts, of[begin], "right") - 1)
+        need = np.minimum.reduceat(back, begin) == 0
+        out = []
+        for i in range(len(got)):
+            r, e = slice(runs[i], runs[i + 1]), slice(entries[i], entries[i + 1])
+            own = sums[context[r][need[r]]]
+            out.append(pack64(back[e], mask[context[r]], own[:, :K].astype(np.uint64).ravel(), own[:, K].copy()))
+        return out, said, [pack64(older[gram], last[gram], word[gram], c)] if keep else []
 
     return run
 
@@ -289,7 +304,7 @@ def score(docs: DataFrame, train, order: int = 3, parts: int | None = None, limi
     spark = docs.sparkSession
     docs = frugal(docs).select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"), F.spark_partition_id().alias("_part"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = _TOGETHER * (parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
     keep = model is not None
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +316,7 @@ def score(docs: DataFrame, train, order: int = 3, parts: int | None = None, limi
             rank[often] = np.arange(len(keys))
             cuts = np.searchsorted(spread_over(keys, parts), np.arange(parts + 1))
             sent = [(block, p, pack64(np.r_[keys[i : i + 1], np.diff(keys[i:j])], count[i:j])) for p, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
-            yield rows([(block, -1, joined([with_column(batch.column("doc_id"), pack(n, trains.astype(np.int64), rank[which])), pack(often)])), *sent])
+            yield rows([(block, -1, joined([with_column(batch.column("doc_id"), pack(n, trains.astype(np.int64), rank[which])), pack(often)])), *together(sent, _TOGETHER)])
 
     def sums(table: DataFrame, name: str) -> dict[int, np.ndarray]:
         """The sums of one kind, by context; a few rows."""
@@ -310,7 +325,7 @@ def score(docs: DataFrame, train, order: int = 3, parts: int | None = None, limi
         return {r[0] % (1 << 64): np.array([x or 0.0 for x in r[1:]]) for r in by.collect()}
 
     def counted(asks: DataFrame, run, k: int) -> DataFrame:
-        out = written(asks.repartition(parts, "part").sortWithinPartitions("part", "block").mapInArrow(run, _ANSWER), f"order{k}")
+        out = written(asks.repartition(parts // _TOGETHER, "part").sortWithinPartitions("part", "block").mapInArrow(lambda batches: _parts(batches, run), _ANSWER), f"order{k}")
         if keep:
             out.where("kind = 'table'").select("part", "payload").write.mode("overwrite").option("compression", "zstd").parquet(f"{model}/order={k}")
         return out
@@ -323,7 +338,7 @@ def score(docs: DataFrame, train, order: int = 3, parts: int | None = None, limi
 
     def opened(head: bytes, got: list[tuple[int, bytes]], texts: int, known: list[Order], p: bool) -> tuple[_Block, np.ndarray | None]:
         """A block with the answers so far, ready for the next order."""
-        answers = [[unpack64(x) for part, x in got if part // parts == k] for k in range(len(known) + 1)]
+        answers = [[unpack64(x) for part, all_ in got if part // parts == k for x in split(all_) if x] for k in range(len(known) + 1)]
         put = lambda k, i: np.concatenate([x[i] for x in answers[k]] or [np.zeros(0, np.uint64)])
         often = unpack(split(head)[1])[0]
         if len(put(0, 0)) != len(often):

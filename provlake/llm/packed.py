@@ -137,3 +137,19 @@ def split(payload: bytes) -> list[bytes]:
         out.append(payload[at + 8 : at + 8 + size])
         at += 8 + size
     return out
+
+
+def together(sent: list[tuple[int, int, bytes]], of: int) -> list[tuple[int, int, bytes]]:
+    """A block's rows for `of` neighbouring parts as one row for them all."""
+    out: dict[int, list[bytes]] = {}
+    for _, part, payload in sent:
+        out.setdefault(part // of, [b""] * of)[part % of] = payload
+    return [(sent[0][0], p, joined(x)) for p, x in out.items()]
+
+
+def one_by_one(got: list[tuple[int, bytes]], of: int) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
+    """The parts of together() again: each with what the blocks sent it."""
+    for i in range(of):
+        mine = [(b, split(x)[i]) for b, x in got]
+        if any(x for _, x in mine):
+            yield i, [(b, x) for b, x in mine if x]
