@@ -48,6 +48,12 @@ def _located(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
+def on_exit(spark: SparkSession, path: str) -> None:
+    """Have `path` deleted when the driver ends."""
+    fs, where = _located(spark, path)
+    fs.deleteOnExit(where)
+
+
 def dropped(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete tables that `written` made and that nothing needs any more, and the shuffle files that led to them.
 
@@ -89,8 +95,7 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     if paths is not None and not keep:
         paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
-    fs, where = _located(spark, path)
-    fs.deleteOnExit(where)
+    on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -103,8 +108,8 @@ def written_apart(df: DataFrame, name: str, apart: str) -> tuple[DataFrame, Data
     if paths is not None:
         paths.append(path)
     df.withColumn(own, F.coalesce(F.expr(apart), F.lit(False))).write.option("compression", "zstd").partitionBy(own).parquet(path)
-    fs, where = _located(spark, path)
-    fs.deleteOnExit(where)
+    on_exit(spark, path)
+    fs, _ = _located(spark, path)
     out = []
     for value in ("true", "false"):
         fs.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{own}={value}"))  # there are none of a kind at times

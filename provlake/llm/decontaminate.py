@@ -7,9 +7,9 @@ carries it is a candidate for the start that the shingle's offset implies. Candi
 would begin or end outside the document fall to the positional and length bounds; the rest are
 verified word by word and byte by byte.
 
-The benchmark is a stated query set: it is taken in blocks of at most `block` items, each sent
-to the tasks on its own, and every document is held against every block. Documents are not
-shuffled.
+The benchmark is a stated query set: it is taken in blocks of at most `block` items or about
+_TEXTS bytes, one after the other; a block is sent to the tasks, every document is held against
+it, and it is released before the next. With one block documents are not shuffled.
 """
 
 from __future__ import annotations
@@ -22,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, mixed, span_hashes, utf8, word_spans
+from .common import LOWER, blocks, frugal, mixed, span_hashes, utf8, word_spans, written
 
 _LOWER = np.frombuffer(LOWER, np.uint8)
 #: The bytes of `[\x00-\x2F\x3A-\x60\x7B-\x7F]`.
 _GAP = np.zeros(256, bool)
 _GAP[[*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 _BYTES = 1 << 21
+_TEXTS = 1 << 25
 
 
 def _words(column: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -98,16 +99,16 @@ def _found(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[ok], k[ok]
 
 
-def _indexes(docs: DataFrame, benchmark: DataFrame, size: int, shingle: int, block: int) -> list:
-    """The blocks' indexes as broadcast variables, each with its windows' shingles ordered by rarity."""
+def _indexes(docs: DataFrame, benchmark: DataFrame, size: int, shingle: int, block: int) -> Iterator:
+    """The blocks' indexes as broadcast variables, one at a time, each with its windows' shingles ordered by rarity; the first may be empty."""
     sc = docs.sparkSession.sparkContext
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
-    of = max(1, -(-items.count() // block))
-    out = []
+    many = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    of = max(1, -(-many[0] // block), -(-many[1] // _TEXTS))
     for b in range(of):
         rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(of)) == b).collect() if of > 1 else items.collect()
         index = _Index(sorted((r[0], r[1]) for r in rows if r[1]), size, shingle)
-        if not index.texts:
+        if not index.texts and b:
             continue
         sent = sc.broadcast(index.tokens)
 
@@ -125,37 +126,44 @@ def _indexes(docs: DataFrame, benchmark: DataFrame, size: int, shingle: int, blo
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k)), pa.array(sent.value[k][some].view(np.int64)), pa.array(n[some])], ["k", "h", "n"])
 
         counts = docs.select("text").mapInArrow(count, "k long, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n"))
-        index.order({(r.k, r.h % (1 << 64)): r.n for r in counts.collect()})
-        out.append(sc.broadcast(index))
-    return out
+        index.order({(r.k, r.h % (1 << 64)): r.n for r in counts.collect()} if index.texts else {})
+        sent.destroy()
+        yield sc.broadcast(index)
 
 
-def _scan(batch: pa.RecordBatch, indexes: list) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
-    """For each row: words, hit words, ids of the items whose windows occur."""
+def _scan(batch: pa.RecordBatch, index: _Index) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[list[str]]]:
+    """For each row: words, runs of hit words, ids of the items whose windows occur."""
     text, at, end, row, h = _words(batch.column("text"))
     n = batch.num_rows
     first = np.searchsorted(row, np.arange(n + 1))
     cover = np.zeros(len(h) + 1, np.int64)
     items: list[set[str]] = [set() for _ in range(n)]
-    for sent in indexes:
-        index = sent.value
-        for k, (keys, cut, pairs) in index.prefix.items():
-            pos, hit = _found(keys, _runs(h, k))
-            times = cut[hit + 1] - cut[hit]
-            pos, w, offset = np.repeat(pos, times), *(pairs[np.repeat(cut[hit + 1] - np.cumsum(times), times) + np.arange(times.sum())].T if len(pos) else np.zeros((2, 0), np.int64))
-            for s, x in zip((pos - offset).tolist(), w.tolist()):
-                want = index.hashes[x]
-                if s < 0 or s + len(want) > len(h):
-                    continue
-                r = row[s]
-                if s + len(want) > first[r + 1] or not np.array_equal(h[s : s + len(want)], want):
-                    continue
-                if b" ".join(text[at[i] : end[i]] for i in range(s, s + len(want))) == index.texts[x]:
-                    cover[s] += 1
-                    cover[s + len(want)] -= 1
-                    items[r].update(index.items[x])
-    hits = np.bincount(row[np.cumsum(cover[:-1]) > 0], minlength=n)
-    return np.diff(first), hits, [sorted(x) for x in items]
+    for k, (keys, cut, pairs) in index.prefix.items():
+        pos, hit = _found(keys, _runs(h, k))
+        times = cut[hit + 1] - cut[hit]
+        pos, w, offset = np.repeat(pos, times), *(pairs[np.repeat(cut[hit + 1] - np.cumsum(times), times) + np.arange(times.sum())].T if len(pos) else np.zeros((2, 0), np.int64))
+        for s, x in zip((pos - offset).tolist(), w.tolist()):
+            want = index.hashes[x]
+            if s < 0 or s + len(want) > len(h):
+                continue
+            r = row[s]
+            if s + len(want) > first[r + 1] or not np.array_equal(h[s : s + len(want)], want):
+                continue
+            if b" ".join(text[at[i] : end[i]] for i in range(s, s + len(want))) == index.texts[x]:
+                cover[s] += 1
+                cover[s + len(want)] -= 1
+                items[r].update(index.items[x])
+    covered = np.r_[False, np.cumsum(cover[:-1]) > 0, False]
+    covered = np.flatnonzero(covered[1:] != covered[:-1])
+    runs: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    for a, b in zip(covered[::2].tolist(), covered[1::2].tolist()):
+        for r in range(row[a], row[b - 1] + 1):  # windows of neighbouring rows may touch
+            if first[r] < first[r + 1]:
+                runs[r].append((max(a, int(first[r])) - int(first[r]), min(b, int(first[r + 1])) - int(first[r])))
+    return np.diff(first), runs, [sorted(x) for x in items]
+
+
+_RUNS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 
 def measure(docs: DataFrame, benchmark: DataFrame, size: int = 10, shingle: int = 5, block: int = 20_000) -> DataFrame:
@@ -163,28 +171,51 @@ def measure(docs: DataFrame, benchmark: DataFrame, size: int = 10, shingle: int
 
     A null or empty text has no words and no hits; an item without words has no windows, and
     its id, if null, is the empty string. Repeated items count once. Other columns of both
-    tables are ignored. Empty tables give no rows, or rows without hits.
+    tables are ignored. Empty tables give no rows, or rows without hits. `docs` is read once for
+    each block and has to give the same partitions, as files do, if there are several.
     """
-    indexes = _indexes(docs, benchmark, size, shingle, block)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    numbered = frugal(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    found = None
+    for sent in _indexes(docs, benchmark, size, shingle, block):
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text", _BYTES):
-            words, hits, items = _scan(batch, indexes)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words), pa.array(hits), pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "n_hit", "items"])
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, all_=found is None) -> Iterator[pa.RecordBatch]:
+            for batch in blocks(batches, "text", _BYTES):
+                words, runs, items = _scan(batch, sent.value)
+                out = pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(words), pa.array([[{"a": a, "b": b} for a, b in x] for x in runs], _RUNS), pa.array(items, pa.list_(pa.string()))], ["row", "doc_id", "n_words", "runs", "items"])
+                yield out if all_ else out.filter(pa.array([bool(x) for x in runs]))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, items array<string>")
+        here = written(numbered.mapInArrow(run, f"row long, doc_id {kind}, n_words long, runs array<struct<a:bigint,b:bigint>>, items array<string>"), "hits")
+        sent.destroy()
+        found = here if found is None else found.union(here)
+        many = found is not here
+    if many:
+        found = found.groupBy("row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.first("doc_id").alias("doc_id"))
+    # the words under all runs: in ascending order, each counts from where the ones before ended
+    under = F.aggregate(F.sort_array("runs"), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("e")), lambda z, x: F.struct((z.n + F.greatest(x.b - F.greatest(x.a, z.e), F.lit(0))).alias("n"), F.greatest(z.e, x.b).alias("e")), lambda z: z.n)
+    return found.select("doc_id", "n_words", under.alias("n_hit"), "items")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, shingle: int = 5, block: int = 20_000) -> DataFrame:
-    """The rows of `docs`, all columns, in which no window of any item occurs."""
-    indexes = _indexes(docs, benchmark, size, shingle, block)
+    """The rows of `docs`, all columns, in which no window of any item occurs.
+
+    Null and empty texts have no words and stay; repeated rows stay or go together; null ids are ids like any other.
+    """
+
+    def without(docs: DataFrame, sent) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in blocks(batches, "text", _BYTES):
+                yield batch.filter(pa.array([not x for x in _scan(batch, sent.value)[1]], pa.bool_()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text", _BYTES):
-            yield batch.filter(pa.array(_scan(batch, indexes)[1] == 0))
+        return frugal(docs).mapInArrow(run, docs.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    last = None
+    for sent in _indexes(docs, benchmark, size, shingle, block):
+        if last is not None:
+            docs = written(without(docs, last), "clean")
+            last.destroy()
+        last = sent
+    return without(docs, last)
 
 
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -38,10 +38,10 @@ HOT = 256
 #: Numbers of the start of a text, its end, and unknown words; words follow.
 START, END, UNKNOWN, FIRST = 0, 1, 2, 3
 #: So many parts of the counts travel together and are added up one after the other.
-_TOGETHER = 8
+_TOGETHER = 4
 _END_KEY = np.uint64(1)
 _LOWER = np.frombuffer(LOWER, np.uint8)
-_ANSWER = f"{ROW}, kind string, h long, sums array<double>"
+_ANSWER = f"{ROW}, kind string, h long, sums array<double>, often array<struct<h:bigint,n:double>>"
 
 
 def discounts(counts: list[float]) -> np.ndarray:
@@ -210,12 +210,13 @@ def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return np.r_[keys, _END_KEY][order], rank[which], n, batch.column("train").to_numpy(zero_copy_only=False)
 
 
-def _answers(blocks: list[tuple[int, int, bytes]], sums: list[tuple[str, int, list[float]]], table: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    """Answers to blocks; sums by context; the part's own table."""
+def _answers(blocks: list[tuple[int, int, bytes]], sums: list[tuple], table: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    """Answers to blocks; sums by context, and frequent contexts of the next order (hashes, counts); the part's own table."""
     signed = lambda h: h - (1 << 64) if h >> 63 else h
-    out = [(b, p, x, "answer", None, None) for b, p, x in blocks] + [(-1, -1, None, kind, signed(h), s) for kind, h, s in sums] + [(-1, p, x, "table", None, None) for p, x in table]
-    types = [pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.int64(), pa.list_(pa.float64())]
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], ["block", "part", "payload", "kind", "h", "sums"])
+    out = [(b, p, x, "answer", None, None, None) for b, p, x in blocks] + [(-1, p, x, "table", None, None, None) for p, x in table]
+    out += [(-1, -1, None, kind, signed(h), s, None) if kind != "hot" else (-1, -1, None, kind, None, None, [{"h": signed(int(k)), "n": float(n)} for k, n in zip(h, s)]) for kind, h, s in sums]
+    types = [pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.struct([("h", pa.int64()), ("n", pa.float64())]))]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], ["block", "part", "payload", "kind", "h", "sums", "often"])
 
 
 def _parts(batches: Iterator[pa.RecordBatch], count) -> Iterator[pa.RecordBatch]:
@@ -241,8 +242,8 @@ def _count_words(parts: int, keep: bool):
         ends = keys == _END_KEY
         ids[ends] = END
         sums = [("all", 0, [float(c.sum()), float((c > 0).sum()), *(float((c == r).sum()) for r in range(1, K + 2))]), *(("texts", 0, [float(x)]) for x in c[ends])]
-        top = order[:HOT][c[order[:HOT]] > 0]
-        sums += [("hot", int(k), [float(n)]) for k, n in zip(_context(np.zeros(len(top), np.uint64), ids[top]), c[top])]
+        top = order[:HOT][c[order[:HOT]] * HOT > c.sum()]  # who has so much of all tokens has it of the part's
+        sums.append(("hot", _context(np.zeros(len(top), np.uint64), ids[top]), c[top]))
         cuts = np.cumsum([0, *(len(x[0]) for x in asked)])
         return [pack64(ids[which[i:j]], c[which[i:j]]) for i, j in zip(cuts, cuts[1:])], sums, [pack64(keys, ids, c)] if keep else []
 
@@ -274,7 +275,7 @@ def _count(k: int, uni: Unigrams, low: np.ndarray | None, order: Order, keep: bo
         said = [("all", 0, [float((c == r).sum()) for r in range(1, K + 2)])]
         said += [("context", int(keys[i]), sums[i].tolist()) for i in np.flatnonzero(np.isin(keys, order.hot))]
         hot = gram[c * HOT > uni.total]
-        said += [("hot", int(x), [0.0]) for x in _context(last[hot] if k == 2 else mixed(mixed(older[hot]) + last[hot]), word[hot])]
+        said.append(("hot", _context(last[hot] if k == 2 else mixed(mixed(older[hot]) + last[hot]), word[hot]), c[c * HOT > uni.total]))
         # back to the blocks: counts by entry, and contexts by run
         of = np.empty(len(by), np.int64)
         of[by] = np.repeat(np.arange(len(gram)), np.diff(np.r_[gram, len(by)]))
@@ -324,6 +325,11 @@ def score(docs: DataFrame, train, order: int = 3, parts: int | None = None, limi
         by = table.where(F.col("kind") == name).groupBy("h").agg(*(F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(width)))
         return {r[0] % (1 << 64): np.array([x or 0.0 for x in r[1:]]) for r in by.collect()}
 
+    def frequent(table: DataFrame) -> set[int]:
+        """The at most HOT n-grams with over 1/HOT of all tokens."""
+        found = table.where("kind = 'hot'").select(F.explode(F.filter("often", lambda x: x.n * HOT > uni.total)).alias("x")).select("x.h").collect()
+        return {r.h % (1 << 64) for r in found}
+
     def counted(asks: DataFrame, run, k: int) -> DataFrame:
         out = written(asks.repartition(parts // _TOGETHER, "part").sortWithinPartitions("part", "block").mapInArrow(lambda batches: _parts(batches, run), _ANSWER), f"order{k}")
         if keep:
@@ -357,7 +363,7 @@ def score(docs: DataFrame, train, order: int = 3, parts: int | None = None, limi
     uni = Unigrams(whole[0], whole[1], whole[2:].tolist())
     texts = int(sums(answers, "texts").get(0, [0])[0])
     start = int(_context(np.zeros(1, np.uint64), np.array([START], np.uint64))[0])
-    hot = {start, *(h for h, n in sums(answers, "hot").items() if n[0] * HOT > uni.total)}
+    hot = {start} | frequent(answers)
     known: list[Order] = []
     answers = [answers]
     for k in range(2, order + 1):
@@ -375,7 +381,7 @@ def score(docs: DataFrame, train, order: int = 3, parts: int | None = None, limi
         here = Order(here.hot, discounts(sums(answers[-1], "all").get(0, np.zeros(K + 1))[: K + 1].tolist()))
         found = sums(answers[-1], "context")
         here.sums = np.array([found.get(int(h), np.zeros(K + 1)) for h in here.hot]).reshape(-1, K + 1)
-        hot = set(sums(answers[-1], "hot"))
+        hot = frequent(answers[-1])
         known.append(here)
 
     def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,9 +1,10 @@
 """Quality rules: per-text base rules, and cross-document line frequency per host.
 
 All of it is built-in functions. Lines are normalised (A-Z lower-cased, white space collapsed)
-and hashed; a line is boilerplate on a host if more than `ratio` of the host's distinct texts,
-and at least `least` of them, carry it. Exact copies of a text are one text here, so copies
-alone never turn prose into boilerplate. Boilerplate lines are removed; a document that keeps
+and hashed; a line is boilerplate on a host if more than `ratio` of the host's distinct documents,
+and at least `least` of them, carry it. Documents are distinct by their texts, so that copies
+alone never turn prose into boilerplate; with `copies` each row is a document of its own. A null
+text is no document. Boilerplate lines are removed; a document that keeps
 less than `left` of its line characters is depleted and rejected.
 """
 
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_col
+from .common import words_col, written
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _KEY = ["doc_id", "source", "digest"]
@@ -60,25 +61,30 @@ def base_rules(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.xxhash64("text").alias("digest"), "text")
+    return docs.select("doc_id", "source", F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("digest"), "text")
 
 
-def boilerplate(docs: DataFrame, ratio: float = 0.05, least: int = 20) -> DataFrame:
-    """(source, line, n): hashes of the lines above the limit of their host, and their distinct texts."""
-    keyed = docs.select("source", F.xxhash64("text").alias("digest"), "text")
-    texts = keyed.select("source", "digest").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("of"))
-    lines = keyed.select("source", "digest", F.explode(F.array_distinct(_lines(F.coalesce("text", F.lit(""))))).alias("line"))
-    found = lines.select("source", "digest", _line_hash(F.col("line")).alias("line")).distinct().groupBy("source", "line").agg(F.count(F.lit(1)).alias("n"))
+def line_table(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, digest, line, size): the hash and length of every line with a word, written down once; a null line for a document without any."""
+    lines = F.transform(_lines(F.coalesce("text", F.lit(""))), lambda x: F.struct(_line_hash(x).alias("line"), F.length(x).alias("size")))
+    return written(_keyed(docs).select(*_KEY, F.explode_outer(lines).alias("l")).select(*_KEY, "l.line", "l.size"), "lines")
+
+
+def boilerplate(lines: DataFrame, ratio: float = 0.05, least: int = 20, copies: bool = False) -> DataFrame:
+    """(source, line, n): hashes of the lines of line_table() above the limit of their host, and the distinct documents that carry them."""
+    one = ["source", "digest", "doc_id"] if copies else ["source", "digest"]
+    known = lines.where("digest is not null")
+    texts = known.select(*one).distinct().groupBy("source").agg(F.count(F.lit(1)).alias("of"))
+    found = known.where("line is not null").select(*one, "line").distinct().groupBy("source", "line").agg(F.count(F.lit(1)).alias("n"))
     found = found.where(F.col("n") >= least)
     host = texts.withColumnRenamed("source", "host")
     return found.join(host, found.source.eqNullSafe(F.col("host"))).where(F.col("n") > ratio * F.col("of")).select("source", "line", "n")
 
 
-def line_verdicts(docs: DataFrame, ratio: float = 0.05, least: int = 20) -> DataFrame:
+def line_verdicts(docs: DataFrame, ratio: float = 0.05, least: int = 20, copies: bool = False) -> DataFrame:
     """(doc_id, source, digest, cut, share): for documents with boilerplate, its line hashes and share of line characters."""
-    lines = _keyed(docs).select(*_KEY, F.explode(_lines(F.coalesce("text", F.lit("")))).alias("line"))
-    lines = lines.select(*_KEY, _line_hash(F.col("line")).alias("line"), F.length("line").alias("size"))
-    often = boilerplate(docs, ratio, least).select(F.col("source").alias("host"), F.col("line").alias("often"))
+    lines = line_table(docs)
+    often = boilerplate(lines, ratio, least, copies).select(F.col("source").alias("host"), F.col("line").alias("often"))
     hit = lines.join(often, lines.source.eqNullSafe(F.col("host")) & (lines.line == F.col("often")), "left")
     by = hit.groupBy(*_KEY).agg(F.collect_set("often").alias("cut"), (F.sum(F.when(F.col("often").isNotNull(), F.col("size"))) / F.sum("size")).alias("share"))
     return by.where(F.size("cut") > 0)
@@ -88,22 +94,26 @@ def _same(left: DataFrame, right: DataFrame):
     return left.doc_id.eqNullSafe(right.doc_id) & left.source.eqNullSafe(right.source) & (left.digest == right.digest)
 
 
-def judge(docs: DataFrame, ratio: float = 0.05, least: int = 20, left: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, ratio: float = 0.05, least: int = 20, left: float = 0.5, copies: bool = False) -> DataFrame:
     """One row for each row of `docs` (doc_id, text, source; others ignored): base counts, base_failed, kept, removed_share.
 
     Null ids and hosts are values of their own; repeated rows get the same verdict; an empty
     table gives no rows.
     """
     base = base_rules(_keyed(docs), keep=("doc_id", "source", "digest"))
-    lines = line_verdicts(docs, ratio, least).select("doc_id", "source", "digest", "share")
+    lines = line_verdicts(docs, ratio, least, copies).select("doc_id", "source", "digest", "share")
     out = base.join(lines, _same(base, lines), "left").select(base["*"], F.coalesce("share", F.lit(0.0)).alias("removed_share"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("removed_share") <= 1 - left)).drop("source", "digest")
 
 
-def filtered(docs: DataFrame, ratio: float = 0.05, least: int = 20, left: float = 0.5) -> DataFrame:
-    """The rows of `docs` that all rules keep, all columns, with boilerplate lines cut from their texts."""
-    lines = line_verdicts(docs, ratio, least)
-    named = docs.select(F.struct("*").alias("_row"), "doc_id", "source", F.xxhash64("text").alias("digest"), "text")
+def filtered(docs: DataFrame, ratio: float = 0.05, least: int = 20, left: float = 0.5, copies: bool = False) -> DataFrame:
+    """The rows of `docs` that all rules keep, all columns, with boilerplate lines cut from their texts.
+
+    Null and empty texts fail and go. Null ids and hosts are values of their own; repeated rows stay or
+    go together; texts without boilerplate stay as they are; an empty table gives no rows.
+    """
+    lines = line_verdicts(docs, ratio, least, copies)
+    named = docs.select(F.struct("*").alias("_row"), "doc_id", "source", F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("digest"), "text")
     good = base_rules(named, keep=("_row", "doc_id", "source", "digest")).where("not base_failed").select("_row", "doc_id", "source", "digest")
     kept = good.join(lines, _same(good, lines), "left").where(F.coalesce("share", F.lit(0.0)) <= 1 - left)
     rest = F.filter(F.split("_row.text", "\n"), lambda x: ~F.coalesce(F.array_contains("cut", _line_hash(x)), F.lit(False)))

@@ -10,11 +10,13 @@ Only shard totals, a row for each shard, reach the driver.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import on_exit, shared_dir, written
 
 
 def min_cost_flow(sizes: list[int], capacities: list[int]) -> list[tuple[int, int, int]]:
@@ -63,16 +65,18 @@ def equal_capacities(total: int, shards: int) -> list[int]:
     return [total // shards + (i < total % shards) for i in range(shards)]
 
 
-def place(docs: DataFrame, old: Column, n_old: int, n_new: int, capacities: list[int] | None = None, buckets: int = 64) -> tuple[DataFrame, list[tuple[int, int, int]]]:
-    """(doc_id, size, text_crc32, old_shard, shard, slot) for each row of `docs`, and the transfers.
+def place(docs: DataFrame, old: Column, n_old: int, n_new: int, capacities: list[int] | None = None, buckets: int | None = None) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+    """(row, doc_id, size, text_crc32, old_shard, shard, slot) for each row of `docs`, and the transfers.
 
+    row is the row's number in `docs`, which has to give the same partitions each time, as files do.
     size is the UTF-8 bytes of the text, none if null, plus 8; `old` is the shard, 0 to
     n_old - 1, where a row lies. Default capacities are equal. Slots count from 0 in each new
     shard without gaps. Ties and repeated rows are ordered arbitrarily but get slots of their
     own; null ids are ids like any other; an empty table gives no rows.
     """
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.select("doc_id", (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), old.cast("int").alias("old_shard"))
+    buckets = buckets or max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), old.cast("int").alias("old_shard"))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)).cast("int"))
     rows = written(rows.withColumn("class", -F.floor(F.log2("size")).cast("int")), "sized")
 
@@ -89,36 +93,50 @@ def place(docs: DataFrame, old: Column, n_old: int, n_new: int, capacities: list
         at[i] += size
     plan = docs.sparkSession.createDataFrame(cuts, "old_shard int, low long, high long, shard int")
 
-    inside = Window.partitionBy("old_shard", "class", "bucket").orderBy(F.desc("size"), "doc_id", "text_crc32").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("old_shard", "class", "bucket").orderBy(F.desc("size"), "doc_id", "text_crc32", "row").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("prefix", F.sum("size").over(inside)).join(parts.drop("bytes"), ["old_shard", "class", "bucket"])
     middle = 2 * (F.col("base") + F.col("prefix")) - F.col("size")
     placed = placed.withColumn("middle", middle).join(F.broadcast(plan), "old_shard").where("low <= middle and middle < high")
-    placed = written(placed.select("doc_id", "size", "text_crc32", "old_shard", "shard", "bucket"), "placed")
+    placed = written(placed.select("row", "doc_id", "size", "text_crc32", "old_shard", "shard", "bucket"), "placed")
 
     counts = placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32")
+    inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "row")
     out = placed.withColumn("i", F.row_number().over(inside) - 1).join(counts, ["shard", "bucket"])
-    return out.select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("base") + F.col("i")).cast("long").alias("slot")), moves
+    return out.select("row", "doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("base") + F.col("i")).cast("long").alias("slot")), moves
 
 
 def rewrite(docs: DataFrame, placed: DataFrame, moves: list[tuple[int, int, int]], path: str) -> list[int]:
-    """Write the shards that gained or lost bytes to `path`/shard=N, all columns, by slot; returns them.
+    """Write the shards that gained or lost bytes to `path`/shard=N, (slot, row: all columns as one struct), by slot within files; returns them.
 
-    Rows meet their places by id, text checksum and size; a repeated row is written once for each of its places.
+    Rows meet their places by their numbers, held against id, checksum and size, so repeated rows,
+    null ids and any other columns are written once each. A table that changed since it was placed raises.
     """
     touched = sorted({s for i, j, _ in moves if i != j for s in (i, j)} & {j for _, j, _ in moves})
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    keyed = docs.dropDuplicates().select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.crc32(raw).alias("crc"), (F.octet_length(raw) + 8).alias("of"))
-    there = placed.where(F.col("shard").isin(touched))
-    both = keyed.join(there, keyed.id.eqNullSafe(there.doc_id) & (keyed.crc == there.text_crc32) & (keyed.of == there["size"]))
-    out = both.select("row", "slot", "shard").repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot")
-    out.write.mode("overwrite").partitionBy("shard").parquet(path)
+    keyed = docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("at"), F.col("doc_id").alias("id"), F.crc32(raw).alias("crc"), (F.octet_length(raw) + 8).alias("of"))
+    there = placed.where(F.col("shard").isin(touched)).withColumnRenamed("row", "number")
+    both = keyed.join(there, (keyed["at"] == there.number) & keyed.id.eqNullSafe(there.doc_id) & (keyed.crc == there.text_crc32) & (keyed.of == there["size"]))
+    both.select("row", "slot", "shard").sortWithinPartitions("shard", "slot").write.mode("overwrite").option("compression", "zstd").partitionBy("shard").parquet(path)
+    found = docs.sparkSession.read.parquet(path).count() if touched else 0
+    if found != there.count():
+        raise RuntimeError("the documents changed between two reads")
     return touched
 
 
 def query(docs: DataFrame) -> DataFrame:
-    """16 shards by a hash of the id become 24 of near-equal bytes."""
-    placed, _ = place(docs, F.pmod(F.xxhash64("doc_id"), F.lit(16)), 16, 24)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    """16 shards by a hash of the id become 24 of near-equal bytes; the result is read from the files of the shards that changed."""
+    spark = docs.sparkSession
+    placed, moves = place(docs, F.pmod(F.xxhash64("doc_id"), F.lit(16)), 16, 24)
+    placed = written(placed, "slots")
+    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    touched = rewrite(docs, placed, moves, path)
+    raw = F.coalesce(F.col("row.text"), F.lit("")).cast("binary")
+    out = placed.where(~F.col("shard").isin(touched)).select("doc_id", "size", "text_crc32", "shard", "slot")
+    if touched:
+        kind = docs.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
+        files = spark.read.schema(f"row {kind}, slot long, shard int").parquet(path)
+        out = out.union(files.select("row.doc_id", (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), "shard", "slot"))
+        on_exit(spark, path)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -1,6 +1,7 @@
 """URL filters: rules by longest match, and a path-template tree per host for the rest.
 
-The tree is grown level by level with groupings only. Under each (host, template so far) the
+The tree is grown level by level with groupings only, and what all paths of a branch share is
+one level, so the rounds are as many as paths part ways and don't follow the longest path. Under each (host, template so far) the
 segments at the next level are counted; segments that look like identifiers become the wildcard
 `*`, and so do siblings whose share of bad labels does not differ significantly from that of the
 rest of the branch (a two-proportion test at `z`). Where the branch has many kinds, a segment rarer
@@ -55,21 +56,34 @@ def grown(pages: DataFrame, labels: DataFrame, rare: float = 0.01, many: int = 2
     flag = pages.join(marks, "page_id", "left").select("page_id", "host", "path", segments(F.col("path")).alias("s"), F.coalesce((1 - F.col("bad")).cast("long"), F.lit(0)).alias("good"), F.coalesce(F.col("bad").cast("long"), F.lit(0)).alias("bad"))
     # pages with one path shape travel as one row; a hot host is as many rows as it has shapes
     shapes = flag.groupBy("host", "s").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    shapes = written(shapes.withColumn("t", F.lit("")), "shapes")
-    depth = shapes.agg(F.max(F.size("s"))).first()[0] or 0
-    for level in range(depth):
-        here = shapes.withColumn("x", F.get("s", F.lit(level)))
-        by = here.where("x is not null").groupBy("host", "t", "x").agg(*(F.sum(c).alias(c) for c in ("n", "good", "bad")))
+    active, done = written(shapes.withColumn("t", F.lit("")).withColumn("at", F.lit(0)), "shapes"), None
+    columns = [*shapes.columns, "t", "at"]
+    rest = F.slice("s", F.col("at") + 2, F.greatest(F.size("s") - F.col("at") - 1, F.lit(1)))
+    while True:
+        ended = active.where("at >= size(s)").select(*shapes.columns, "t")
+        done = ended if done is None else done.union(ended)
+        here = active.where("at < size(s)").withColumn("x", F.get("s", F.col("at"))).withColumn("rest", rest)
+        if here.isEmpty():
+            break
+        by = here.groupBy("host", "t", "x").agg(*(F.sum(c).alias(c) for c in ("n", "good", "bad")), F.min("rest").alias("low"), F.max("rest").alias("high"))
         branch = by.groupBy("host", "t").agg(F.count(F.lit(1)).alias("kinds"), *(F.sum(c).alias(f"all_{c}") for c in ("n", "good", "bad")))
         one, all_ = F.col("good") + F.col("bad"), F.col("all_good") + F.col("all_bad")
-        rest = all_ - one
+        others = all_ - one
         pooled = F.try_divide("all_bad", all_)
-        gap = F.abs(F.try_divide("bad", one) - F.try_divide(F.col("all_bad") - F.col("bad"), rest))
-        differs = gap > z * F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), one) + F.try_divide(F.lit(1), rest)))  # null without labels on both sides
+        gap = F.abs(F.try_divide("bad", one) - F.try_divide(F.col("all_bad") - F.col("bad"), others))
+        differs = gap > z * F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), one) + F.try_divide(F.lit(1), others)))  # null without labels on both sides
         untold = (F.col("kinds") >= many) & (F.col("n") < rare * F.col("all_n")) & (one < few)  # rare, with too few labels for the test
         wild = (F.col("x") == "*") | untold | ((F.col("kinds") > 1) & ~F.coalesce(differs, F.lit(False)))
-        step = by.join(branch, ["host", "t"]).select("host", "t", "x", F.when(wild, "*").otherwise(F.col("x")).alias("g"))
-        shapes = written(here.join(step, ["host", "t", "x"], "left").withColumn("t", F.concat("t", F.when(F.col("x").isNull(), "").otherwise(F.concat(F.lit("/"), "g")))).select(*shapes.columns), "shapes")
+        # below a segment that merges with no other, what all paths share has one kind at each level: it is taken at once
+        alone = ~wild | (F.col("kinds") == 1)
+        same = F.array_position(F.transform(F.arrays_zip("low", "high"), lambda p: F.coalesce(p.low == p.high, F.lit(False))), False) - 1
+        shared = F.when(alone, F.when(same < 0, F.size("low")).otherwise(same).cast("int")).otherwise(0)
+        step = by.join(branch, ["host", "t"]).withColumn("shared", shared)
+        tail = F.when(F.col("shared") > 0, F.concat(F.lit("/"), F.array_join(F.slice("low", F.lit(1), F.col("shared")), "/"))).otherwise("")
+        step = step.select("host", "t", "x", F.concat(F.lit("/"), F.when(wild, "*").otherwise(F.col("x")), tail).alias("g"), "shared")
+        active = here.join(step, ["host", "t", "x"]).withColumn("t", F.concat("t", "g")).withColumn("at", F.col("at") + 1 + F.col("shared"))
+        active = written(active.select(*columns), "shapes")
+    shapes = written(done, "templates")
     counts = shapes.groupBy("host", "t").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     return flag.select("page_id", "host", "path", "s"), shapes.select("host", "s", "t").join(counts, ["host", "t"])
 

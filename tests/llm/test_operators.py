@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -90,6 +91,40 @@ def test_bpe_and_token_files(files, texts):
     assert bag(tokenfile.read_back(tokenfile.write(files, PATH, size=100)).collect()) == bag(want)
 
 
+def test_words_with_one_polynomial_hash(spark, tmp_path):
+    """Thue-Morse words and their complements, which every polynomial hash modulo 2^64 takes for one."""
+    w = "a"
+    while len(w) < 2048:
+        w += w.translate(str.maketrans("ab", "ba"))
+    rows = [(1, w), (2, w.translate(str.maketrans("ab", "ba"))), (3, w[:1024]), (4, w[1024:2048])]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    tok = Tokenizer.from_file(PATH)
+    ids = {i: np.array(tok.encode(t, add_special_tokens=False).ids, "<u4") for i, t in rows}
+    assert {r.doc_id: (r.ids_sha256, r.decoded_sha256) for r in bpe.query(docs, PATH).collect()} == {i: (hashlib.sha256(ids[i].tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, t in rows}
+    assert {r.doc_id: r.ids_crc32 for r in tokenfile.query(docs, PATH).collect()} == {i: zlib.crc32(np.r_[ids[i], 2].astype("<u4").tobytes()) for i in ids}
+    got = {r.doc_id: r.n_known for r in katz.score(docs, F.col("doc_id") == 1).collect()}
+    assert got == {1: 2, 2: 1, 3: 1, 4: 1}
+
+
+def test_hashes_that_collide(monkeypatch):
+    from provlake.llm import common
+
+    real = common.span_hashes
+    monkeypatch.setattr(common, "span_hashes", lambda *x: real(*x) % np.uint64(3))
+    data = b"one two three two one " * 3 + b"x" * 100 + b" " + b"x" * 99 + b"y"
+    starts, ends, _ = common.word_spans(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    _, first, which = common.distinct_spans(np.frombuffer(data, np.uint8), starts, ends)
+    assert [data[starts[first[w]] : ends[first[w]]] for w in which] == data.split() and len(first) == 5
+
+
+def test_two_tokenizers_in_one_session(spark):
+    docs = spark.createDataFrame([(1, "the cat sat on the mat")], "doc_id long, text string").coalesce(1)
+    for path in (PATH, public_tokenizers.path("word_bpe_49k.json"), PATH):
+        want = np.array([*Tokenizer.from_file(path).encode("the cat sat on the mat", add_special_tokens=False).ids, 2], "<u4")
+        assert tokenfile.query(docs, path).first().ids_crc32 == zlib.crc32(want.tobytes())
+
+
 def test_elias_fano():
     r = np.random.default_rng(0)
     for n, top in [(0, 0), (1, 0), (5, 3), (200, 50), (1000, 10**6)]:
@@ -120,8 +155,38 @@ def test_reshard(spark, tmp_path):
     assert max(sizes) - min(sizes) < 0.03 * sum(sizes) / 6
     moved = sum(x.size for x in got if x.shard != x.old_shard)
     assert abs(moved - sum(b for i, j, b in moves if i != j)) < 500
-    touched = reshard.rewrite(df, placed, moves, str(tmp_path / "out"))
-    assert touched == list(range(6)) and spark.read.parquet(str(tmp_path / "out")).count() == len(rows)
+    with pytest.raises(RuntimeError, match="changed"):
+        reshard.rewrite(df.limit(10), placed, moves, str(tmp_path / "less"))
+    odd = spark.createDataFrame([(i % 3, "same", i, {"k": i}) for i in range(50)] + [(None, None, 7, None)], "doc_id long, text string, slot int, shard map<string,int>")
+    for name, df_, of in (("out", df, (4, 6)), ("odd", odd, (2, 3))):  # rows alike but in other columns, and columns with names of ours
+        placed, moves = reshard.place(df_, F.pmod(F.xxhash64("doc_id"), F.lit(of[0])), *of)
+        touched = reshard.rewrite(df_, placed, moves, str(tmp_path / name))
+        files = spark.read.parquet(str(tmp_path / name)).collect()
+        assert touched == list(range(of[1])) and sorted(map(str, (x.row for x in files))) == sorted(map(str, df_.collect()))
+        assert {(x.shard, x.slot) for x in files} == {(x.shard, x.slot) for x in placed.collect()}
+    assert bag(x[:3] for x in reshard.query(df).collect()) == bag((i, len(t or "") + 8, zlib.crc32((t or "").encode())) for i, t in rows)
+
+
+def test_min_cost_flow_equals_brute_force():
+    r = random.Random(3)
+
+    def least(sizes, room):
+        """Every way to spread the first shard's bytes, then the others'."""
+        if not sizes:
+            return 0
+        shard, size, best = sizes[0][0], sizes[0][1], math.inf
+        for split in itertools.product(*(range(min(size, x) + 1) for x in room)):
+            if sum(split) == size:
+                best = min(best, size - (split[shard] if shard < len(room) else 0) + least(sizes[1:], [a - b for a, b in zip(room, split)]))
+        return best
+
+    for _ in range(40):
+        sizes = [r.randrange(5) for _ in range(r.randrange(1, 4))]
+        room = [r.randrange(6) for _ in range(r.randrange(1, 4))]
+        if sum(room) >= sum(sizes):
+            moves = reshard.min_cost_flow(sizes, room)
+            assert sum(b for i, j, b in moves if i != j) == least(list(enumerate(sizes)), room)
+            assert all(sum(b for i, _, b in moves if i == k) == s for k, s in enumerate(sizes)) and all(sum(b for _, j, b in moves if j == k) <= c for k, c in enumerate(room))
 
 
 def test_decontamination(spark, files, texts):
@@ -237,6 +302,9 @@ def test_quality_lines(spark):
     assert all(kept[i] for i in range(40)) and not any(kept[100 + i] for i in range(5))
     assert all(kept[200 + i] for i in range(60))  # copies alone are no boilerplate
     assert kept[300] and not kept[301]
+    nulls = spark.createDataFrame([(i, f"same line here\n{body()}" if i < 20 else body(), "a") for i in range(399)] + [(900 + i, None, "a") for i in range(5)], "doc_id long, text string, source string")
+    assert quality.boilerplate(quality.line_table(nulls)).count() == 1  # 20 of 399 documents; null texts are none
+    assert quality.boilerplate(quality.line_table(df.where("source = 'b'")), copies=True).count() == 2  # rows count, if asked for
     out = {x.doc_id: x.text for x in quality.filtered(df).collect()}
     assert "NOW" not in out[3] and out[300].startswith("Share") and len(out) == sum(kept.values())
 
@@ -400,6 +468,14 @@ def test_url_templates(spark):
     assert by[1003].template == "/u/*/z"
 
 
+def test_long_paths(spark):
+    """A url of a thousand segments, alone or shared up to its end, takes few rounds and keeps its template."""
+    deep = "/" + "/".join("abcdefgh"[i % 8] for i in range(1000))
+    rows = [(0, f"http://h.io{deep}/left"), (1, f"http://h.io{deep}/right"), (2, "http://h.io/x/y"), (3, f"http://k.io{deep}"), (4, "http://h.io/x")]
+    got = {r.page_id: r.template for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([(0, 0), (1, 1)], "page_id long, bad int"), rules=[]).collect()}
+    assert got[3] == deep and got[0] == got[1] == f"/*/*{deep[4:]}/*" and got[2] == "/*/*" and got[4] == "/*"
+
+
 def test_rare_directory_with_bad_labels(spark):
     """Of 30 kinds of one host, one with 0.5 % of the pages and bad labels only stays literal and is blocked; one with a few labels merges."""
     names = [f"{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(28)]
