@@ -17,17 +17,21 @@ from .state import Store
 from .streaming.ingest import ingest_batch
 
 
+#: What the seeds know of a subject besides.
+_DETAILS = ["wikidata_id", "birth_year", "death_year", "occupation"]
+
+
 def acquire(spark: SparkSession, home: str, search_url: str, source: str = "commons", category: str | None = None, limit: int = archive.SEARCH_MAX, cap: int = 0, max_bytes: int = 15 * 1024**2, rate: float = 2.0) -> DataFrame:
     """Search for the seed subjects and ingest what is found; the outcomes, one row for each candidate taken.
 
     Only candidates that are free to use and not settled by an earlier run are fetched. What a
     fetch yields is written down first, so the ingest sees one state of it.
     """
-    subjects = seeds.load_subjects(spark, category=category).select("seq", "folder", "category", "query")
+    subjects = seeds.load_subjects(spark, category=category).select("seq", "folder", "category", "query", *_DETAILS)
     wanted = [{"subject": r.folder, "category": r.category, "query": r.query} for r in subjects.orderBy("seq").collect()]
     reader = spark.read.format(archive.register(spark, source)).options(url=search_url, subjects=json.dumps(wanted), limit=limit, source=source, rate=rate)
     found = archive.candidates(reader.load(), limit)
-    order = subjects.select(F.col("folder").alias("subject"), "category", F.col("seq").alias("turn"))
+    order = subjects.select(F.col("folder").alias("subject"), "category", F.col("seq").alias("turn"), *_DETAILS)
     found = found.join(order, ["subject", "category"]).withColumn("seq", (F.col("turn") * archive.SEARCH_MAX + F.col("pos")).cast("long")).drop("turn", "pos")
 
     store = Store(spark, f"{home}/metadata")

@@ -146,7 +146,7 @@ def _responses(spark: SparkSession, d: str) -> DataFrame:
 _HARVEST = """SELECT 'commons' AS source, 'Page_' || page_id AS subject, 'concept' AS category, pos, CAST(pos AS VARCHAR) || ' of ' || page_id AS title,
   CASE WHEN page_id % 5 = 0 THEN NULL ELSE 'Page ' || page_id END AS photographer, CAST(1900 + page_id % 100 AS INT) AS year, url || '&n=' || pos AS remote_url,
   CASE WHEN page_id % 2 = 0 THEN url || '&n=' || pos ELSE url END AS source_url, CASE WHEN page_id % 4 = 0 THEN 'Public domain' ELSE 'CC0' END AS licence,
-  CASE WHEN page_id % 5 = 0 THEN 'Archive' ELSE 'Page ' || page_id END AS attribution
+  CASE WHEN page_id % 5 = 0 THEN 'Archive' ELSE 'Page ' || page_id END AS attribution, CAST(10 AS INT) AS width, CAST(10 AS INT) AS height
   FROM pages, (VALUES (0), (1)) AS t(pos) WHERE pos = 0 OR page_id % 3 <> 0"""
 _query("harvest_parse", _HARVEST, "")(lambda s, d: archive.candidates(_responses(s, d)))
 _query("harvest_topk", f"{_HARVEST} AND pos = 0", "")(lambda s, d: archive.candidates(_responses(s, d), limit=1))

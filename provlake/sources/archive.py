@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import IMAGE_MIMES, clean_html, extract_year, stripped, truthy, without_file_prefix
 
+LANES = 4  # partitions of a search, which share its rate
 SEARCH_MAX = 50  # candidates a search returns at most
 TRANSIENT = (408, 425, 429, 500, 502, 503, 504)
 
@@ -42,7 +43,7 @@ def candidates(responses: DataFrame, limit: int | None = None) -> DataFrame:
     licence = stripped(F.coalesce(meta("LicenseShortName"), meta("License"), meta("UsageTerms"), F.lit("unknown")))
     out = rows.select(
         "source", "subject", "category", "pos", title.alias("title"), artist.alias("photographer"), extract_year(meta("DateTimeOriginal"), title).alias("year"),
-        F.col("i.url").alias("remote_url"), F.coalesce(truthy(F.col("i.descriptionurl")), F.col("i.url")).alias("source_url"), licence.alias("licence"), F.coalesce(artist, credit).alias("attribution"))
+        F.col("i.url").alias("remote_url"), F.coalesce(truthy(F.col("i.descriptionurl")), F.col("i.url")).alias("source_url"), licence.alias("licence"), F.coalesce(artist, credit).alias("attribution"), F.col("i.width").alias("width"), F.col("i.height").alias("height"))
     return out if limit is None else top_per_subject(out, limit)
 
 
@@ -92,7 +93,7 @@ def fetched(open_: Callable[[], bytes], retries: int = 4, base: float = 0.5, sle
 
 
 class ArchiveSource(DataSource):
-    """spark.read.format("archive"): search responses, one partition for each subject.
+    """spark.read.format("archive"): search responses, in LANES partitions at most, each with its share of the rate.
 
     Options: url (the search service), subjects (JSON list of {subject, category, query}),
     limit, rate (requests a second over all partitions).
@@ -115,16 +116,18 @@ class ArchiveReader(DataSourceReader):
         self.subjects = json.loads(self.options["subjects"])
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(i) for i in range(len(self.subjects))]
+        return [InputPartition(i) for i in range(min(LANES, len(self.subjects)))]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        subject = self.subjects[partition.value]
+    def read(self, partition: InputPartition, sleep: Callable[[float], None] = time.sleep) -> Iterator[tuple]:
+        mine = self.subjects[partition.value :: LANES]
+        bucket = Bucket(float(self.options.get("rate", 2.0)) / min(LANES, len(self.subjects)), 1, sleep=sleep)
         limit = max(1, min(int(self.options.get("limit", SEARCH_MAX)), SEARCH_MAX))
-        query = urlencode({"action": "query", "format": "json", "generator": "search", "gsrsearch": subject["query"], "gsrnamespace": 6, "gsrlimit": limit, "prop": "imageinfo", "iiprop": "url|size|mime|extmetadata"})
-        request = Request(f"{self.options['url']}?{query}", headers={"User-Agent": "provlake"})
-        Bucket(float(self.options.get("rate", 2.0)) / len(self.subjects)).take()
-        body = fetched(lambda: urlopen(request, timeout=60).read())
-        yield self.options.get("source", "commons"), subject["subject"], subject["category"], body.decode()
+        for subject in mine:
+            query = urlencode({"action": "query", "format": "json", "generator": "search", "gsrsearch": subject["query"], "gsrnamespace": 6, "gsrlimit": limit, "prop": "imageinfo", "iiprop": "url|size|mime|extmetadata"})
+            request = Request(f"{self.options['url']}?{query}", headers={"User-Agent": "provlake"})
+            bucket.take()
+            body = fetched(lambda: urlopen(request, timeout=60).read())  # noqa: B023
+            yield self.options.get("source", "commons"), subject["subject"], subject["category"], body.decode()
 
 
 SOURCES: dict[str, type[DataSource]] = {"commons": ArchiveSource}

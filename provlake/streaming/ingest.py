@@ -20,7 +20,8 @@ _LANDS = ("complete", "failed", "duplicate", "quarantined", "pending")
 def ingest_batch(store: Store, batch: DataFrame, cap: int = 0, images: str | None = None) -> DataFrame:
     """Ingest candidates (seq, subject, category, source, remote_url, source_url, licence, year, title, sha256, size, failure) and commit.
 
-    With `images`, the files of complete ones (column cached) are landed there before the commit.
+    Whatever else the batch has of the catalogue's columns is kept too: photographer, attribution, width
+    and height of a photograph, wikidata_id, birth_year, death_year and occupation of a subject. With `images`, the files of complete ones (column cached) are landed there before the commit.
 
     Running a batch again changes nothing but failed and pending rows, which are tried again.
     """
@@ -34,7 +35,8 @@ def ingest_batch(store: Store, batch: DataFrame, cap: int = 0, images: str | Non
     done = outcomes(batch, photos.select("remote_url", "status", "sha256"), pool, cap).where(F.col("outcome").isin(*_LANDS))
     done = done.groupBy("remote_url").agg(F.max_by(F.struct("*"), F.col("seq")).alias("r")).select("r.*")
 
-    new = done.select("seq", "category", F.col("subject").alias("name"), *(F.lit(None).cast(t).alias(n) for n, t in [("wikidata_id", "string"), ("birth_year", "int"), ("death_year", "int"), ("occupation", "string")]))
+    given = lambda f: (F.col(f.name) if f.name in done.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+    new = done.select("seq", "category", F.col("subject").alias("name"), *(given(f) for f in SUBJECTS if f.name not in ("id", "name", "category")))
     subjects = upsert_subjects(subjects, new)
     landed = F.col("outcome") == "complete"
     only = lambda c: F.when(landed, c)
@@ -45,7 +47,8 @@ def ingest_batch(store: Store, batch: DataFrame, cap: int = 0, images: str | Non
         "filename": only(pool_filename(F.col("subject"), F.col("year"), F.col("source"), F.col("sha256"), extension(F.col("remote_url")))),
         "downloaded_at": only(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssxxx")),
     }
-    fresh = done.select("seq", "remote_url", "subject", "category", "title", "year", "source", "source_url", F.coalesce(normalise_licence(F.col("licence")), "licence").alias("licence"), *(c.alias(f"new_{n}") for n, c in fields.items()))
+    about = [given(f) for f in PHOTOGRAPHS if f.name in ("title", "photographer", "year", "attribution", "width", "height")]
+    fresh = done.select("seq", "remote_url", "subject", "category", "source", "source_url", *about, F.coalesce(normalise_licence(F.col("licence")), "licence").alias("licence"), *(c.alias(f"new_{n}") for n, c in fields.items()))
     kept = photos.join(fresh.select("remote_url", *(f"new_{n}" for n in fields)), "remote_url", "left")
     kept = kept.select(*(F.coalesce(f"new_{n}", n).alias(n) if n in fields else F.col(n) for n in PHOTOGRAPHS.names))
     added = fresh.join(photos.select("remote_url"), "remote_url", "left_anti")
