@@ -245,7 +245,10 @@ def _count_words(parts: int, keep: bool):
         top = order[:HOT][c[order[:HOT]] * HOT > c.sum()]  # who has so much of all tokens has it of the part's
         sums.append(("hot", _context(np.zeros(len(top), np.uint64), ids[top]), c[top]))
         cuts = np.cumsum([0, *(len(x[0]) for x in asked)])
-        return [pack64(ids[which[i:j]], c[which[i:j]]) for i, j in zip(cuts, cuts[1:])], sums, [pack64(keys, ids, c)] if keep else []
+        place = np.empty(len(keys), np.uint64)  # the number without what all words of the part share
+        place[order] = np.arange(1, len(keys) + 1, dtype=np.uint64)
+        place[ends] = 0
+        return [pack64(np.array([part], np.uint64), place[which[i:j]], c[which[i:j]]) for i, j in zip(cuts, cuts[1:])], sums, [pack64(keys, ids, c)] if keep else []
 
     return run
 
@@ -291,7 +294,7 @@ def _count(k: int, uni: Unigrams, low: np.ndarray | None, order: Order, keep: bo
     return run
 
 
-def score(docs: DataFrame, train, order: int = 3, parts: int | None = None, limit: int = 1 << 22, model: str | None = None) -> DataFrame:
+def score(docs: DataFrame, train, order: int = 3, parts: int | None = None, limit: int = 5 << 20, model: str | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of `docs` (doc_id, text; others ignored).
 
     `train` is a boolean column; the model, of n-grams up to `order`, learns from those rows. A null
@@ -345,6 +348,8 @@ def score(docs: DataFrame, train, order: int = 3, parts: int | None = None, limi
     def opened(head: bytes, got: list[tuple[int, bytes]], texts: int, known: list[Order], p: bool) -> tuple[_Block, np.ndarray | None]:
         """A block with the answers so far, ready for the next order."""
         answers = [[unpack64(x) for part, all_ in got if part // parts == k for x in split(all_) if x] for k in range(len(known) + 1)]
+        numbers = [np.where(x[1] == 0, np.uint64(END), (x[1] - np.uint64(1)) * np.uint64(parts) + x[0] + np.uint64(FIRST)) for x in answers[0]]
+        answers[0] = [[n, x[2]] for n, x in zip(numbers, answers[0])]
         put = lambda k, i: np.concatenate([x[i] for x in answers[k]] or [np.zeros(0, np.uint64)])
         often = unpack(split(head)[1])[0]
         if len(put(0, 0)) != len(often):
