@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, distinct_spans, frugal, utf8
+from .common import blocks, distinct_spans, utf8
 from .packed import ROW, by_block, column_of, numbered, pack, row, rows_of, unpack, with_column
 from .tokens import decode_ids, encode_words, piece_starts, spread
 
@@ -30,8 +30,8 @@ def _distinct(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return data, starts[first], ends[first], keys, which, np.diff(np.searchsorted(starts, off))
 
 
-def encode(docs: DataFrame, path: str, parts: int | None = None, limit: int = 1 << 23) -> DataFrame:
-    """(doc_id, ids): one row for each row of `docs` (doc_id, text; others ignored).
+def encode(docs: DataFrame, path: str, parts: int | None = None, limit: int = 1 << 22, decoded: bool = False) -> DataFrame:
+    """(doc_id, ids), with `decoded` also text, what the ids decode to: one row for each row of `docs` (doc_id, text; others ignored).
 
     ids are little-endian unsigned 32-bit integers, as the tokenizers library gives them with
     add_special_tokens=False. A null or empty text has none. Null and repeated ids are kept as
@@ -39,7 +39,7 @@ def encode(docs: DataFrame, path: str, parts: int | None = None, limit: int = 1
     partitions both times, as files do; a mismatch raises.
     """
     spark = docs.sparkSession
-    docs = frugal(docs).select("doc_id", "text", F.spark_partition_id().alias("_part"))
+    docs = docs.select("doc_id", "text", F.spark_partition_id().alias("_part"))
     parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,12 +76,13 @@ def encode(docs: DataFrame, path: str, parts: int | None = None, limit: int = 1
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, head, got in by_block(batches):
-            yield _assembled(head, [x for _, x in got])
+            out = _assembled(head, [x for _, x in got])
+            yield _decoded(out, path) if decoded else out
 
     sent = docs.mapInArrow(words, ROW).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(encoded, ROW)
     there = docs.mapInArrow(positions, ROW)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return sent.union(there).repartition("block").sortWithinPartitions("block", "part").mapInArrow(joined, f"doc_id {kind}, ids binary")
+    return sent.union(there).repartition("block").sortWithinPartitions("block", "part").mapInArrow(joined, f"doc_id {kind}, ids binary" + ", text string" * decoded)
 
 
 def _pack_words(n: np.ndarray, flat: bytes) -> bytes:
@@ -111,21 +112,24 @@ def _assembled(head: bytes, got: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([doc_id, raw.cast(pa.binary())], ["doc_id", "ids"])
 
 
+def _decoded(batch: pa.RecordBatch, path: str) -> pa.RecordBatch:
+    texts = [decode_ids(path, np.frombuffer(x.as_py() or b"", "<u4")) for x in batch.column("ids")]
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "ids", "text"])
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """`encoded` (doc_id, ids) with the decoded text beside it, special tokens included; null ids decode to an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in blocks(iter([batch]), "ids", 1 << 23):
-                texts = [decode_ids(path, np.frombuffer(x.as_py() or b"", "<u4")) for x in part.column("ids")]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "ids", "text"])
+        for batch in blocks(batches, "ids", 1 << 23):
+            yield _decoded(batch, path)
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids binary, text string")
 
 
 def query(docs: DataFrame, path: str) -> DataFrame:
-    both = decode(encode(docs, path), path)
+    both = encode(docs, path, decoded=True)
     return both.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

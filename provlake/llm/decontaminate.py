@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, frugal, mixed, span_hashes, utf8, word_spans, written
+from .common import LOWER, blocks, mixed, span_hashes, utf8, word_spans, written
 
 _LOWER = np.frombuffer(LOWER, np.uint8)
 #: The bytes of `[\x00-\x2F\x3A-\x60\x7B-\x7F]`.
@@ -175,7 +175,7 @@ def measure(docs: DataFrame, benchmark: DataFrame, size: int = 10, shingle: int
     each block and has to give the same partitions, as files do, if there are several.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    numbered = frugal(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     found = None
     for sent in _indexes(docs, benchmark, size, shingle, block):
 
@@ -207,7 +207,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, shingle: int =
             for batch in blocks(batches, "text", _BYTES):
                 yield batch.filter(pa.array([not x for x in _scan(batch, sent.value)[1]], pa.bool_()))
 
-        return frugal(docs).mapInArrow(run, docs.schema)
+        return docs.mapInArrow(run, docs.schema)
 
     last = None
     for sent in _indexes(docs, benchmark, size, shingle, block):

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, distinct_spans, dropped, frugal, mixed, utf8, word_spans, written, written_apart
+from .common import LOWER, distinct_spans, dropped, mixed, utf8, word_spans, written, written_apart
 from .packed import ROW, by_block, by_part, column_of, joined, numbered, one_by_one, pack, pack64, rows, split, spread_over, together, unpack, unpack64, with_column
 
 K = 5
@@ -306,7 +306,7 @@ def score(docs: DataFrame, train, order: int = 3, parts: int | None = None, limi
     if order < 2:
         raise ValueError("a backoff model has order 2 at least")
     spark = docs.sparkSession
-    docs = frugal(docs).select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"), F.spark_partition_id().alias("_part"))
+    docs = docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"), F.spark_partition_id().alias("_part"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     parts = _TOGETHER * (parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
     keep = model is not None

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, eights, frugal, mixed, utf8, written, written_apart
+from .common import dropped, eights, mixed, utf8, written, written_apart
 from .packed import ROW, batch_of, by_block, by_part, numbered, pack, pack64, rows, spread_over, unpack, unpack64, with_batch
 
 #: The bases of two independent running sums.
@@ -266,7 +266,7 @@ def repeats(docs: DataFrame, size: int = 200, gram: int = 64, limit: int = 1 <<
         return heads.union(answers).repartition("block").sortWithinPartitions("block", "part")
 
     own = "_part" + "_" * max(map(len, docs.columns))
-    given, asks = written_apart(frugal(docs).withColumn(own, F.spark_partition_id()).mapInArrow(initial, ROW), "buckets", "part = -1")
+    given, asks = written_apart(docs.withColumn(own, F.spark_partition_id()).mapInArrow(initial, ROW), "buckets", "part = -1")
     blocks, more = written_apart(answered(given, asks).mapInArrow(whole, ROW), "whole", "part = -1")
     dropped(spark, given, asks)
     heads, first = written_apart(answered(blocks, more).mapInArrow(nodes, ROW), "nodes", "part = -1")
