@@ -116,69 +116,6 @@ def written_apart(df: DataFrame, name: str, apart: str) -> tuple[DataFrame, Data
     return out[0], out[1]
 
 
-def written_apart(df: DataFrame, name: str, apart: str) -> tuple[DataFrame, DataFrame]:
-    """As `written`, the rows for which the condition `apart` holds in a table of their own: (they, the others)."""
-    spark = df.sparkSession
-    own = "_apart" + "_" * max(map(len, df.columns))
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    paths = _OPEN.get()
-    if paths is not None:
-        paths.append(path)
-    df.withColumn(own, F.coalesce(F.expr(apart), F.lit(False))).write.option("compression", "zstd").partitionBy(own).parquet(path)
-    on_exit(spark, path)
-    fs, _ = _located(spark, path)
-    out = []
-    for value in ("true", "false"):
-        fs.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{own}={value}"))  # there are none of a kind at times
-        out.append(spark.read.schema(df.schema).parquet(f"{path}/{own}={value}"))
-    return out[0], out[1]
-
-
-def frugal(df: DataFrame, most: int = 8 << 20) -> DataFrame:
-    """`df`, whose batches to Python are then of about `most` bytes.
-
-    Spark's limit is a number of rows, which says nothing where a row is a long text or a packed
-    block. A smaller limit that the session has stays.
-    """
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = re.fullmatch(r"(\d+)b?", conf.get(key).lower())
-    if held is None or not 0 < int(held[1]) <= most:
-        conf.set(key, str(most))
-    return df
-
-
-def written_apart(df: DataFrame, name: str, apart: str) -> tuple[DataFrame, DataFrame]:
-    """As `written`, the rows for which the condition `apart` holds in a table of their own: (they, the others)."""
-    spark = df.sparkSession
-    own = "_apart" + "_" * max(map(len, df.columns))
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    paths = _OPEN.get()
-    if paths is not None:
-        paths.append(path)
-    df.withColumn(own, F.coalesce(F.expr(apart), F.lit(False))).write.option("compression", "zstd").partitionBy(own).parquet(path)
-    on_exit(spark, path)
-    fs, _ = _located(spark, path)
-    out = []
-    for value in ("true", "false"):
-        fs.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{own}={value}"))  # there are none of a kind at times
-        out.append(spark.read.schema(df.schema).parquet(f"{path}/{own}={value}"))
-    return out[0], out[1]
-
-
-def frugal(df: DataFrame, most: int = 8 << 20) -> DataFrame:
-    """`df`, whose batches to Python are then of about `most` bytes.
-
-    Spark's limit is a number of rows, which says nothing where a row is a long text or a packed
-    block. A smaller limit that the session has stays.
-    """
-    conf = df.sparkSession.conf
-    for key in ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxBytesPerOutputBatch"):
-        held = re.fullmatch(r"(\d+)b?", conf.get(key).lower())
-        if held is None or not 0 < int(held[1]) <= most:
-            conf.set(key, str(most))
-    return df
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
