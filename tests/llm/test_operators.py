@@ -129,8 +129,11 @@ def test_elias_fano():
     r = np.random.default_rng(0)
     for n, top in [(0, 0), (1, 0), (5, 3), (200, 50), (1000, 10**6)]:
         v = np.sort(r.integers(0, top + 1, n))
-        code = tokenfile.EliasFano.of(v)
-        assert code.values().tolist() == v.tolist() == [code.select(i) for i in range(n)]
+        for v in (v, v + 70_000 * (np.arange(n) > n // 2)):  # also with a wide gap
+            code = tokenfile.EliasFano.of(v)
+            assert code.select(np.arange(n)).tolist() == v.tolist()
+            some = r.permutation(n)[: n // 3]
+            assert code.select(some).tolist() == v[some].tolist()
 
 
 def test_min_cost_flow():
