@@ -39,7 +39,7 @@ def acquire(spark: SparkSession, home: str, search_url: str, source: str = "comm
     state = resumed(found, known.select("remote_url", "status"))
     due = accepted(F.col("licence")) & ~F.col("skip")
     idle = [F.lit(None).cast(t).alias(n) for n, t in [("cached", "string"), ("sha256", "string"), ("size", "long"), ("failure", "string")]]
-    got = fetch(state.where(due).select(*found.columns), f"{home}/cache", max_bytes, rate).unionByName(state.where(~due).select(*found.columns, *idle))
+    got = fetch(state.where(due).select(*found.columns), f"{home}/cache", max_bytes, rate, pictures=True).unionByName(state.where(~due).select(*found.columns, *idle))
     batch = f"{home}/cache/batches/{uuid.uuid4().hex}"
     got.write.parquet(batch)
     return ingest_batch(store, spark.read.parquet(batch), cap, f"{home}/images")

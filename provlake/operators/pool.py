@@ -10,13 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.pictures import damaged
 from ..functions.text import truthy
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """(path, length, sha256) of the files below `root`, paths relative to it."""
+    """(path, length, sha256, corrupt) of the files below `root`, paths relative to it; corrupt ones are no whole pictures."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select(F.substring_index("path", root.rstrip("/") + "/", -1).alias("path"), "length", F.sha2("content", 256).alias("sha256"), F.lit(False).alias("corrupt"))
+    return files.select(F.substring_index("path", root.rstrip("/") + "/", -1).alias("path"), "length", F.sha2("content", 256).alias("sha256"), damaged("content").alias("corrupt"))
 
 
 def pool_path(photos: DataFrame) -> DataFrame:
@@ -25,6 +26,29 @@ def pool_path(photos: DataFrame) -> DataFrame:
     return found.withColumn("path", F.concat_ws("/", "category", "subject", "filename"))
 
 
+def relocate(photos: DataFrame, root: str) -> DataFrame:
+    """Move the files of the older layout, subject/filename below `root`, to category/subject/filename; (id, path, moved).
+
+    `photos` have subject. A file that is there already in the new place is left alone, and so is its old
+    one; a row without a file name or with no old file moves nothing. A repeated run moves nothing more.
+    """
+    named = photos.where(F.col("filename").isNotNull()).select("id", F.concat_ws("/", "subject", "filename").alias("old"), F.concat_ws("/", "category", "subject", "filename").alias("path"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            moved = []
+            for old, path in zip(frame["old"], frame["path"]):
+                src, dest = os.path.join(root, old), os.path.join(root, path)
+                due = os.path.isfile(src) and not os.path.exists(dest)
+                if due:
+                    os.makedirs(os.path.dirname(dest), exist_ok=True)
+                    os.replace(src, dest)
+                moved.append(due)
+            yield frame[["id", "path"]].assign(moved=moved)
+
+    return named.dropDuplicates(["old", "path"]).mapInPandas(run, "id long, path string, moved boolean")
+
+
 def manifest(photos: DataFrame, files: DataFrame, dest: str) -> DataFrame:
     """(id, category, subject, path, dst, present): what publishing would do."""
     there = files.select("path", F.lit(True).alias("present"))

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.pictures import NoPicture, examined
 from ..functions.text import cache_key
 from .archive import Bucket, fetched
 
@@ -47,11 +48,12 @@ def download(url: str, part: str, max_bytes: int = 0, timeout: float = 60.0) ->
         raise TooLarge
 
 
-def fetch(candidates: DataFrame, cache: str, max_bytes: int = 0, rate: float = 2.0, burst: int = 4, retries: int = 4, base: float = 0.5) -> DataFrame:
+def fetch(candidates: DataFrame, cache: str, max_bytes: int = 0, rate: float = 2.0, burst: int = 4, retries: int = 4, base: float = 0.5, pictures: bool = False) -> DataFrame:
     """`candidates` with sha256, size, failure and the file below `cache` that has the bytes.
 
     One task has all candidates of a source, so that `rate` holds for the source. Files are named
-    by source and url: a task that runs again goes on where the first one stopped.
+    by source and url: a task that runs again goes on where the first one stopped. With `pictures`
+    bytes that are no whole picture are the failure `decode:...`, and width and height are the files'.
     """
     rows = candidates.withColumn("cached", F.concat(F.lit(cache.rstrip("/") + "/"), cache_key(F.col("source"), F.col("remote_url"))))
 
@@ -67,17 +69,27 @@ def fetch(candidates: DataFrame, cache: str, max_bytes: int = 0, rate: float = 2
                         fetched(lambda: download(url, path + ".part", max_bytes) or b"", retries, base)  # noqa: B023
                         os.replace(path + ".part", path)
                     with open(path, "rb") as f:
-                        found.append((hashlib.file_digest(f, "sha256").hexdigest(), os.path.getsize(path), None))
+                        digest = hashlib.file_digest(f, "sha256").hexdigest()
+                        f.seek(0)
+                        size = examined(f.read()) if pictures else (None, None)
+                    found.append((digest, os.path.getsize(path), None, *size))
+                except NoPicture as e:
+                    os.remove(path)
+                    found.append((None, None, f"decode:{e}", None, None))
                 except TooLarge:
-                    found.append((None, None, "size_cap"))
+                    found.append((None, None, "size_cap", None, None))
                 except Exception as e:  # noqa: BLE001 - any fault of one url is that candidate's outcome
-                    found.append((None, None, str(e)))
-            done = pd.DataFrame(found, columns=["sha256", "size", "failure"], index=frame.index)
-            yield frame.assign(sha256=done["sha256"], size=done["size"].astype("Int64"), failure=done["failure"])
-
-    kept = [f for f in rows.schema.fields if f.name not in ("sha256", "size", "failure")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", sha256 string, size long, failure string"
-    return rows.select(*(f.name for f in kept)).repartition("source").mapInPandas(run, schema)
+                    found.append((None, None, str(e), None, None))
+            done = pd.DataFrame(found, columns=["sha256", "size", "failure", "width", "height"], index=frame.index)
+            sizes = {c: done[c].astype("Int64").fillna(frame[c].astype("Int64")) if c in frame else done[c].astype("Int64") for c in made if c in ("width", "height")}
+            yield frame.assign(sha256=done["sha256"], size=done["size"].astype("Int64"), failure=done["failure"], **sizes)
+
+    made = {"sha256": "string", "size": "long", "failure": "string"} | ({"width": "int", "height": "int"} if pictures else {})
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields} | made
+    given = [c for c in rows.columns if c not in made or c in ("width", "height")]
+    order = [*given, *(c for c in made if c not in given)]
+    schema = ", ".join(f"`{c}` {types[c]}" for c in order)
+    return rows.select(*given).repartition("source").mapInPandas(run, schema)
 
 
 def land(landed: DataFrame, images: str) -> DataFrame:

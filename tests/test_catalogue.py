@@ -121,15 +121,17 @@ def test_upsert(spark):
 
 
 def test_pool(spark, tables, tmp_path):
-    root = tmp_path / "pool"
+    from tests.test_pictures import png
+
+    root, picture = tmp_path / "pool", png()
     (root / "identity/Ann").mkdir(parents=True)
-    (root / "identity/Ann/a.jpg").write_bytes(b"x")
+    (root / "identity/Ann/a.jpg").write_bytes(picture)
     scan = catalog.photo_scan(*tables)
     for mode in ("copy", "symlink"):
         plan = pool.manifest(scan, pool.listing(spark, str(root)), str(tmp_path / mode))
         done = pool.publish(plan, str(root), mode)
         assert pool.export_summary(done).first().asDict() == {"published": 1, "skipped": 0, "missing": 0, "subjects": 1}
-        assert (tmp_path / mode / "identity/Ann/a.jpg").read_bytes() == b"x"
+        assert (tmp_path / mode / "identity/Ann/a.jpg").read_bytes() == picture
     assert (tmp_path / "symlink/identity/Ann/a.jpg").is_symlink()
     with pytest.raises(ValueError, match="mode"):
         pool.publish(plan, str(root), "move")

@@ -1,7 +1,9 @@
 import io
 
 from provlake import cli
+from provlake.state import Store
 from tests.test_catalogue import CANDIDATE, candidate
+from tests.test_pictures import png
 
 
 def test_commands(spark, tmp_path):
@@ -42,7 +44,7 @@ def test_run_from_search_to_pool(spark, tmp_path):
             self.send_response(200)
             self.end_headers()
             if not self.path.startswith("/search"):
-                self.wfile.write(self.path.encode())
+                self.wfile.write(png(3, 2, self.path.encode()))
                 return
             name = parse_qs(urlparse(self.path).query)["gsrsearch"][0].split()[0]
             info = lambda n, licence: [{"url": f"http://127.0.0.1:{server.server_port}/{n}", "mime": "image/png", "extmetadata": {"LicenseShortName": {"value": licence}}}]
@@ -66,6 +68,8 @@ def test_run_from_search_to_pool(spark, tmp_path):
     assert sorted(tuple(r) for r in done.groupBy("outcome").count().collect()) == [("complete", 6), ("quarantined", 3)]
     assert run("verify") == ["ok=6", "missing=0", "corrupt=0", "mismatch=0"]
     assert run("list", "--subject", "Mark_Twain")[0] == "2"
+    store = Store(spark, str(tmp_path / "h/metadata"))
+    assert {(r.width, r.height) for r in store.read("photographs").where("status = 'complete'").collect()} == {(3, 2)}
     again = acquire(spark, str(tmp_path / "h"), f"http://127.0.0.1:{server.server_port}/search", category="identity", rate=1000)
     assert again.count() == 0 and run("stats")[:2] == ["by_category", "identity"]  # all is settled
     server.shutdown()

@@ -57,6 +57,8 @@ def test_fetch_and_land(spark, site, tmp_path):
         assert "404" in got[2].failure and got[2].sha256 is None and got[2].size is None
     capped = fetch(df.where("seq = 0"), str(tmp_path / "other"), max_bytes=10, rate=1000).first()
     assert (capped.failure, capped.sha256) == ("size_cap", None)
+    whole = fetch(df.where("seq = 0"), str(tmp_path / "pictures"), rate=1000, pictures=True).first()
+    assert (whole.failure, whole.sha256, whole.width) == ("decode:no picture", None, None) and not list((tmp_path / "pictures").iterdir())
     files = spark.createDataFrame([(1, got[0].cached, "identity", "Ann", "a.png")], "id long, cached string, category string, subject string, filename string")
     for _ in range(2):
         assert [tuple(r) for r in land(files, str(tmp_path / "images")).collect()] == [(1, "identity/Ann/a.png")]
