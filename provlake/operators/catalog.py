@@ -91,9 +91,11 @@ def stats(photos: DataFrame, subjects: DataFrame) -> DataFrame:
     """(section, k, n): all statistics from one scan of the photographs. Status counts take all rows, other groups the complete ones."""
     done = F.col("status") == "complete"
     keys = [group_label(F.col(c)).alias(c) for c in GROUP_COLUMNS]
-    rows = photos.select(*keys, done.alias("done"), "file_size")
-    sets = rows.groupingSets([[F.col(c)] for c in GROUP_COLUMNS], *(F.col(c) for c in GROUP_COLUMNS)).agg(
-        F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n"), F.count_if("done").alias("n_done"), F.sum(F.when(F.col("done"), F.col("file_size"))).alias("bytes"))
+    # the few combinations first, so that grouping sets multiply these and not the rows
+    cells = photos.select(*keys, done.alias("done"), "file_size").groupBy(*GROUP_COLUMNS).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("done").alias("n_done"), F.sum(F.when(F.col("done"), F.col("file_size"))).alias("bytes"))
+    sets = cells.groupingSets([[F.col(c)] for c in GROUP_COLUMNS], *(F.col(c) for c in GROUP_COLUMNS)).agg(
+        F.grouping_id().alias("g"), F.sum("n").alias("n"), F.sum("n_done").alias("n_done"), F.sum("bytes").alias("bytes"))
     bit = {c: (1 << len(GROUP_COLUMNS)) - 1 - (1 << (len(GROUP_COLUMNS) - 1 - i)) for i, c in enumerate(GROUP_COLUMNS)}
     section, value = F.lit(None).cast("string"), F.col("n_done")
     for c, g in bit.items():

@@ -61,18 +61,17 @@ def outcomes(candidates: DataFrame, known: DataFrame, pool_bytes: int = 0, cap:
     above the cap becomes pending and is the last.
     """
     rows = classified(candidates, known, strict)
-    taken = F.when(F.col("outcome") == "complete", F.col("size")).otherwise(0)
+    if 0 < cap < pool_bytes:
+        fetches = (accepted(F.col("licence"), strict) & (F.col("outcome") != "skipped")).cast("long")
+        return with_prefix(rows, "seq", fetches, "_fetches").where("_fetches = 0").drop("_fetches").withColumn("pool", F.lit(pool_bytes).cast("long"))
+    taken = F.coalesce(F.when(F.col("outcome") == "complete", F.col("size")), F.lit(0))
     rows = with_prefix(rows, "seq", taken, "pool").withColumn("pool", F.col("pool") + pool_bytes)
     if cap <= 0:
         return rows
-    if pool_bytes > cap:
-        stop = rows.where(accepted(F.col("licence"), strict) & (F.col("outcome") != "skipped")).agg(F.min("seq")).first()[0]
-        return rows if stop is None else rows.where(F.col("seq") < stop)
-    stop = rows.where((F.col("outcome") == "complete") & (F.col("pool") > cap)).agg(F.min("seq")).first()[0]
-    if stop is None:
-        return rows
-    last = F.col("seq") == stop
-    return rows.where(F.col("seq") <= stop).withColumn("outcome", F.when(last, "pending").otherwise(F.col("outcome"))).withColumn("pool", F.when(last, F.col("pool") - F.col("size")).otherwise(F.col("pool")))
+    # the pool never shrinks, so the run has stopped before a row if the pool was above the cap before it
+    prior, over = F.col("pool") - taken, F.col("pool") > cap
+    rows = rows.where(prior <= cap).withColumn("_prior", prior)
+    return rows.withColumn("outcome", F.when(over, "pending").otherwise(F.col("outcome"))).withColumn("pool", F.when(over, F.col("_prior")).otherwise(F.col("pool"))).drop("_prior")
 
 
 def summary(done: DataFrame) -> DataFrame:
@@ -81,8 +80,8 @@ def summary(done: DataFrame) -> DataFrame:
     return done.agg(*(F.count_if(F.col("outcome") == n).alias(n) for n in names), (F.count_if(F.col("outcome") == "pending") > 0).alias("budget_reached"))
 
 
-def upsert_subjects(subjects: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Subjects with the incoming ones (seq, name, category, ...) merged by name and category.
+def upsert_subjects(subjects: DataFrame, incoming: DataFrame, changed: bool = False) -> DataFrame:
+    """Subjects with the incoming ones (seq, name, category, ...) merged by name and category; with `changed`, only those that came in.
 
     Of several incoming rows for a key the later non-null value wins, and any such value wins
     over the old one; new keys are numbered after the largest id in the order of their first row.
@@ -91,7 +90,7 @@ def upsert_subjects(subjects: DataFrame, incoming: DataFrame) -> DataFrame:
 
     details = ["wikidata_id", "birth_year", "death_year", "occupation"]
     late = incoming.groupBy("name", "category").agg(F.min("seq").alias("seq"), *(F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"new_{c}") for c in details))
-    merged = subjects.join(late, ["name", "category"], "left").select("id", "name", "category", *(F.coalesce(f"new_{c}", c).alias(c) for c in details))
+    merged = subjects.join(late, ["name", "category"], "inner" if changed else "left").select("id", "name", "category", *(F.coalesce(f"new_{c}", c).alias(c) for c in details))
     top = subjects.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     added = with_ids(late.join(subjects, ["name", "category"], "left_anti"), "seq", top).select("id", "name", "category", *(F.col(f"new_{c}").alias(c) for c in details))
     return merged.unionByName(added)

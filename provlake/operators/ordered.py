@@ -1,4 +1,4 @@
-"""Running sums and numbers in a total order, in two levels so that no task holds all rows."""
+"""Running sums and numbers in a total order, in levels so that no task holds all rows."""
 
 from __future__ import annotations
 
@@ -7,17 +7,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def with_prefix(df: DataFrame, seq: str, value: Column, name: str, width: int = 100_000) -> DataFrame:
+#: Buckets whose totals are summed together; a group of them is a bucket of the next level.
+_GROUP = 1 << 24
+
+
+def with_prefix(df: DataFrame, seq: str, value: Column, name: str, width: int = 100_000, group: int = _GROUP) -> DataFrame:
     """Add `name`: the sum of `value` over all rows up to this one in the order of the integer `seq`.
 
-    Rows are dealt to buckets of `width` consecutive `seq`; only bucket totals are summed in one
-    place. Rows that share a `seq` must not occur.
+    Rows are dealt to buckets of `width` consecutive `seq`, buckets to groups of `group`. So a task
+    sees `width` rows, `group` bucket totals, or one row for each group there is, however far
+    apart the values of `seq` lie. Rows that share a `seq` must not occur; those with none are left out.
     """
-    rows = df.withColumn("_bucket", F.floor(F.col(seq) / width)).withColumn("_value", value)
+    rows = df.where(F.col(seq).isNotNull()).withColumn("_bucket", F.expr(f"`{seq}` div {width}") - (F.col(seq) < 0).cast("long")).withColumn("_value", value)
     inner = Window.partitionBy("_bucket").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy("_bucket").agg(F.sum("_value").alias("_total"))
-    base = totals.select("_bucket", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
+    totals = rows.groupBy("_bucket").agg(F.sum("_value").alias("_total")).withColumn("_group", F.floor(F.col("_bucket") / group))
+    groups = totals.groupBy("_group").agg(F.sum("_total").alias("_all"))
+    groups = groups.select("_group", F.coalesce(F.sum("_all").over(Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
+    before = Window.partitionBy("_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.withColumn("_before", F.coalesce(F.sum("_total").over(before), F.lit(0))).join(groups, "_group")
+    base = base.select("_bucket", (F.col("_first") + F.col("_before")).alias("_base"))
     out = rows.withColumn("_sum", F.coalesce(F.sum("_value").over(inner), F.lit(0))).join(base, "_bucket")
     return out.withColumn(name, F.col("_base") + F.col("_sum")).drop("_bucket", "_value", "_sum", "_base")
 

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 
 from .schema import PHOTOGRAPHS, SUBJECTS
 
 TABLES = {"subjects": SUBJECTS, "photographs": PHOTOGRAPHS}
+#: Versions of changes after a whole one; then a whole one is written.
+CHANGES = 16
 
 
 class Store:
     """Versions of the catalogue below `root`, on any file system that Spark reads.
 
     A reader pins the version it opened; it never creates or changes anything. One writer at a
-    time writes a whole new version and then moves the pointer.
+    time writes a new version and then moves the pointer. A version is whole, or it has the new
+    and changed rows, by id, since the version before; so a small batch costs a small write.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -22,39 +27,62 @@ class Store:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def version(self) -> int | None:
+    def _committed(self) -> dict[int, bool]:
+        """The committed versions, ascending, and whether each is whole."""
         found = self._path(f"{self.root}/current")
         if not self._fs.exists(found):
-            return None
-        return max((int(s.getPath().getName()) for s in self._fs.listStatus(found)), default=None)
+            return {}
+        names = [s.getPath().getName() for s in self._fs.listStatus(found)]
+        return dict(sorted((int(n.removesuffix(".changes")), not n.endswith(".changes")) for n in names))
+
+    def _chain(self, version: int | None = None) -> list[int]:
+        """The versions that make up `version`: the last whole one and the changes since."""
+        known = self._committed()
+        version = max(known, default=None) if version is None else version
+        if version not in known:
+            raise FileNotFoundError(f"no committed snapshot {'' if version is None else version} below {self.root}")
+        upto = [v for v in known if v <= version]
+        return upto[max(i for i, v in enumerate(upto) if known[v]) :]
+
+    def version(self) -> int | None:
+        return max(self._committed(), default=None)
 
     def read(self, table: str, version: int | None = None) -> DataFrame:
-        version = self.version() if version is None else version
-        if version is None:
-            raise FileNotFoundError(f"no committed snapshot below {self.root}")
-        return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/v={version}/{table}")
+        parts = [self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/v={v}/{table}") for v in self._chain(version)]
+        return reduce(lambda old, new: old.join(new.select("id"), "id", "left_anti").select(old.columns).unionByName(new), parts)
 
     def ready(self) -> tuple[bool, str | None]:
         """Whether the tables can be read as they should be; one reason for all faults."""
         try:
             for name, schema in TABLES.items():
-                found = self.spark.read.parquet(f"{self.root}/v={self.version()}/{name}")
-                if {f.name for f in schema} - set(found.columns):
-                    return False, "catalogue unavailable"
-                found.limit(1).collect()
+                for version in self._chain():
+                    found = self.spark.read.parquet(f"{self.root}/v={version}/{name}")
+                    if {f.name for f in schema} - set(found.columns):
+                        return False, "catalogue unavailable"
+                    found.limit(1).collect()
             return True, None
         except Exception:  # noqa: BLE001 - whatever is wrong, the answer is the same
             return False, "catalogue unavailable"
 
     def commit(self, subjects: DataFrame, photographs: DataFrame) -> int:
         """Write both tables as the next version and make it the current one."""
+        return self._commit(subjects, photographs, "")
+
+    def commit_changes(self, subjects: DataFrame, photographs: DataFrame) -> int:
+        """As `commit`, given only the rows that are new or changed; after CHANGES such versions a whole one follows."""
+        version = self._commit(subjects, photographs, ".changes")
+        if len(self._chain()) > CHANGES:
+            version = self.commit(*(self.read(t, version) for t in TABLES))
+        return version
+
+    def _commit(self, subjects: DataFrame, photographs: DataFrame, kind: str) -> int:
         version = (self.version() or 0) + 1
         for name, df in (("subjects", subjects), ("photographs", photographs)):
             df.select(*TABLES[name].names).write.mode("overwrite").parquet(f"{self.root}/v={version}/{name}")
         self._fs.mkdirs(self._path(f"{self.root}/current"))
         mark = self._path(f"{self.root}/v={version}/committed")
         self._fs.create(mark, True).close()
-        if not self._fs.rename(mark, self._path(f"{self.root}/current/{version}")):
+        if not self._fs.rename(mark, self._path(f"{self.root}/current/{version}{kind}")):
             raise OSError(f"version {version} could not be committed")
         return version
 

@@ -1,4 +1,4 @@
-"""Streaming ingest: micro-batches of candidates through the batch ingest, one snapshot for each."""
+"""Streaming ingest: micro-batches of candidates through the batch ingest, one version with the changed rows for each."""
 
 from __future__ import annotations
 
@@ -33,11 +33,11 @@ def ingest_batch(store: Store, batch: DataFrame, cap: int = 0, images: str | Non
     pool = photos.where("status = 'complete'").agg(F.coalesce(F.sum("file_size"), F.lit(0))).first()[0]
     batch = batch.withColumn("subject", slugify(F.col("subject")))
     done = outcomes(batch, photos.select("remote_url", "status", "sha256"), pool, cap).where(F.col("outcome").isin(*_LANDS))
-    done = done.groupBy("remote_url").agg(F.max_by(F.struct("*"), F.col("seq")).alias("r")).select("r.*")
+    done = done.groupBy("remote_url").agg(F.max_by(F.struct("*"), F.col("seq")).alias("r")).select("r.*").persist()  # a batch's rows, which both tables and the files need
 
     given = lambda f: (F.col(f.name) if f.name in done.columns else F.lit(None)).cast(f.dataType).alias(f.name)
     new = done.select("seq", "category", F.col("subject").alias("name"), *(given(f) for f in SUBJECTS if f.name not in ("id", "name", "category")))
-    subjects = upsert_subjects(subjects, new)
+    changed = upsert_subjects(subjects, new, changed=True)
     landed = F.col("outcome") == "complete"
     only = lambda c: F.when(landed, c)
     fields = {
@@ -49,16 +49,17 @@ def ingest_batch(store: Store, batch: DataFrame, cap: int = 0, images: str | Non
     }
     about = [given(f) for f in PHOTOGRAPHS if f.name in ("title", "photographer", "year", "attribution", "width", "height")]
     fresh = done.select("seq", "remote_url", "subject", "category", "source", "source_url", *about, F.coalesce(normalise_licence(F.col("licence")), "licence").alias("licence"), *(c.alias(f"new_{n}") for n, c in fields.items()))
-    kept = photos.join(fresh.select("remote_url", *(f"new_{n}" for n in fields)), "remote_url", "left")
+    kept = photos.join(fresh.select("remote_url", *(f"new_{n}" for n in fields)), "remote_url")
     kept = kept.select(*(F.coalesce(f"new_{n}", n).alias(n) if n in fields else F.col(n) for n in PHOTOGRAPHS.names))
     added = fresh.join(photos.select("remote_url"), "remote_url", "left_anti")
     top = photos.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    added = with_ids(added, "seq", top).join(subjects.select(F.col("id").alias("subject_id"), F.col("name").alias("subject"), "category"), ["subject", "category"])
+    added = with_ids(added, "seq", top).join(changed.select(F.col("id").alias("subject_id"), F.col("name").alias("subject"), "category"), ["subject", "category"])
     added = added.select(*(F.col(f"new_{f.name}").alias(f.name) if f.name in fields else F.col(f.name) if f.name in added.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in PHOTOGRAPHS))
     if images is not None:
         files = done.where("outcome = 'complete'").withColumn("filename", fields["filename"])
         land(files.withColumnRenamed("seq", "id"), images).count()
-    store.commit(subjects, kept.unionByName(added))
+    store.commit_changes(changed, kept.unionByName(added))
+    done.unpersist()
     return done
 
 

@@ -113,6 +113,20 @@ def test_prefix_in_two_levels(spark):
         assert got[i * 3] == total
 
 
+def test_prefix_of_scattered_numbers(spark):
+    import random
+
+    r = random.Random(2)
+    seqs = sorted({*(r.randrange(-(1 << 62), 1 << 62) for _ in range(60)), *range(-15, 15), -20, 20})
+    df = spark.createDataFrame([(q, i % 5) for i, q in enumerate(seqs)] + [(None, 7)], "seq long, x long")
+    got = {row.seq: row.s for row in ordered.with_prefix(df, "seq", F.col("x"), "s", width=10, group=3).collect()}
+    total, want = 0, {}
+    for i, q in enumerate(seqs):
+        total += i % 5
+        want[q] = total
+    assert got == want
+
+
 def test_upsert(spark):
     old = spark.createDataFrame([(7, "Ann", "identity", "Q1", None, None, None)], SUBJECTS)
     new = spark.createDataFrame([(2, "Bob", "identity", None, 1900, None, None), (1, "Ann", "wardrobe", None, None, None, None), (3, "Ann", "identity", None, 1850, None, "x"), (4, "Bob", "identity", "Q2", None, None, None)], "seq long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in SUBJECTS.fields[1:]))
@@ -235,6 +249,22 @@ def test_store_and_batches(spark, tmp_path):
     assert store.uncommitted() == [99] and store.version() == version + 1
 
 
+def test_versions_of_changes(spark, tmp_path, monkeypatch):
+    from provlake import state
+
+    monkeypatch.setattr(state, "CHANGES", 2)
+    store = Store(spark, str(tmp_path / "store"))
+    for i in range(3):
+        ingest_batch(store, spark.createDataFrame([candidate(10 * i + 1), candidate(10 * i + 2, failure="x"), candidate(10 * i + 3, url="https://a/same.png", sha="f" * 64)], CANDIDATE))
+        assert store.read("photographs").count() == 2 * i + 3 and store.read("subjects").count() == 1
+    kinds = store._committed()
+    assert [v for v, whole in kinds.items() if whole] == [1, 4] and list(kinds) == [1, 2, 3, 4, 5]  # the first is empty; 4 gathers 1 to 3
+    assert spark.read.parquet(str(tmp_path / "store/v=3/photographs")).count() == 2  # only what changed
+    assert store.read("photographs", 2).count() == 3 and store.read("photographs", 4).count() == store.read("photographs", 3).count() == 5
+    ids = [r.id for r in store.read("photographs").collect()]
+    assert len(set(ids)) == len(ids)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows_ = [candidate(i, sha=f"{i % 7:064d}") for i in range(20)]
     source = tmp_path / "in"
