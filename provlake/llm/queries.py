@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, katz, quality, reshard, simhash, suffixes, tokenfile, transcripts, urls
+from . import bpe, decontaminate, katz, merkle, periodic, quality, reshard, simhash, suffixes, tokencounts, tokenfile, transcripts, urls
 from .common import read
 
 
@@ -55,6 +55,18 @@ def op10_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.query(read(spark, sf_dir, "conversations"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.query(read(spark, sf_dir, "documents"))
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.query(read(spark, sf_dir, "documents"))
+
+
+def op13_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.query(read(spark, sf_dir, "documents"), TOKENIZER)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_reshard": op2_reshard,
@@ -66,9 +78,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffixes": op8_suffixes,
     "op9_tokenfile": op9_tokenfile,
     "op10_transcripts": op10_transcripts,
+    "op11_merkle": op11_merkle,
+    "op12_periodic": op12_periodic,
+    "op13_tokencounts": op13_tokencounts,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_decontaminate": decontaminate.ORACLE_SQL,
     "op5_quality": quality.ORACLE_SQL,
+    "op11_merkle": merkle.ORACLE_SQL,
 }
