@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,11 +34,12 @@ def acquire(spark: SparkSession, home: str, search_url: str, source: str = "comm
     found = found.join(order, ["subject", "category"]).withColumn("seq", (F.col("turn") * archive.SEARCH_MAX + F.col("pos")).cast("long")).drop("turn", "pos")
 
     store = Store(spark, f"{home}/metadata")
-    known = store.read("photographs") if store.version() else spark.createDataFrame([], PHOTOGRAPHS)
+    known = store.lookup("photographs", "remote_url", found) if store.version() else spark.createDataFrame([], PHOTOGRAPHS)
     state = resumed(found, known.select("remote_url", "status"))
     due = accepted(F.col("licence")) & ~F.col("skip")
     idle = [F.lit(None).cast(t).alias(n) for n, t in [("cached", "string"), ("sha256", "string"), ("size", "long"), ("failure", "string")]]
     got = fetch(state.where(due).select(*found.columns), f"{home}/cache", max_bytes, rate, pictures=True).unionByName(state.where(~due).select(*found.columns, *idle))
-    batch = f"{home}/cache/batches/{uuid.uuid4().hex}"
-    got.write.parquet(batch)
-    return ingest_batch(store, spark.read.parquet(batch), cap, f"{home}/images")
+    batch = store.scratch(got)
+    done = ingest_batch(store, batch, cap, f"{home}/images")
+    store.drop(batch)
+    return done

@@ -32,7 +32,12 @@ def resumed(candidates: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def classified(candidates: DataFrame, known: DataFrame, strict: bool = False) -> DataFrame:
-    """Each candidate's outcome but for the budget: skipped, quarantined, failed, duplicate or complete."""
+    """Each candidate's outcome but for the budget: skipped, quarantined, failed, duplicate or complete.
+
+    A candidate without `seq` has no place in the order and is an error.
+    """
+    kind = candidates.schema["seq"].dataType
+    candidates = candidates.withColumn("seq", F.coalesce("seq", F.raise_error(F.lit("a candidate without seq")).cast(kind)))
     rows = resumed(candidates, known).withColumn("turn", F.row_number().over(Window.partitionBy("remote_url").orderBy("seq")))
     kind = (
         F.when(F.col("skip"), "skipped")
@@ -80,18 +85,18 @@ def summary(done: DataFrame) -> DataFrame:
     return done.agg(*(F.count_if(F.col("outcome") == n).alias(n) for n in names), (F.count_if(F.col("outcome") == "pending") > 0).alias("budget_reached"))
 
 
-def upsert_subjects(subjects: DataFrame, incoming: DataFrame, changed: bool = False) -> DataFrame:
+def upsert_subjects(subjects: DataFrame, incoming: DataFrame, changed: bool = False, top: int | None = None) -> DataFrame:
     """Subjects with the incoming ones (seq, name, category, ...) merged by name and category; with `changed`, only those that came in.
 
     Of several incoming rows for a key the later non-null value wins, and any such value wins
-    over the old one; new keys are numbered after the largest id in the order of their first row.
+    over the old one; new keys are numbered after the largest id (`top`, if it is known) in the order of their first row.
     """
     from .ordered import with_ids
 
     details = ["wikidata_id", "birth_year", "death_year", "occupation"]
     late = incoming.groupBy("name", "category").agg(F.min("seq").alias("seq"), *(F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"new_{c}") for c in details))
     merged = subjects.join(late, ["name", "category"], "inner" if changed else "left").select("id", "name", "category", *(F.coalesce(f"new_{c}", c).alias(c) for c in details))
-    top = subjects.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    top = subjects.agg(F.coalesce(F.max("id"), F.lit(0))).scalar() if top is None else top
     added = with_ids(late.join(subjects, ["name", "category"], "left_anti"), "seq", top).select("id", "name", "category", *(F.col(f"new_{c}").alias(c) for c in details))
     return merged.unionByName(added)
 

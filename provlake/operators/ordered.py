@@ -30,6 +30,6 @@ def with_prefix(df: DataFrame, seq: str, value: Column, name: str, width: int =
     return out.withColumn(name, F.col("_base") + F.col("_sum")).drop("_bucket", "_value", "_sum", "_base")
 
 
-def with_ids(df: DataFrame, seq: str, after: int, name: str = "id") -> DataFrame:
-    """Number the rows after `after` in the order of `seq`."""
+def with_ids(df: DataFrame, seq: str, after: int | Column, name: str = "id") -> DataFrame:
+    """Number the rows after `after`, a number or a scalar subquery, in the order of `seq`."""
     return with_prefix(df, seq, F.lit(1), name).withColumn(name, (F.col(name) + after).cast("long"))

@@ -11,7 +11,7 @@ from ..operators.ingest import outcomes, upsert_subjects
 from ..operators.ordered import with_ids
 from ..schema import PHOTOGRAPHS, SUBJECTS
 from ..sources.fetch import land
-from ..state import Store
+from ..state import TABLES, Store
 
 #: What a run's outcome makes of a photograph's status; skipped ones stay as they are.
 _LANDS = ("complete", "failed", "duplicate", "quarantined", "pending")
@@ -23,21 +23,47 @@ def ingest_batch(store: Store, batch: DataFrame, cap: int = 0, images: str | Non
     Whatever else the batch has of the catalogue's columns is kept too: photographer, attribution, width
     and height of a photograph, wikidata_id, birth_year, death_year and occupation of a subject. With `images`, the files of complete ones (column cached) are landed there before the commit.
 
-    Running a batch again changes nothing but failed and pending rows, which are tried again.
+    Running a batch again changes nothing but failed and pending rows, which are tried again. If another
+    writer commits meanwhile, the batch is judged anew by what that one left. A candidate without seq or
+    remote_url is an error.
     """
-    spark = batch.sparkSession
-    if store.version() is None:
-        store.commit(spark.createDataFrame([], SUBJECTS), spark.createDataFrame([], PHOTOGRAPHS))
-    version = store.version()
-    subjects, photos = store.read("subjects", version), store.read("photographs", version)
-    pool = photos.where("status = 'complete'").agg(F.coalesce(F.sum("file_size"), F.lit(0))).first()[0]
     batch = batch.withColumn("subject", slugify(F.col("subject")))
-    done = outcomes(batch, photos.select("remote_url", "status", "sha256"), pool, cap).where(F.col("outcome").isin(*_LANDS))
-    done = done.groupBy("remote_url").agg(F.max_by(F.struct("*"), F.col("seq")).alias("r")).select("r.*").persist()  # a batch's rows, which both tables and the files need
+    made: list[DataFrame] = []
+
+    def change(at: int | None) -> tuple:
+        store.drop(*made)  # of an attempt that another writer overtook
+        made[:] = []
+        return _changes(store, batch, at, cap, images, made)
+
+    done = store.transact(change)
+    store.drop(*(t for t in made if t is not done))
+    return done
+
+
+def _changes(store: Store, batch: DataFrame, at: int | None, cap: int, images: str | None, made: list[DataFrame]) -> tuple:
+    """What the batch makes of version `at`: subjects, photographs, those as they were before, and the outcomes.
+
+    Of the catalogue only the rows of the batch's urls and hashes are taken, and the log's totals.
+    """
+    spark = batch.sparkSession
+    empty = lambda t: spark.createDataFrame([], TABLES[t])
+    totals = store.totals(at) if at else dict.fromkeys(("pool", "subjects", "photographs"), 0)
+    subjects = store.read("subjects", at) if at else empty("subjects")
+    if at:
+        twins = store.lookup("by_sha256", "sha256", batch.where("sha256 is not null"), at).where("not gone")
+        urls = batch.select("remote_url").unionAll(twins.select("remote_url"))
+        near = store.scratch(store.lookup("photographs", "remote_url", urls, at))
+        made.append(near)
+    else:
+        near = empty("photographs")
+    done = outcomes(batch, near.select("remote_url", "status", "sha256"), totals["pool"], cap).where(F.col("outcome").isin(*_LANDS))
+    done = store.scratch(done.groupBy("remote_url").agg(F.max_by(F.struct("*"), F.col("seq")).alias("r")).select("r.*"))  # a batch's rows, which both tables and the files need
+    made.append(done)
 
     given = lambda f: (F.col(f.name) if f.name in done.columns else F.lit(None)).cast(f.dataType).alias(f.name)
     new = done.select("seq", "category", F.col("subject").alias("name"), *(given(f) for f in SUBJECTS if f.name not in ("id", "name", "category")))
-    changed = upsert_subjects(subjects, new, changed=True)
+    changed = store.scratch(upsert_subjects(subjects, new, changed=True, top=totals["subjects"]))
+    made.append(changed)
     landed = F.col("outcome") == "complete"
     only = lambda c: F.when(landed, c)
     fields = {
@@ -47,26 +73,27 @@ def ingest_batch(store: Store, batch: DataFrame, cap: int = 0, images: str | Non
         "filename": only(pool_filename(F.col("subject"), F.col("year"), F.col("source"), F.col("sha256"), extension(F.col("remote_url")))),
         "downloaded_at": only(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssxxx")),
     }
-    about = [given(f) for f in PHOTOGRAPHS if f.name in ("title", "photographer", "year", "attribution", "width", "height")]
-    fresh = done.select("seq", "remote_url", "subject", "category", "source", "source_url", *about, F.coalesce(normalise_licence(F.col("licence")), "licence").alias("licence"), *(c.alias(f"new_{n}") for n, c in fields.items()))
-    kept = photos.join(fresh.select("remote_url", *(f"new_{n}" for n in fields)), "remote_url")
-    kept = kept.select(*(F.coalesce(f"new_{n}", n).alias(n) if n in fields else F.col(n) for n in PHOTOGRAPHS.names))
-    added = fresh.join(photos.select("remote_url"), "remote_url", "left_anti")
-    top = photos.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    added = with_ids(added, "seq", top).join(changed.select(F.col("id").alias("subject_id"), F.col("name").alias("subject"), "category"), ["subject", "category"])
+    again = {f.name: only(given(f)) for f in PHOTOGRAPHS if f.name in ("width", "height", "phash")}  # what a download tells, the first one or a later one
+    about = [given(f) for f in PHOTOGRAPHS if f.name in ("title", "photographer", "year", "attribution", "width", "height", "phash")]
+    told = {**fields, **again}
+    fresh = done.select("seq", "remote_url", "subject", "category", "source", "source_url", *about, F.coalesce(normalise_licence(F.col("licence")), "licence").alias("licence"), *(c.alias(f"new_{n}") for n, c in told.items()))
+    kept = near.join(fresh.select("remote_url", *(f"new_{n}" for n in told)), "remote_url")
+    kept = kept.select(*(F.coalesce(f"new_{n}", n).alias(n) if n in told else F.col(n) for n in PHOTOGRAPHS.names))
+    added = fresh.join(near.select("remote_url"), "remote_url", "left_anti")
+    named = changed.select(F.col("id").alias("subject_id"), F.col("name").alias("subject"), "category")
+    added = with_ids(added, "seq", totals["photographs"]).join(named, ["subject", "category"])
     added = added.select(*(F.col(f"new_{f.name}").alias(f.name) if f.name in fields else F.col(f.name) if f.name in added.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in PHOTOGRAPHS))
     if images is not None:
         files = done.where("outcome = 'complete'").withColumn("filename", fields["filename"])
         land(files.withColumnRenamed("seq", "id"), images).count()
-    store.commit_changes(changed, kept.unionByName(added))
-    done.unpersist()
-    return done
+    return changed, kept.unionByName(added), near, done
 
 
 def ingest_stream(store: Store, candidates: DataFrame, checkpoint: str, cap: int = 0) -> StreamingQuery:
     """Ingest a stream of candidates as far as it is there. A replayed micro-batch finds its rows landed and skips them."""
+
     def each(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            ingest_batch(store, batch, cap)
+            store.drop(ingest_batch(store, batch, cap))
 
     return candidates.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
