@@ -187,13 +187,17 @@ def periodic(docs: DataFrame, least: int = 24, times: int = 3, share: int = 1 <<
 def planted(docs: DataFrame) -> DataFrame:
     """(doc_id, text) of `docs`, with the text of every tenth crc32(doc_id) repeating itself from one of its words on, as its contract plants it."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    words = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words_col(F.col("text"))).alias("w"))
-    g, n = F.floor(F.col("h") / 10), F.size("w").cast("long")
-    words = words.withColumn("a", F.when(n > 0, g % n)).withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int")).withColumn("n", n)
-    a, p, left = F.col("a").cast("int"), F.col("p"), (F.col("n") - F.col("a")).cast("int")
-    again = F.slice(F.flatten(F.array_repeat(F.slice("w", a + 1, p), F.ceil(left / p).cast("int"))), F.lit(1), left)
-    text = F.array_join(F.concat(F.slice("w", F.lit(1), a), again), " ")
-    return words.select("doc_id", F.when(F.col("a").isNotNull(), text).otherwise(F.col("text")).alias("text"))
+
+    def again(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        a = (F.floor(h / 10) % n).cast("int")
+        left = F.size(w) - a
+        p = (1 + F.floor(left / (3 + F.floor(h / 10) % 8))).cast("int")
+        return F.array_join(F.concat(F.slice(w, F.lit(1), a), F.slice(F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil(left / p).cast("int"))), F.lit(1), left)), " ")
+
+    # as an argument of a function the words are made once, not for each use
+    text = F.get(F.transform(F.array(words_col(F.col("text"))), lambda w: F.when(F.size(w) > 0, again(w)).otherwise(F.col("text"))), F.lit(0))
+    return docs.select("doc_id", F.when(h % 10 == 0, text).otherwise(F.col("text")).alias("text"))
 
 
 def _greatest(runs: Column) -> Column:
