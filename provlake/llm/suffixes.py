@@ -18,18 +18,24 @@ sqrt(span) at a time, single ones):
 * where a bucket holds several kinds of the latter, one suffix of each kind goes on to the
   node's children, where the pointers of the parts are made from the same running sums.
 
-A refinement is a sort of (pointer, pointer) pairs. It is dealt over the parts of the hash space:
+A refinement is a sort of pairs of pointers. It is dealt over the parts of the hash space:
 a block of documents asks a part about its distinct pairs in one packed row, and the answer is a
 few bits for each. So no bucket is ever gathered, a string in a third of all documents is one
 entry for each block, and what is repeated whole ends in the first refinement.
 
-Pointers are 64-bit; windows count as equal if two independent ones agree (128 bits).
+The pointers of common bytes only say which suffixes meet: where two of them agree by chance, or by
+design, there is more to do and nothing else. What counts as repeated is told by the other kind,
+96 bits of a BLAKE2b digest over all bytes of the windows, under a salt drawn for each run, so that no
+texts can be made to agree. Pointers are digests of the bytes themselves, made anew for each node, and
+stand for the bucket numbers that refinement by sorting in memory would hand from round to round.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 from functools import cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +46,10 @@ from pyspark.sql import functions as F
 from .common import dropped, eights, mixed, utf8, written, written_apart
 from .packed import ROW, batch_of, by_block, by_part, numbered, pack, pack64, rows, spread_over, unpack, unpack64, with_batch
 
-#: The bases of two independent running sums.
-_GRAM, _WHOLE = 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93
+#: The base of the running sums.
+_GRAM = 0x9FB21C651E98DF25
+#: Of the pointers of common bytes, what is sent; and of the second part of a digest.
+_SENT, _HALF = np.uint64((1 << 64) - (1 << 16)), np.uint64((1 << 64) - (1 << 32))
 _STEP = 1 << 17
 _POS = np.uint64((1 << 24) - 1)
 #: Rows with spans have this part or more; a part of the hash space is below it.
@@ -62,7 +70,7 @@ def _running(part: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pointers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """A 64-bit identifier of the bytes of each range of 8 bytes or more."""
+    """A 64-bit identifier of the bytes of each range of 8 bytes or more; other bytes can be made to share it."""
     out = np.empty(len(starts), np.uint64)
     order = np.argsort(starts, kind="stable")
     cuts = np.r_[0, np.flatnonzero(np.diff(starts[order] // _STEP)) + 1, len(order)]
@@ -76,6 +84,14 @@ def pointers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int)
     return out
 
 
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers for the bytes of each range, of 64 and of 32 bits (the upper ones), which no other bytes share."""
+    bytes_ = memoryview(np.ascontiguousarray(data))
+    found = b"".join([blake2b(bytes_[a:b], digest_size=16, salt=salt).digest() for a, b in zip(starts.tolist(), ends.tolist())])
+    out = np.frombuffer(found, "<u8").reshape(-1, 2)
+    return out[:, 0].copy(), out[:, 1] & _HALF
+
+
 def _designated(data: np.ndarray, off: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, ...]:
     """Row, first window start, number of windows, position (both from the row's start) and bucket of the suffixes that windows designate."""
     span = size - gram + 1
@@ -108,36 +124,37 @@ def _designated(data: np.ndarray, off: np.ndarray, size: int, gram: int) -> tupl
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _asks(block: int, one: np.ndarray, other: np.ndarray, parts: int) -> tuple[list[tuple[int, int, bytes]], np.ndarray, np.ndarray]:
-    """The block's distinct pointer pairs as packed rows for their parts; which of them each pair is; the first place of each."""
-    order = np.lexsort((other, one))
-    a, b = one[order], other[order]
-    at = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
+def _asks(block: int, one: np.ndarray, other: np.ndarray, rest: np.ndarray, parts: int) -> tuple[list[tuple[int, int, bytes]], np.ndarray, np.ndarray]:
+    """The block's distinct pointers, of common bytes and of all bytes (other, rest), as packed rows for their parts; which of them each is; the first place of each."""
+    order = np.lexsort((rest, other, one))
+    a, b, c = one[order], other[order], rest[order]
+    at = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])]) if len(a) else np.zeros(0, np.int64)
     which = np.empty(len(a), np.int64)
     n = np.diff(np.r_[at, len(a)])
     which[order] = np.repeat(np.arange(len(at)), n)
-    a, b = a[at], b[at]
+    a, b, c = a[at], b[at], c[at]
     cuts = np.searchsorted(spread_over(a, parts), np.arange(parts + 1))
     sent = []
     for p in np.flatnonzero(np.diff(cuts)).tolist():
         s = slice(cuts[p], cuts[p + 1])
-        sent.append((block, p, pack64(np.r_[a[s][:1], np.diff(a[s])], b[s] if b[s].any() else b[:0], np.minimum(n[s], 2))))
+        sent.append((block, p, pack64(np.r_[a[s][:1], np.diff(a[s])], b[s] if b[s].any() else b[:0], c[s] | np.minimum(n[s], 2).astype(np.uint64))))
     return sent, which, order[at]
 
 
 def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One refinement of the buckets of each part: two bits for every pair that a block asked about."""
+    """One refinement of the buckets of each part: two bits for all that a block asked about."""
     for part, got in by_part(batches):
         asked = [unpack64(x) for _, x in got]
         size = [len(x[0]) for x in asked]
         one = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in asked])
         other = np.concatenate([x[1] if len(x[1]) else np.zeros(len(x[0]), np.uint64) for x in asked])
-        order = np.lexsort((other, one))
-        a, b = one[order], other[order]
+        last = np.concatenate([x[2] for x in asked])
+        order = np.lexsort((last & _HALF, other, one))
+        a, b, c = one[order], other[order], last[order]
         bucket = np.r_[True, a[1:] != a[:-1]]
-        kind = bucket | np.r_[True, b[1:] != b[:-1]]
+        kind = bucket | np.r_[True, (b[1:] != b[:-1]) | (c[1:] & _HALF != c[:-1] & _HALF)]
         at = np.flatnonzero(kind)
-        many = np.add.reduceat(np.concatenate([x[2] for x in asked])[order], at) > 1
+        many = np.add.reduceat(c & ~_HALF, at) > 1
         kinds = np.add.reduceat(kind.astype(np.int64), np.flatnonzero(bucket))
         flags = np.repeat(many, np.diff(np.r_[at, len(a)])) * np.uint8(_REPEATED) | (kind & np.repeat(kinds > 1, np.diff(np.r_[np.flatnonzero(bucket), len(a)]))) * np.uint8(_GOES_ON)
         out = np.empty(len(a), np.uint8)
@@ -170,6 +187,7 @@ def repeats(docs: DataFrame, size: int = 200, gram: int = 64, limit: int = 1 <<
     spark = docs.sparkSession
     span = size - gram + 1
     width = max(1, round(span**0.5))
+    salt = os.urandom(16)
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     if not 8 <= gram <= size:
         raise ValueError("a bucket takes 8 bytes at least, and no more than a window")
@@ -182,7 +200,7 @@ def repeats(docs: DataFrame, size: int = 200, gram: int = 64, limit: int = 1 <<
         for block, batch in numbered(batches, limit):
             batch = batch.select(range(batch.num_columns - 1))
             row, first, n, pos, bucket = _designated(*utf8(batch.column("text")), size, gram)
-            sent, which, _ = _asks(block, mixed(bucket), root(len(row)), parts)
+            sent, which, _ = _asks(block, mixed(bucket), root(len(row)), root(len(row)), parts)
             yield rows([(block, -1, with_batch(batch, pack(row, first, n, pos, which))), *sent])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,9 +212,9 @@ def repeats(docs: DataFrame, size: int = 200, gram: int = 64, limit: int = 1 <<
             row, first, n, pos = (x[ok] for x in (row, first, n, pos))
             data, off = utf8(batch.column("text"))
             at = off[row]
-            one = mixed(pointers(data, at + pos, at + pos + gram, _GRAM))
-            other = mixed(pointers(data, at + first, at + first + n - 1 + size, _WHOLE) ^ mixed((pos - first).astype(np.uint64)))
-            sent, which, kind = _asks(block, one, other, parts)
+            one = mixed(pointers(data, at + pos, at + pos + gram, _GRAM)) & _SENT
+            other, last = digests(data, at + first, at + first + n - 1 + size, salt)
+            sent, which, kind = _asks(block, one, other ^ mixed((pos - first).astype(np.uint64)), last, parts)
             yield rows([(block, -1, with_batch(batch, pack(row, first, n, pos, which, kind))), *sent])
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,9 +263,9 @@ def repeats(docs: DataFrame, size: int = 200, gram: int = 64, limit: int = 1 <<
         begin = np.cumsum(n - 1 + size) - (n - 1 + size) - first  # of a row's byte 0 in `flat`, if it were there
         at = (begin + pos)[which]
         a, b = np.maximum(low, (pos - first - n + 1)[which]), np.minimum(high, (pos - first)[which])
-        one = mixed(pointers(flat, at - low, at - high + size, _GRAM) ^ mixed((low + level * span).astype(np.uint64)))
-        other = mixed(pointers(flat, at - b, at - a + size, _WHOLE) ^ mixed((a * span + b).astype(np.uint64)))
-        sent, asks, kind = _asks(block, one, other, parts)
+        one = mixed(pointers(flat, at - low, at - high + size, _GRAM) ^ mixed((low + level * span).astype(np.uint64))) & _SENT
+        other, rest = digests(flat, at - b, at - a + size, salt)
+        sent, asks, kind = _asks(block, one, other ^ mixed((a * span + b).astype(np.uint64)), rest, parts)
         state = pack(row, first, n, pos, which, low, high, asks, kind)
         return [(block, -1, len(state).to_bytes(8, "little") + state + zstandard.compress(flat.tobytes(), 3)), *sent]
 
