@@ -65,7 +65,11 @@ def outcomes(candidates: DataFrame, known: DataFrame, pool_bytes: int = 0, cap:
     candidate it would fetch, of which nothing is told; else the first that would push the pool
     above the cap becomes pending and is the last.
     """
-    rows = classified(candidates, known, strict)
+    return budgeted(classified(candidates, known, strict), pool_bytes, cap, strict)
+
+
+def budgeted(rows: DataFrame, pool_bytes: int = 0, cap: int = 0, strict: bool = False) -> DataFrame:
+    """Classified candidates up to where the budget stops the run, with the pool's size after each; see `outcomes`."""
     if 0 < cap < pool_bytes:
         fetches = (accepted(F.col("licence"), strict) & (F.col("outcome") != "skipped")).cast("long")
         return with_prefix(rows, "seq", fetches, "_fetches").where("_fetches = 0").drop("_fetches").withColumn("pool", F.lit(pool_bytes).cast("long"))

@@ -112,14 +112,22 @@ _query("megapixel_cap", f"SELECT o_orderkey, CASE WHEN {_OVER} > 12.0 THEN great
 _query("csv_split", "SELECT p_partkey, array_to_string(list_filter(list_transform(string_split(p_brand || ' , ' || p_type || ',, ', ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS items FROM part")(
     lambda s, d: v.table(s, d, "part").select("p_partkey", F.array_join(T.split_csv(F.concat("p_brand", F.lit(" , "), "p_type", F.lit(",, "))), "|").alias("items")))
 
-_SEEDS = """(VALUES (0, 'Albert Einstein', 'identity', NULL, 1879), (1, 'Marie Curie', 'identity', NULL, 1867), (2, 'Mark Twain', 'identity', NULL, 1835),
-  (3, 'Kimono', 'wardrobe', 'kimono woodblock print ukiyo-e', NULL), (4, 'Victorian dress', 'wardrobe', 'Victorian fashion plate 1800s', NULL), (5, 'Military uniform', 'wardrobe', 'military uniform 19th century plate', NULL),
-  (6, 'Japanese garden', 'setting', 'Japanese garden photochrom', NULL), (7, 'Gothic cathedral interior', 'setting', 'cathedral interior engraving', NULL), (8, 'Art Deco interior', 'setting', 'Art Deco interior', NULL),
-  (9, 'Art Nouveau', 'concept', 'Art Nouveau poster illustration', NULL), (10, 'Steam locomotive', 'concept', 'steam locomotive train', NULL), (11, 'Aurora borealis', 'concept', 'aurora borealis northern lights', NULL)) AS t(seq, name, category, search, birth_year)"""
-_query("seed_subjects", f"SELECT seq, name, category, replace(name, ' ', '_') AS folder, birth_year FROM {_SEEDS}", "")(lambda s, d: seeds.load_subjects(s).select("seq", "name", "category", "folder", "birth_year"))
-_query("seed_category", f"SELECT seq - 6 AS seq, name, category FROM {_SEEDS} WHERE category = 'setting'", "")(lambda s, d: seeds.load_subjects(s, category="Setting").select("seq", "name", "category"))
-_query("seed_union_limit", f"SELECT seq, name, category FROM {_SEEDS} WHERE seq < 5", "")(lambda s, d: seeds.load_subjects(s, limit=5).select("seq", "name", "category"))
-_query("seed_query", f"SELECT name, coalesce(search, name) AS query FROM {_SEEDS}", "")(lambda s, d: seeds.load_subjects(s).select("name", "query"))
+_SEEDS = "SELECT p_partkey AS seq, p_name AS name, CASE WHEN p_partkey % 4 = 0 THEN ' ' WHEN p_partkey % 4 = 1 THEN 'Setting ' ELSE p_brand END AS raw, CASE WHEN p_partkey % 3 = 0 THEN p_type WHEN p_partkey % 3 = 1 THEN '' END AS search FROM part"
+_SEEDS = f"SELECT *, CASE WHEN trim(raw) = '' THEN 'identity' ELSE lower(trim(raw)) END AS category, coalesce(nullif(trim(regexp_replace(name, '[^A-Za-z0-9]+', '_', 'g'), '_'), ''), 'unknown') AS folder FROM ({_SEEDS})"
+
+
+def _seeds(s: SparkSession, d: str, limit: int | None = None) -> DataFrame:
+    """Parts as seed entries: some without a category, some with a search of their own."""
+    key = F.col("p_partkey")
+    raw = F.when(key % 4 == 0, " ").when(key % 4 == 1, "Setting ").otherwise(F.col("p_brand"))
+    search = F.when(key % 3 == 0, F.col("p_type")).when(key % 3 == 1, "")
+    return seeds.prepared(v.table(s, d, "part").select(key.alias("seq"), F.col("p_name").alias("name"), raw.alias("category"), search.alias("search")), limit)
+
+
+_query("seed_subjects", f"SELECT seq, name, category, folder FROM ({_SEEDS})", "")(lambda s, d: _seeds(s, d).select("seq", "name", "category", "folder"))
+_query("seed_category", f"SELECT seq, name, category FROM ({_SEEDS}) WHERE category = 'setting'", "")(lambda s, d: _seeds(s, d).where("category = 'setting'").select("seq", "name", "category"))
+_query("seed_union_limit", f"SELECT seq, name, category FROM ({_SEEDS}) ORDER BY seq LIMIT 5", "")(lambda s, d: _seeds(s, d, 5).select("seq", "name", "category"))
+_query("seed_query", f"SELECT name, coalesce(nullif(search, ''), name) AS query FROM ({_SEEDS})", "")(lambda s, d: _seeds(s, d).select("name", "query"))
 
 _query("harvest_plan", "SELECT r.i * (SELECT count(*) FROM v_subjects) + s.id AS seq, r.source, s.name AS subject, s.category FROM v_subjects s, (VALUES (0, 'commons'), (1, 'loc')) AS r(i, source)")(
     lambda s, d: archive.harvest_plan(["commons", "loc"], v.subjects(s, d).withColumn("seq", F.col("id"))))

@@ -12,7 +12,7 @@ from urllib.request import Request, urlopen
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 from pyspark.sql.window import Window
 
 from ..functions.text import IMAGE_MIMES, clean_html, extract_year, stripped, truthy, without_file_prefix
@@ -30,19 +30,21 @@ def candidates(responses: DataFrame, limit: int | None = None) -> DataFrame:
     """Candidate records from `responses` (source, subject, category, response: JSON text).
 
     Pages without an image, of another kind or without a url yield nothing. `limit` holds for
-    each subject of each source and counts what is yielded, in the order of the pages.
+    each subject of each source and counts what is yielded, in the order of the pages. Of a search by
+    pages (turn, page) these stay, too.
     """
+    where = [c for c in ("turn", "page") if c in responses.columns]
     pages = F.map_entries(F.from_json("response", RESPONSE).getField("query").getField("pages"))
-    rows = responses.select("source", "subject", "category", F.posexplode(pages).alias("pos", "page"))
-    info = F.get(F.col("page.value.imageinfo"), F.lit(0))
-    rows = rows.select("source", "subject", "category", "pos", F.col("page.value.title").alias("raw_title"), info.alias("i"))
+    rows = responses.select("source", "subject", "category", *where, F.posexplode(pages).alias("pos", "result"))
+    info = F.get(F.col("result.value.imageinfo"), F.lit(0))
+    rows = rows.select("source", "subject", "category", *where, "pos", F.col("result.value.title").alias("raw_title"), info.alias("i"))
     meta = lambda key: truthy(F.col("i.extmetadata")[key]["value"])
     rows = rows.where(F.coalesce("i.mime", F.lit("")).isin(*IMAGE_MIMES) & (F.coalesce("i.url", F.lit("")) != ""))
     title = without_file_prefix(F.col("raw_title"))
     artist, credit = clean_html(meta("Artist")), clean_html(meta("Credit"))
     licence = stripped(F.coalesce(meta("LicenseShortName"), meta("License"), meta("UsageTerms"), F.lit("unknown")))
     out = rows.select(
-        "source", "subject", "category", "pos", title.alias("title"), artist.alias("photographer"), extract_year(meta("DateTimeOriginal"), title).alias("year"),
+        "source", "subject", "category", *where, "pos", title.alias("title"), artist.alias("photographer"), extract_year(meta("DateTimeOriginal"), title).alias("year"),
         F.col("i.url").alias("remote_url"), F.coalesce(truthy(F.col("i.descriptionurl")), F.col("i.url")).alias("source_url"), licence.alias("licence"), F.coalesce(artist, credit).alias("attribution"), F.col("i.width").alias("width"), F.col("i.height").alias("height"))
     return out if limit is None else top_per_subject(out, limit)
 
@@ -123,11 +125,70 @@ class ArchiveReader(DataSourceReader):
         bucket = Bucket(float(self.options.get("rate", 2.0)) / min(LANES, len(self.subjects)), 1, sleep=sleep)
         limit = max(1, min(int(self.options.get("limit", SEARCH_MAX)), SEARCH_MAX))
         for subject in mine:
-            query = urlencode({"action": "query", "format": "json", "generator": "search", "gsrsearch": subject["query"], "gsrnamespace": 6, "gsrlimit": limit, "prop": "imageinfo", "iiprop": "url|size|mime|extmetadata"})
-            request = Request(f"{self.options['url']}?{query}", headers={"User-Agent": "provlake"})
             bucket.take()
-            body = fetched(lambda: urlopen(request, timeout=60).read())  # noqa: B023
-            yield self.options.get("source", "commons"), subject["subject"], subject["category"], body.decode()
+            yield self.options.get("source", "commons"), subject["subject"], subject["category"], searched(self.options["url"], subject["query"], limit)
+
+
+def searched(url: str, query: str, limit: int, more: dict[str, str] | None = None) -> str:
+    """The response to a search; `more` is what the response before it gave to go on with."""
+    asked = {"action": "query", "format": "json", "generator": "search", "gsrsearch": query, "gsrnamespace": 6, "gsrlimit": limit, "prop": "imageinfo", "iiprop": "url|size|mime|extmetadata"}
+    request = Request(f"{url}?{urlencode(asked | (more or {}))}", headers={"User-Agent": "provlake"})
+    return fetched(lambda: urlopen(request, timeout=60).read()).decode()
+
+
+class ArchivePages(DataSource):
+    """spark.readStream.format("archive_pages"): the responses to all searches, page after page.
+
+    The offset is the place in the list of subjects, the number of the page there and what the last response
+    gave to go on with, so a search that was stopped goes on with the page after the last one that was
+    committed. The rate holds for the whole search, and so one process asks, at the driver: a page is one
+    request and has SEARCH_MAX results at most. Options: those of ArchiveSource; limit counts the results
+    of a subject over its pages; pages: how many a micro-batch takes at most.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "archive_pages"
+
+    def schema(self) -> str:
+        return "source string, subject string, category string, turn int, page int, response string"
+
+    def simpleStreamReader(self, schema) -> PagesReader:
+        return PagesReader(self.options)
+
+
+class PagesReader(SimpleDataSourceStreamReader):
+    def __init__(self, options, sleep: Callable[[float], None] = time.sleep):
+        self.options, self.subjects = dict(options), json.loads(options["subjects"])
+        self.bucket = Bucket(float(self.options.get("rate", 2.0)), 1, sleep=sleep)
+        self.limit = max(1, int(self.options.get("limit", SEARCH_MAX)))
+
+    def initialOffset(self) -> dict:
+        return {"turn": 0, "page": 0, "more": {}}
+
+    def _next(self, at: dict) -> tuple[tuple, dict]:
+        """The row of the page at that offset, and the offset after it."""
+        subject, left = self.subjects[at["turn"]], self.limit - at["page"] * SEARCH_MAX
+        self.bucket.take()
+        body = searched(self.options["url"], subject["query"], min(left, SEARCH_MAX), at["more"])
+        row = self.options.get("source", "commons"), subject["subject"], subject["category"], at["turn"], at["page"], body
+        more = json.loads(body).get("continue") if left > SEARCH_MAX else None
+        return row, at | {"page": at["page"] + 1, "more": more} if more else {"turn": at["turn"] + 1, "page": 0, "more": {}}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        rows, at = [], start
+        while len(rows) < int(self.options.get("pages", 8)) and at["turn"] < len(self.subjects):
+            row, at = self._next(at)
+            rows.append(row)
+        return iter(rows), at
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        while start != end:
+            row, start = self._next(start)
+            yield row
+
+    def commit(self, end: dict) -> None:
+        pass
 
 
 SOURCES: dict[str, type[DataSource]] = {"commons": ArchiveSource}

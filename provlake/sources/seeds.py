@@ -37,6 +37,11 @@ def load_subjects(spark: SparkSession, category: str | None = None, from_wikidat
         entries = [e for c in wanted for e in _parsed(here / f"{c}.yaml", c)]
     names = [f.split()[0] for f in _FIELDS.split(", ")][1:]
     rows = [(i, *(e.get(n) for n in names)) for i, e in enumerate(entries)]
-    out = spark.createDataFrame(rows, _FIELDS).withColumn("category", normalise_category(F.col("category")))
+    return prepared(spark.createDataFrame(rows, _FIELDS), limit)
+
+
+def prepared(entries: DataFrame, limit: int | None = None) -> DataFrame:
+    """Seed entries (seq, name, category, search, ...) from any table, with their folder name and search query; the first `limit` by seq."""
+    out = entries.withColumn("category", normalise_category(F.col("category")))
     out = out.withColumn("folder", slugify(F.col("name"))).withColumn("query", search_query(F.col("search"), F.col("name")))
     return out if limit is None else out.orderBy("seq").limit(limit)

@@ -194,8 +194,14 @@ class Store:
         return hits[0] if len(hits) == 1 else self._latest(table, hits)
 
     def totals(self, version: int | None = None) -> dict[str, int]:
-        """pool: bytes of the complete photographs; subjects, photographs: the largest id."""
-        return self._entry(version)["totals"]
+        """pool: bytes of the complete photographs; subjects, photographs: the largest id. Without a version all are 0."""
+        version = self.version() if version is None else version
+        return self._entry(version)["totals"] if version else dict(_TOTALS)
+
+    def stream(self, name: str, version: int | None = None) -> dict:
+        """What the stream of that name has noted with its last commit."""
+        version = self.version() if version is None else version
+        return self._entry(version).get("streams", {}).get(name, {}) if version else {}
 
     def ready(self) -> tuple[bool, str | None]:
         """Whether the tables can be read as they should be; one reason for all faults."""
@@ -216,13 +222,14 @@ class Store:
         with ThreadPoolExecutor(len(rows)) as pool:
             return dict(zip(rows, pool.map(lambda x: self._written(*x), rows.items())))
 
-    def _next(self, at: int | None, tables: dict[str, list[dict]], totals: dict[str, int], new: list[str]) -> int:
+    def _next(self, at: int | None, tables: dict[str, list[dict]], totals: dict[str, int], new: list[str], streams: dict | None = None) -> int:
         """Claim the version after `at`; what was written for it goes if another writer has it."""
         version = (at or 0) + 1
         try:
             if (self.version() or 0) != (at or 0):
                 raise Conflict(f"version {at} is no longer the latest")
-            self._claim({"tables": tables, "totals": totals}, version)
+            known = self._entry(at).get("streams", {}) if at else {}
+            self._claim({"tables": tables, "totals": totals, "streams": known | (streams or {})}, version)
         except Conflict:
             self._delete(new)
             raise
@@ -240,8 +247,11 @@ class Store:
         totals = {"subjects": a[0] or 0, "photographs": b[0] or 0, "pool": b[1] or 0}
         return self._next(at, tables, totals, [f["path"] for x in tables.values() for f in x])
 
-    def commit_changes(self, subjects: DataFrame, photographs: DataFrame, at: int | None = None, before: DataFrame | None = None) -> int:
-        """As `commit`, given only the rows that are new or changed since `at`; `before` are the photographs of these keys as they were, if they are at hand."""
+    def commit_changes(self, subjects: DataFrame, photographs: DataFrame, at: int | None = None, before: DataFrame | None = None, streams: dict | None = None) -> int:
+        """As `commit`, given only the rows that are new or changed since `at`; `before` are the photographs of these keys as they were, if they are at hand.
+
+        `streams` is noted with the commit, by name, so that a stream knows which of its batches are in.
+        """
         at = self.version() if at is None else at
         entry = self._entry(at) if at else {"tables": {t: [] for t in _SCHEMAS}, "totals": dict(_TOTALS)}
         put = self._put({"subjects": subjects, "photographs": photographs.select(*PHOTOGRAPHS.names)})
@@ -262,7 +272,7 @@ class Store:
         old = entry["totals"]
         totals = {"pool": old["pool"] + more[0], "photographs": max(old["photographs"], more[1] or 0), "subjects": max(old["subjects"], top or 0)}
         tables = {t: [*entry["tables"][t], *([put[t]] if put[t] else [])] for t in _SCHEMAS}
-        version = self._next(at, tables, totals, [f["path"] for f in put.values() if f])
+        version = self._next(at, tables, totals, [f["path"] for f in put.values() if f], streams)
         return self.compact(version)
 
     def compact(self, version: int | None = None, whole: bool = False) -> int:
@@ -287,16 +297,16 @@ class Store:
         return version
 
     def transact(self, change: Callable[[int | None], tuple], tries: int = 20):
-        """Commit what `change` makes of the version it is given: (subjects, photographs, before, result); the result.
+        """Commit what `change` makes of the version it is given: (subjects, photographs, before, result) and perhaps what its stream notes; the result.
 
         If another writer is faster, `change` is called again with the version that writer made, so it has
         to be free of other effects, or to repeat them without harm.
         """
         for turn in range(tries):
             at = self.version()
-            subjects, photographs, before, result = change(at)
+            subjects, photographs, before, result, *streams = change(at)
             try:
-                self.commit_changes(subjects, photographs, at, before)
+                self.commit_changes(subjects, photographs, at, before, *streams)
                 return result
             except Conflict:
                 if turn == tries - 1:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,13 +13,13 @@ from ..operators.ingest import outcomes, upsert_subjects
 from ..operators.ordered import with_ids
 from ..schema import PHOTOGRAPHS, SUBJECTS
 from ..sources.fetch import land
-from ..state import TABLES, Store
+from ..state import Store
 
 #: What a run's outcome makes of a photograph's status; skipped ones stay as they are.
 _LANDS = ("complete", "failed", "duplicate", "quarantined", "pending")
 
 
-def ingest_batch(store: Store, batch: DataFrame, cap: int = 0, images: str | None = None) -> DataFrame:
+def ingest_batch(store: Store, batch: DataFrame, cap: int = 0, images: str | None = None, note: Callable[[DataFrame], dict] | None = None) -> DataFrame:
     """Ingest candidates (seq, subject, category, source, remote_url, source_url, licence, year, title, sha256, size, failure) and commit.
 
     Whatever else the batch has of the catalogue's columns is kept too: photographer, attribution, width
@@ -25,7 +27,7 @@ def ingest_batch(store: Store, batch: DataFrame, cap: int = 0, images: str | Non
 
     Running a batch again changes nothing but failed and pending rows, which are tried again. If another
     writer commits meanwhile, the batch is judged anew by what that one left. A candidate without seq or
-    remote_url is an error.
+    remote_url is an error. `note` makes of the outcomes what the log is to hold of the stream they come from.
     """
     batch = batch.withColumn("subject", slugify(F.col("subject")))
     made: list[DataFrame] = []
@@ -33,7 +35,8 @@ def ingest_batch(store: Store, batch: DataFrame, cap: int = 0, images: str | Non
     def change(at: int | None) -> tuple:
         store.drop(*made)  # of an attempt that another writer overtook
         made[:] = []
-        return _changes(store, batch, at, cap, images, made)
+        out = _changes(store, batch, at, cap, images, made)
+        return (*out, note(out[-1])) if note else out
 
     done = store.transact(change)
     store.drop(*(t for t in made if t is not done))
@@ -45,27 +48,29 @@ def _changes(store: Store, batch: DataFrame, at: int | None, cap: int, images: s
 
     Of the catalogue only the rows of the batch's urls and hashes are taken, and the log's totals.
     """
-    spark = batch.sparkSession
-    empty = lambda t: spark.createDataFrame([], TABLES[t])
-    totals = store.totals(at) if at else dict.fromkeys(("pool", "subjects", "photographs"), 0)
-    subjects = store.read("subjects", at) if at else empty("subjects")
+    near = batch.sparkSession.createDataFrame([], PHOTOGRAPHS)
     if at:
         twins = store.lookup("by_sha256", "sha256", batch.where("sha256 is not null"), at).where("not gone")
         urls = batch.select("remote_url").unionAll(twins.select("remote_url"))
         near = store.scratch(store.lookup("photographs", "remote_url", urls, at))
         made.append(near)
-    else:
-        near = empty("photographs")
-    done = outcomes(batch, near.select("remote_url", "status", "sha256"), totals["pool"], cap).where(F.col("outcome").isin(*_LANDS))
-    done = store.scratch(done.groupBy("remote_url").agg(F.max_by(F.struct("*"), F.col("seq")).alias("r")).select("r.*"))  # a batch's rows, which both tables and the files need
+    done = outcomes(batch, near.select("remote_url", "status", "sha256"), store.totals(at)["pool"], cap)
+    return landed(store, done, near, at, images, made)
+
+
+def landed(store: Store, done: DataFrame, near: DataFrame, at: int | None, images: str | None, made: list[DataFrame]) -> tuple:
+    """What outcomes make of version `at`, whose photographs with these urls are `near`: as `_changes`. Of several for one url the last counts."""
+    done = done.where(F.col("outcome").isin(*_LANDS))
+    done = store.scratch(done.groupBy("remote_url").agg(F.max_by(F.struct("*"), F.col("seq")).alias("r")).select("r.*"))  # which both tables and the files need
     made.append(done)
+    totals = store.totals(at)
+    subjects = store.read("subjects", at) if at else done.sparkSession.createDataFrame([], SUBJECTS)
 
     given = lambda f: (F.col(f.name) if f.name in done.columns else F.lit(None)).cast(f.dataType).alias(f.name)
     new = done.select("seq", "category", F.col("subject").alias("name"), *(given(f) for f in SUBJECTS if f.name not in ("id", "name", "category")))
     changed = store.scratch(upsert_subjects(subjects, new, changed=True, top=totals["subjects"]))
     made.append(changed)
-    landed = F.col("outcome") == "complete"
-    only = lambda c: F.when(landed, c)
+    only = lambda c: F.when(F.col("outcome") == "complete", c)
     fields = {
         "status": F.col("outcome"),
         "sha256": only(F.col("sha256")),
