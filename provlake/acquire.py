@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import shutil
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from .functions.text import accepted
 from .operators.ingest import resumed
 from .schema import PHOTOGRAPHS
 from .sources import archive, seeds
-from .sources.fetch import fetch
+from .sources.fetch import fetch, lanes_of
 from .state import Store
 from .streaming.ingest import ingest_batch
 
@@ -47,9 +48,10 @@ def _ingested(store: Store, found: DataFrame, home: str, cap: int, max_bytes: in
     known = store.lookup("photographs", "remote_url", found) if store.version() else store.spark.createDataFrame([], PHOTOGRAPHS)
     state = resumed(found, known.select("remote_url", "status"))
     due = accepted(F.col("licence")) & ~F.col("skip")
-    idle = [F.lit(None).cast(t).alias(n) for n, t in [("cached", "string"), ("sha256", "string"), ("size", "long"), ("failure", "string")]]
-    got = fetch(state.where(due).select(*found.columns), f"{home}/cache", max_bytes, rate, pictures=True).unionByName(state.where(~due).select(*found.columns, *idle))
+    idle = [F.lit(None).cast(t).alias(n) for n, t in [("cached", "string"), ("sha256", "string"), ("size", "long"), ("failure", "string"), ("phash", "string")]]
+    got = fetch(state.where(due).select(*found.columns), f"{home}/cache", max_bytes, rate, pictures=True).unionByName(state.where(~due).select(*found.columns, *idle), allowMissingColumns=True)
     batch = store.scratch(got)
+    shutil.rmtree(lanes_of(f"{home}/cache"), ignore_errors=True)
     try:
         return ingest_batch(store, batch, cap, f"{home}/images", note)
     finally:

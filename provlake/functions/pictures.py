@@ -1,10 +1,11 @@
-"""The structure of picture files: their size, and what is wrong with damaged ones. No pixels are decoded."""
+"""The structure of picture files: their size, and what is wrong with damaged ones; pixels and perceptual hash of PNG files."""
 
 from __future__ import annotations
 
 import re
 import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType
@@ -83,6 +84,87 @@ def examined(data: bytes) -> tuple[int | None, int | None]:
     raise NoPicture("no picture")
 
 
+#: Samples of a pixel by colour type; the weights of red, green and blue in luminance, in thousandths; side of the picture that is hashed, and of its lowest frequencies.
+_SAMPLES = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+_WEIGHTS = np.array([299, 587, 114])
+_SIDE, _LOW = 32, 8
+
+
+def _unfiltered(raw: np.ndarray, rows: int, width: int, step: int) -> np.ndarray:
+    """The pixels of PNG scan lines of `width` pixels, `step` bytes each, after the filter's number.
+
+    A byte adds to what its filter guesses from the pixels left of it, above it and above the left one; so
+    the pixels of a diagonal depend on earlier diagonals only, and are done all at once.
+    """
+    lines = raw[: rows * (width * step + 1)].reshape(rows, width * step + 1)
+    kinds, given = lines[:, 0], lines[:, 1:].reshape(rows, width, step)
+    if (kinds > 4).any():
+        raise NoPicture("bad filter")
+    out = np.zeros((rows + 1, width + 1, step), np.uint8)  # with zeros above and to the left
+    for t in range(rows + width - 1):
+        y = np.arange(max(0, t - width + 1), min(rows - 1, t) + 1)
+        x = t - y
+        a, b, c = (out[i, j].astype(np.int16) for i, j in ((y + 1, x), (y, x + 1), (y, x)))
+        to_a, to_b, to_c = np.abs(b - c), np.abs(a - c), np.abs(a + b - 2 * c)
+        nearest = np.where((to_a <= to_b) & (to_a <= to_c), a, np.where(to_b <= to_c, b, c))
+        kind = kinds[y][:, None]
+        guess = np.choose(kind, [np.zeros_like(a), a, b, (a + b) // 2, nearest])
+        out[y + 1, x + 1] = (given[y, x] + guess) & 255
+    return out[1:, 1:]
+
+
+def luminance(data: bytes) -> np.ndarray | None:
+    """The luminance of a whole PNG's pixels, 0 to 255; null for interlaced ones and those of fewer or more bits a sample than 8. Transparency is ignored."""
+    width, height = _png(data)
+    at, packed, palette = len(_PNG), [], None
+    depth, colour, interlaced = data[24], data[25], data[28]
+    if depth != 8 or colour not in _SAMPLES or interlaced:
+        return None
+    while at + 12 <= len(data):
+        n, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+        if kind == b"IDAT":
+            packed.append(data[at + 8 : at + 8 + n])
+        elif kind == b"PLTE":
+            palette = np.frombuffer(data[at + 8 : at + 8 + n], np.uint8).reshape(-1, 3)
+        at += 12 + n
+    step = _SAMPLES[colour]
+    try:
+        raw = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8)
+        pixels = _unfiltered(raw, height, width, step)
+        if colour == 3:
+            pixels = palette[pixels[:, :, 0]]
+    except (zlib.error, ValueError, IndexError, TypeError) as e:
+        raise NoPicture("bad pixels") from e
+    return (pixels[:, :, :3] @ _WEIGHTS + 500) // 1000 if pixels.shape[2] >= 3 else pixels[:, :, 0].astype(np.int64)
+
+
+def _scaled(grey: np.ndarray, side: int) -> np.ndarray:
+    """The means of `side` x `side` equal tiles, of which each may cover parts of pixels."""
+
+    def along(a: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([np.zeros((1, a.shape[1])), np.cumsum(a, 0)])
+        at = np.arange(side + 1) * a.shape[0] / side
+        low = np.minimum(at.astype(int), a.shape[0] - 1)
+        edges = sums[low] + (at - low)[:, None] * a[low]
+        return np.diff(edges, axis=0) * side / a.shape[0]
+
+    return along(along(grey.astype(float)).T).T
+
+
+def phash(data: bytes) -> str | None:
+    """A perceptual hash of a PNG in 16 hexadecimal digits: which of the lowest frequencies of its luminance exceed their median.
+
+    Null for other formats, whose pixels are not decoded. Scaled copies share it but for a few bits.
+    """
+    if not data.startswith(_PNG) or (grey := luminance(data)) is None:
+        return None
+    k = np.arange(_LOW)[:, None]
+    cosines = np.cos(np.pi * k * (2 * np.arange(_SIDE) + 1) / (2 * _SIDE))
+    low = (cosines @ _scaled(grey, _SIDE) @ cosines.T).ravel()
+    bits = low > np.median(low)
+    return f"{int(''.join('01'[int(b)] for b in bits), 2):016x}"
+
+
 @pandas_udf(BooleanType())
 def damaged(content: pd.Series) -> pd.Series:
     """Whether a file's bytes are no whole picture."""

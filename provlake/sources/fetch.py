@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Iterator
+import time
+import uuid
+from collections.abc import Callable, Iterator
 from urllib.error import HTTPError
 from urllib.request import Request, urlopen
 
@@ -12,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pictures import NoPicture, examined
+from ..functions.pictures import NoPicture, examined, phash
 from ..functions.text import cache_key
 from .archive import Bucket, fetched
 
@@ -48,48 +50,93 @@ def download(url: str, part: str, max_bytes: int = 0, timeout: float = 60.0) ->
         raise TooLarge
 
 
-def fetch(candidates: DataFrame, cache: str, max_bytes: int = 0, rate: float = 2.0, burst: int = 4, retries: int = 4, base: float = 0.5, pictures: bool = False) -> DataFrame:
+class Lane:
+    """The rate of a source over the tasks that fetch from it: each has its share, and those that are done leave theirs to the others.
+
+    A lane that is done leaves a mark in `place`, a folder that all tasks see; the others look for marks
+    once every `every` seconds. The shares never add up to more than the rate; a lane that has no
+    candidates at all keeps its own.
+    """
+
+    def __init__(self, place: str, lane: int, lanes: int, rate: float, burst: int = 4, every: float = 1.0, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.place, self.lane, self.lanes, self.rate, self.every, self.clock = place, lane, lanes, rate, every, clock
+        self.bucket = Bucket(rate / lanes, max(1, burst // lanes), clock, sleep)
+        self.seen = clock()
+        if os.path.exists(self._mark(lane)):  # of a task that runs again
+            os.remove(self._mark(lane))
+
+    def take(self) -> None:
+        if self.clock() - self.seen >= self.every:
+            self.seen = self.clock()
+            done = sum(os.path.exists(self._mark(i)) for i in range(self.lanes) if i != self.lane)
+            self.bucket.rate = max(self.rate / (self.lanes - done), 0.01)
+        self.bucket.take()
+
+    def _mark(self, lane: int) -> str:
+        return os.path.join(self.place, f"lane-{lane}")
+
+    def end(self) -> None:
+        os.makedirs(self.place, exist_ok=True)
+        open(self._mark(self.lane), "w").close()
+
+
+def lanes_of(cache: str) -> str:
+    """Where the marks of the lanes are; they are of no use once a fetch is done."""
+    return cache.rstrip("/") + ".lanes"
+
+
+def fetch(candidates: DataFrame, cache: str, max_bytes: int = 0, rate: float = 2.0, burst: int = 4, retries: int = 4, base: float = 0.5, pictures: bool = False, lanes: int = 4) -> DataFrame:
     """`candidates` with sha256, size, failure and the file below `cache` that has the bytes.
 
-    One task has all candidates of a source, so that `rate` holds for the source. Files are named
-    by source and url: a task that runs again goes on where the first one stopped. With `pictures`
-    bytes that are no whole picture are the failure `decode:...`, and width and height are the files'.
+    A source's candidates are dealt by their urls to `lanes` tasks, which share the source's `rate`; `cache`
+    is a folder that all of them see. Files are named by source and url: a task that runs again
+    goes on where the first one stopped. With `pictures` bytes that are no whole picture are the failure
+    `decode:...`, width and height are the files', and PNG files have their phash.
     """
-    rows = candidates.withColumn("cached", F.concat(F.lit(cache.rstrip("/") + "/"), cache_key(F.col("source"), F.col("remote_url"))))
+    url = F.col("remote_url")
+    rows = candidates.withColumn("cached", F.concat(F.lit(cache.rstrip("/") + "/"), cache_key(F.col("source"), url))).withColumn("_lane", F.pmod(F.hash(url), F.lit(lanes)))
+    run_id = uuid.uuid4().hex
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.makedirs(cache, exist_ok=True)
-        buckets: dict[str, Bucket] = {}
+        mine: dict[tuple[str, int], Lane] = {}
         for frame in frames:
             found = []
-            for source, url, path in zip(frame["source"], frame["remote_url"], frame["cached"]):
+            for source, url, path, lane in zip(frame["source"], frame["remote_url"], frame["cached"], frame["_lane"]):
                 try:
                     if not os.path.exists(path):
-                        buckets.setdefault(source, Bucket(rate, burst)).take()
+                        key = source, int(lane)
+                        if key not in mine:
+                            mine[key] = Lane(os.path.join(lanes_of(cache), run_id, hashlib.sha1(str(source).encode()).hexdigest()), key[1], lanes, rate, burst)
+                        mine[key].take()
                         fetched(lambda: download(url, path + ".part", max_bytes) or b"", retries, base)  # noqa: B023
                         os.replace(path + ".part", path)
                     with open(path, "rb") as f:
                         digest = hashlib.file_digest(f, "sha256").hexdigest()
                         f.seek(0)
-                        size = examined(f.read()) if pictures else (None, None)
-                    found.append((digest, os.path.getsize(path), None, *size))
+                        data = f.read() if pictures else b""
+                    told = (*examined(data), phash(data)) if pictures else (None, None, None)
+                    found.append((digest, os.path.getsize(path), None, *told))
                 except NoPicture as e:
                     os.remove(path)
-                    found.append((None, None, f"decode:{e}", None, None))
+                    found.append((None, None, f"decode:{e}", None, None, None))
                 except TooLarge:
-                    found.append((None, None, "size_cap", None, None))
+                    found.append((None, None, "size_cap", None, None, None))
                 except Exception as e:  # noqa: BLE001 - any fault of one url is that candidate's outcome
-                    found.append((None, None, str(e), None, None))
-            done = pd.DataFrame(found, columns=["sha256", "size", "failure", "width", "height"], index=frame.index)
+                    found.append((None, None, str(e), None, None, None))
+            done = pd.DataFrame(found, columns=["sha256", "size", "failure", "width", "height", "phash"], index=frame.index)
             sizes = {c: done[c].astype("Int64").fillna(frame[c].astype("Int64")) if c in frame else done[c].astype("Int64") for c in made if c in ("width", "height")}
-            yield frame.assign(sha256=done["sha256"], size=done["size"].astype("Int64"), failure=done["failure"], **sizes)
+            more = {"phash": done["phash"].astype(object).where(done["phash"].notna(), None)} if pictures else {}
+            yield frame.drop(columns="_lane").assign(sha256=done["sha256"], size=done["size"].astype("Int64"), failure=done["failure"], **sizes, **more)
+        for lane in mine.values():
+            lane.end()
 
-    made = {"sha256": "string", "size": "long", "failure": "string"} | ({"width": "int", "height": "int"} if pictures else {})
+    made = {"sha256": "string", "size": "long", "failure": "string"} | ({"width": "int", "height": "int", "phash": "string"} if pictures else {})
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields} | made
     given = [c for c in rows.columns if c not in made or c in ("width", "height")]
-    order = [*given, *(c for c in made if c not in given)]
+    order = [*(c for c in given if c != "_lane"), *(c for c in made if c not in given)]
     schema = ", ".join(f"`{c}` {types[c]}" for c in order)
-    return rows.select(*given).repartition("source").mapInPandas(run, schema)
+    return rows.select(*given).repartition("source", "_lane").mapInPandas(lambda frames: (f[order] for f in run(frames)), schema)
 
 
 def land(landed: DataFrame, images: str) -> DataFrame:

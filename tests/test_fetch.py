@@ -63,3 +63,35 @@ def test_fetch_and_land(spark, site, tmp_path):
     for _ in range(2):
         assert [tuple(r) for r in land(files, str(tmp_path / "images")).collect()] == [(1, "identity/Ann/a.png")]
     assert (tmp_path / "images/identity/Ann/a.png").read_bytes() == BODY
+
+
+def test_lanes_share_a_rate_and_hand_it_over(tmp_path):
+    """Four lanes on one clock: together they keep the rate, and the last one gets all of it."""
+    from provlake.sources.fetch import Lane
+
+    now, taken, left = [0.0] * 4, [], [2, 2, 2, 12]  # each task's own time; the one that is behind goes first
+
+    def lane(i):
+        return Lane(str(tmp_path / "lanes"), i, 4, 2.0, 4, 1.0, lambda: now[i], lambda s: now.__setitem__(i, now[i] + s))
+
+    lanes = [lane(i) for i in range(4)]
+    while any(left):
+        i = min((k for k in range(4) if left[k]), key=lambda k: now[k])
+        lanes[i].take()
+        taken.append((now[i], i))
+        left[i] -= 1
+        if not left[i]:
+            lanes[i].end()
+    times = sorted(t for t, _ in taken)
+    assert all(len([t for t in times if a <= t < a + 5]) <= 2 * 5 + 4 for a in times)  # the rate and its burst
+    last = sorted(t for t, i in taken if i == 3)
+    assert last[1] - last[0] > 1.9 and 0.45 < last[-1] - last[-2] < 0.55
+
+
+def test_one_source_is_fetched_by_several_tasks(spark, site, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = [(i, "loc", f"{site}/{i}.png") for i in range(40)]
+    df = spark.createDataFrame(rows, "seq long, source string, remote_url string")
+    got = fetch(df, str(tmp_path / "cache"), rate=1000, base=0.01, lanes=4).withColumn("task", F.spark_partition_id()).collect()
+    assert len(got) == 40 and len({r.task for r in got}) > 1 and {r.sha256 for r in got} == {hashlib.sha256(BODY).hexdigest()}

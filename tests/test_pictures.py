@@ -55,3 +55,57 @@ def test_verify_and_relocate(spark, tables, tmp_path):  # noqa: F811
     new.write_bytes(jpeg()[:-5])
     found = pool.verified(scan, pool.listing(spark, str(tmp_path)))
     assert found.first().verdict == "corrupt" and pool.repaired(tables[0], found).where("id = 1").first().status == "failed"
+
+
+def filtered(pixels, kinds, colour):
+    """A PNG with these pixels (rows, columns, samples), each line under its filter."""
+    import struct
+    import zlib
+
+    import numpy as np
+
+    h, w, s = pixels.shape
+    px = np.zeros((h + 1, w + 1, s), int)
+    px[1:, 1:] = pixels
+    out = bytearray()
+    for y in range(1, h + 1):
+        out.append(kinds[y - 1])
+        for x in range(1, w + 1):
+            for k in range(s):
+                a, b, c = px[y, x - 1, k], px[y - 1, x, k], px[y - 1, x - 1, k]
+                p = a + b - c
+                near = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+                out.append((px[y, x, k] - [0, a, b, (a + b) // 2, near][kinds[y - 1]]) % 256)
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    palette = chunk(b"PLTE", bytes(range(256)) * 3) if colour == 3 else b""
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, colour, 0, 0, 0)) + palette + chunk(b"IDAT", zlib.compress(bytes(out))) + chunk(b"IEND", b"")
+
+
+def test_pixels_of_all_filters():
+    import numpy as np
+
+    from provlake.functions.pictures import NoPicture, luminance
+
+    r = np.random.default_rng(1)
+    for colour, samples in ((0, 1), (2, 3), (4, 2), (6, 4)):
+        pixels = r.integers(0, 256, (11, 7, samples))
+        got = luminance(filtered(pixels, [0, 1, 2, 3, 4, 4, 3, 2, 1, 4, 0], colour))
+        want = (pixels[:, :, :3] @ [299, 587, 114] + 500) // 1000 if samples >= 3 else pixels[:, :, 0]
+        assert (got == want).all()
+    with pytest.raises(NoPicture):
+        luminance(filtered(r.integers(0, 256, (2, 2, 1)), [0, 0], 0)[:-20])
+
+
+def test_scaled_pictures_share_their_hash():
+    import numpy as np
+
+    from provlake.functions.pictures import phash
+
+    r = np.random.default_rng(2)
+    coarse = np.kron(r.integers(0, 256, (9, 12)), np.ones((20, 20), int))
+    smooth = sum(np.roll(coarse, k, i) for i in (0, 1) for k in range(12)) // 24
+    versions = [smooth, smooth[::2, ::2], smooth[::3, ::3], np.kron(smooth, np.ones((2, 2), int))]
+    hashes = [int(phash(filtered(v[:, :, None], [1] * len(v), 0)), 16) for v in versions]
+    other = int(phash(filtered(255 - smooth[:, ::-1, None], [2] * len(smooth), 0)), 16)
+    assert all((hashes[0] ^ h).bit_count() <= 4 for h in hashes) and (hashes[0] ^ other).bit_count() > 12
+    assert phash(b"\xff\xd8\xff\xd9") is None
