@@ -136,7 +136,8 @@ def fetch(candidates: DataFrame, cache: str, max_bytes: int = 0, rate: float = 2
     given = [c for c in rows.columns if c not in made or c in ("width", "height")]
     order = [*(c for c in given if c != "_lane"), *(c for c in made if c not in given)]
     schema = ", ".join(f"`{c}` {types[c]}" for c in order)
-    return rows.select(*given).repartition("source", "_lane").mapInPandas(lambda frames: (f[order] for f in run(frames)), schema)
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number, or small candidates are put together in one task
+    return rows.select(*given).repartition(tasks, "source", "_lane").mapInPandas(lambda frames: (f[order] for f in run(frames)), schema)
 
 
 def land(landed: DataFrame, images: str) -> DataFrame:
