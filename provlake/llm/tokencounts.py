@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, distinct_spans, utf8
-from .tokens import piece_starts, tokenizer
+from .tokens import Recent, piece_starts, tokenizer
 
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
@@ -75,31 +75,26 @@ def _lengths(path: str, texts: list[bytes]) -> Iterator[int]:
         yield from map(len, _sentencepiece(path).encode(some, num_threads=1) if path.endswith(".model") else tokenizer(path).encode_batch_fast(some, add_special_tokens=False))
 
 
-_KNOWN: dict[str, dict[bytes, int]] = {}
+_KNOWN: dict[str, Recent] = {}
 
 
 def _counted(path: str, data: np.ndarray, off: np.ndarray, keep: int) -> np.ndarray:
-    """The number of ids of each row. Short pieces that this worker has met are looked up; beyond `keep` of them they are forgotten and met anew."""
+    """The number of ids of each row. Short pieces that this worker has met of late are looked up."""
     places, gone = _splitter(path)
     starts = places(data, off)
     ends = np.r_[starts[1:], len(data)][: len(starts)]
     inner = np.r_[~np.isin(starts[1:], off), False][: len(starts)]  # pieces whose end is within their row
     ends = ends - gone * inner
     _, first, which = distinct_spans(data, starts, ends)
-    known = _KNOWN.setdefault(path, {})
-    if len(known) > keep:
-        known.clear()
     raw = data.tobytes()
     words = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-    fresh = [w for w in words if w not in known]
-    new = dict(zip(fresh, _lengths(path, fresh)))
-    n = np.fromiter((new[w] if w in new else known[w] for w in words), np.int64, len(words))
-    known.update((w, x) for w, x in new.items() if len(w) <= 64)
+    got = _KNOWN.setdefault(path, Recent(keep)).of(words, lambda new: _lengths(path, new))
+    n = np.fromiter(got, np.int64, len(got))
     total = np.r_[0, np.cumsum(n[which])]
     return np.diff(total[np.searchsorted(starts, off)])
 
 
-def counts(docs: DataFrame, path: str, most: int = 1024, batch: int = 1 << 22, keep: int = 200_000) -> DataFrame:
+def counts(docs: DataFrame, path: str, most: int = 1024, batch: int = 1 << 22, keep: int = 1_000_000) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit): one row for each row of `docs` (doc_id, text; others ignored).
 
     `path` is a tokenizers file (.json) or a sentencepiece model (.model); no special tokens are added.

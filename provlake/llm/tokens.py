@@ -10,6 +10,7 @@ space and none of the punctuation, so no cut falls inside it.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from functools import cache
 
 import numpy as np
@@ -67,25 +68,46 @@ def spread(flat: np.ndarray, counts: np.ndarray, which: np.ndarray) -> tuple[np.
     return flat[at], ends
 
 
-_KNOWN: dict[str, dict[bytes, bytes]] = {}
+class Recent:
+    """Values of byte strings, of which those asked for of late are kept: `keep` at most, half of them at least. Long strings are made anew each time."""
 
+    def __init__(self, keep: int, longest: int = 64):
+        self.half, self.longest = max(1, keep // 2), longest
+        self.young: dict[bytes, object] = {}
+        self.old: dict[bytes, object] = {}
 
-def encode_rows(path: str, data: np.ndarray, off: np.ndarray, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    def of(self, keys: list[bytes], make: Callable[[list[bytes]], Iterable]) -> list:
+        """The values of distinct keys; `make` gives those of the keys that are not there."""
+        young, old = self.young, self.old
+        missing = [k for k in keys if k not in young and k not in old]
+        new = dict(zip(missing, make(missing) if missing else ()))
+        out = []
+        for k in keys:
+            value = young.get(k)
+            if value is None:
+                value = new[k] if k in new else old[k]
+                if len(k) <= self.longest:
+                    young[k] = value
+            out.append(value)
+        if len(young) > self.half:
+            self.old, self.young = young, {}
+        return out
+
+
+_KNOWN: dict[str, Recent] = {}
+
+
+def encode_rows(path: str, data: np.ndarray, off: np.ndarray, keep: int = 600_000) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all rows, and where each row's begin (one more at the end).
 
-    Pieces this worker has met with the same tokenizer are looked up by their bytes; beyond `most` they are forgotten and met anew.
+    Pieces this worker has met of late with the same tokenizer are looked up by their bytes.
     """
     starts = piece_starts(data, off)
     ends = np.r_[starts[1:], len(data)][: len(starts)]
     _, first, which = distinct_spans(data, starts, ends)
-    known = _KNOWN.setdefault(path, {})
-    if len(known) > most:
-        known.clear()
     text = data.tobytes()
     words = [text[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-    new = [w for w in words if w not in known]
-    known.update(zip(new, encode_words(path, new) if new else []))
-    got = [known[w] for w in words]
+    got = _KNOWN.setdefault(path, Recent(keep)).of(words, lambda new: encode_words(path, new))
     counts = np.fromiter(map(len, got), np.int64, len(got)) // 4
     ids, at = spread(np.frombuffer(b"".join(got), "<u4"), counts, which)
     return ids, np.r_[0, at][np.searchsorted(starts, off)]
