@@ -69,6 +69,13 @@ def parser() -> argparse.ArgumentParser:
     sub.add_parser("stats")
     sub.add_parser("verify").add_argument("--repair", action="store_true")
     sub.add_parser("subjects").add_argument("--category")
+    sub.add_parser("curated", help="the seed subjects with what is known of them").add_argument("--category")
+    old = sub.add_parser("migrate", help="take over tables and files of the older layout")
+    old.add_argument("people")
+    old.add_argument("photographs")
+    gone = sub.add_parser("expire", help="remove old versions")
+    gone.add_argument("--age", type=float, default=7 * 24 * 3600.0, help="seconds")
+    gone.add_argument("--keep", type=int, default=1)
     sub.add_parser("people", help=argparse.SUPPRESS)
     return p
 
@@ -103,6 +110,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
         print(" ".join(f"{k}={v}" for k, v in pool.verify_summary(verdicts).first().asDict().items()), file=out)
         if args.repair:
             Store(spark, root).commit(subjects, pool.repaired(photos, verdicts))
+    elif args.command == "curated":
+        found = seeds.load_subjects(spark, category=args.category)
+        known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("?"))
+        years = F.when(F.coalesce("birth_year", "death_year").isNull(), "?").otherwise(F.concat(known("birth_year"), F.lit("-"), known("death_year")))
+        _show(found.orderBy("seq").select("folder", "category", years, known("occupation"), "query"), 100_000, out)
+    elif args.command == "migrate":
+        moved = pool.migrated(Store(spark, root), spark.read.parquet(args.people), spark.read.parquet(args.photographs), images)
+        print(f"moved={moved.where('moved').count()}", file=out)
+    elif args.command == "expire":
+        print(f"removed={len(Store(spark, root).expire(args.age, args.keep))}", file=out)
     else:
         category = "identity" if args.command == "people" else args.category
         _show(catalog.subjects_with_counts(photos, subjects, category=category), 100_000, out)

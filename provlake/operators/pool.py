@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.pictures import damaged
 from ..functions.text import truthy
+from ..state import Store
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
@@ -49,6 +50,20 @@ def relocate(photos: DataFrame, root: str) -> DataFrame:
     return named.dropDuplicates(["old", "path"]).mapInPandas(run, "id long, path string, moved boolean")
 
 
+def migrated(store: Store, people: DataFrame, photographs: DataFrame, images: str) -> DataFrame:
+    """Take over a store of the older layout: commit its tables in the present one and move its files to their new places; what was moved, as `relocate` tells it.
+
+    The commit comes first: a file that is not moved yet is found by a repeated run, and verification tells it.
+    """
+    from .catalog import photo_scan
+    from .ingest import migrate_legacy
+
+    subjects, photos = migrate_legacy(people, photographs)
+    version = store.commit(subjects, photos)
+    moved = store.scratch(relocate(photo_scan(store.read("photographs", version), store.read("subjects", version)), images))
+    return moved
+
+
 def manifest(photos: DataFrame, files: DataFrame, dest: str) -> DataFrame:
     """(id, category, subject, path, dst, present): what publishing would do."""
     there = files.select("path", F.lit(True).alias("present"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import catalog, ingest, ordered, pool
+from ..operators.pages import Listing
 from ..sources import archive, seeds
+from ..state import Store
+from ..streaming.ingest import ingest_batch
 from . import views as v
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -217,3 +222,64 @@ _query("verify_repair", f"SELECT p.id, CASE WHEN verdict IN ('missing', 'corrupt
     lambda s, d: pool.repaired(v.photographs(s, d), _verdicts(s, d)).select("id", "status"))
 _query("orphans", "SELECT p.id FROM v_photographs p WHERE NOT EXISTS (SELECT 1 FROM v_subjects s WHERE s.id = p.subject_id AND s.id % 10 <> 0)")(
     lambda s, d: catalog.orphans(v.photographs(s, d), v.subjects(s, d).where("id % 10 <> 0")).select("id"))
+
+
+def _store(s: SparkSession, d: str) -> Store:
+    """A store with all photographs; a later version has every seventh as failed, and some new ones."""
+    base = s.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not s.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "/tmp/checkpoints/provlake"
+        os.makedirs(base, exist_ok=True)
+    out = Store(s, f"{base.rstrip('/')}/store-{uuid.uuid4().hex}")
+    out._fs.deleteOnExit(out._path(out.root))
+    photos, subjects = _both(s, d)
+    out.commit(subjects, photos)
+    old = out.read("photographs").where("id % 7 = 0")
+    new = old.where("id % 5 = 0").withColumns({"id": F.col("id") + 1_000_000_000, "remote_url": F.concat("remote_url", F.lit("?new")), "status": F.lit("pending"), "sha256": F.lit(None), "filename": F.lit(None), "file_size": F.lit(None)})
+    out.commit_changes(subjects.limit(0), old.withColumn("status", F.lit("failed")).unionByName(new))
+    return out
+
+
+_STORED = """, stored AS (SELECT id, subject_id, category, subject, source, licence, CASE WHEN id % 7 = 0 THEN 'failed' ELSE status END AS status, file_size, remote_url, sha256 FROM v_photographs
+  UNION ALL SELECT id + 1000000000, subject_id, category, subject, source, licence, 'pending', NULL, remote_url || '?new', NULL FROM v_photographs WHERE id % 7 = 0 AND id % 5 = 0)"""
+
+
+def _stored(s: SparkSession, d: str) -> DataFrame:
+    return _store(s, d).read("photographs").select("id", "remote_url", "status", "file_size", "sha256")
+
+
+def _looked_up(s: SparkSession, d: str) -> DataFrame:
+    """The photographs with the hashes and urls of every fiftieth order."""
+    store = _store(s, d)
+    wanted = v.table(s, d, "orders").where("o_orderkey % 50 = 0").select(F.sha2(F.col("o_orderkey").cast("string").cast("binary"), 256).alias("sha256"))
+    return store.lookup("photographs", "sha256", wanted).select("id", "remote_url", "status")
+
+
+def _cursor_page(s: SparkSession, d: str) -> DataFrame:
+    """The page after the first one, and what the filter matches in all."""
+    listing = Listing.of(_store(s, d), rows=5000)
+    first = listing.page(50, category="setting")
+    second = listing.page(50, first.cursor, category="setting")
+    return second.rows.select("id", "category", "subject", "status").withColumn("total", second.total.select("n").scalar())
+
+
+_query("store_changes", f"{_STORED} SELECT id, remote_url, status, file_size, sha256 FROM stored")(_stored)
+_query("store_lookup", f"{_STORED} SELECT id, remote_url, status FROM stored WHERE sha256 IN (SELECT sha256(CAST(o_orderkey AS VARCHAR)) FROM orders WHERE o_orderkey % 50 = 0)")(_looked_up)
+_query("store_cursor_page", f"{_STORED} SELECT id, category, subject, status, count(*) OVER () AS total FROM stored WHERE status = 'complete' AND category = 'setting' ORDER BY category, subject, id LIMIT 50 OFFSET 50")(_cursor_page)
+
+
+def _ingested(s: SparkSession, d: str) -> DataFrame:
+    """Candidates ingested into a store in two batches, the second with the failed ones tried again with success."""
+    store = _store(s, d)
+    rows = v.candidates(s, d).where("seq < 1000000000").withColumns({"subject": F.concat(F.lit("S "), F.col("seq") % 10), "source_url": F.col("remote_url"), "year": F.lit(None).cast("int"), "title": F.lit(None).cast("string"), "width": F.lit(None).cast("int")})
+    ingest_batch(store, rows)
+    ingest_batch(store, rows.withColumns({"failure": F.lit(None).cast("string"), "width": F.lit(800), "sha256": F.concat(F.lit("again"), F.col("seq").cast("string"))}).where("seq % 13 = 5"))
+    return store.read("photographs").where("remote_url not like '%archive.example/%.jpg%' or remote_url like '%archive.example/%/%'").select("remote_url", "status", "sha256", "width", F.col("file_size"))
+
+
+_query("ingest_store", """, _seen AS (SELECT *, """ + v._accepted("licence") + """ AS free, row_number() OVER (PARTITION BY sha256, """ + v._accepted("licence") + """ AND failure IS NULL ORDER BY seq) AS turn FROM v_candidates WHERE seq < 1000000000)
+  SELECT remote_url, CASE WHEN NOT free THEN 'quarantined' WHEN failure IS NOT NULL OR turn = 1 THEN 'complete' ELSE 'duplicate' END AS status,
+    CASE WHEN free AND failure IS NOT NULL THEN 'again' || seq WHEN free AND turn = 1 THEN sha256 END AS sha256, CAST(CASE WHEN free AND failure IS NOT NULL THEN 800 END AS INT) AS width,
+    CASE WHEN free AND (failure IS NOT NULL OR turn = 1) THEN size END AS file_size FROM _seen""")(_ingested)
