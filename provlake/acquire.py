@@ -23,7 +23,7 @@ from .streaming.ingest import ingest_batch
 _DETAILS = ["wikidata_id", "birth_year", "death_year", "occupation"]
 
 
-def acquire(spark: SparkSession, home: str, search_url: str, source: str = "commons", category: str | None = None, limit: int = archive.SEARCH_MAX, cap: int = 0, max_bytes: int = 15 * 1024**2, rate: float = 2.0) -> DataFrame:
+def acquire(spark: SparkSession, home: str, search_url: str, source: str = "commons", category: str | None = None, limit: int = archive.SEARCH_MAX, cap: int = 0, max_bytes: int = 15 * 1024**2, rate: float = 2.0, max_megapixels: float = 12.0) -> DataFrame:
     """Search for the seed subjects and ingest what is found; the outcomes, one row for each candidate taken.
 
     Only candidates that are free to use and not settled by an earlier run are fetched. What a
@@ -33,7 +33,7 @@ def acquire(spark: SparkSession, home: str, search_url: str, source: str = "comm
     reader = spark.read.format(archive.register(spark, source)).options(url=search_url, subjects=wanted, limit=limit, source=source, rate=rate)
     found = archive.candidates(reader.load(), limit).join(subjects, ["subject", "category"])
     found = found.withColumn("seq", (F.col("turn") * archive.SEARCH_MAX + F.col("pos")).cast("long")).drop("turn", "pos")
-    return _ingested(Store(spark, f"{home}/metadata"), found, home, cap, max_bytes, rate)
+    return _ingested(Store(spark, f"{home}/metadata"), found, home, cap, max_bytes, rate, max_megapixels)
 
 
 def _subjects(spark: SparkSession, category: str | None) -> tuple[DataFrame, str]:
@@ -43,13 +43,13 @@ def _subjects(spark: SparkSession, category: str | None) -> tuple[DataFrame, str
     return subjects.drop("query"), json.dumps(wanted)
 
 
-def _ingested(store: Store, found: DataFrame, home: str, cap: int, max_bytes: int, rate: float, note: Callable[[DataFrame], dict] | None = None) -> DataFrame:
+def _ingested(store: Store, found: DataFrame, home: str, cap: int, max_bytes: int, rate: float, max_megapixels: float, note: Callable[[DataFrame], dict] | None = None) -> DataFrame:
     """Fetch what is due of the candidates, and ingest them."""
     known = store.lookup("photographs", "remote_url", found) if store.version() else store.spark.createDataFrame([], PHOTOGRAPHS)
     state = resumed(found, known.select("remote_url", "status"))
     due = accepted(F.col("licence")) & ~F.col("skip")
     idle = [F.lit(None).cast(t).alias(n) for n, t in [("cached", "string"), ("sha256", "string"), ("size", "long"), ("failure", "string"), ("phash", "string")]]
-    got = fetch(state.where(due).select(*found.columns), f"{home}/cache", max_bytes, rate, pictures=True).unionByName(state.where(~due).select(*found.columns, *idle), allowMissingColumns=True)
+    got = fetch(state.where(due).select(*found.columns), f"{home}/cache", max_bytes, rate, pictures=True, max_megapixels=max_megapixels).unionByName(state.where(~due).select(*found.columns, *idle), allowMissingColumns=True)
     batch = store.scratch(got)
     shutil.rmtree(lanes_of(f"{home}/cache"), ignore_errors=True)
     try:
@@ -58,7 +58,7 @@ def _ingested(store: Store, found: DataFrame, home: str, cap: int, max_bytes: in
         store.drop(batch)
 
 
-def acquire_stream(spark: SparkSession, home: str, search_url: str, source: str = "commons", category: str | None = None, limit: int = archive.SEARCH_MAX, cap: int = 0, max_bytes: int = 15 * 1024**2, rate: float = 2.0, pages: int = 8) -> StreamingQuery:
+def acquire_stream(spark: SparkSession, home: str, search_url: str, source: str = "commons", category: str | None = None, limit: int = archive.SEARCH_MAX, cap: int = 0, max_bytes: int = 15 * 1024**2, rate: float = 2.0, max_megapixels: float = 12.0, pages: int = 8) -> StreamingQuery:
     """As `acquire`, but page by page: a run that was stopped goes on with the page after the last one it committed.
 
     Where it stands is kept below `home` and in the store's log; a page that was committed is not
@@ -79,7 +79,7 @@ def acquire_stream(spark: SparkSession, home: str, search_url: str, source: str
             return
         found = store.scratch(batch.withColumn("seq", seq).drop("turn", "page", "pos").join(subjects.drop("turn"), ["subject", "category"]))
         note = lambda done: {name: {"batch": number, "stopped": cap > 0 and not done.where("outcome = 'pending'").isEmpty()}}
-        done = _ingested(store, found, home, cap, max_bytes, rate, note)
+        done = _ingested(store, found, home, cap, max_bytes, rate, max_megapixels, note)
         store.drop(found, done)
 
     return rows.writeStream.foreachBatch(each).option("checkpointLocation", f"{home}/searches/{source}").start()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -113,8 +114,8 @@ def _unfiltered(raw: np.ndarray, rows: int, width: int, step: int) -> np.ndarray
     return out[1:, 1:]
 
 
-def luminance(data: bytes) -> np.ndarray | None:
-    """The luminance of a whole PNG's pixels, 0 to 255; null for interlaced ones and those of fewer or more bits a sample than 8. Transparency is ignored."""
+def pixels(data: bytes) -> np.ndarray | None:
+    """The pixels of a whole PNG (rows, columns, samples: grey, or red, green, blue); transparency is left out. Null for interlaced ones and those of fewer or more bits a sample than 8."""
     width, height = _png(data)
     at, packed, palette = len(_PNG), [], None
     depth, colour, interlaced = data[24], data[25], data[28]
@@ -127,28 +128,47 @@ def luminance(data: bytes) -> np.ndarray | None:
         elif kind == b"PLTE":
             palette = np.frombuffer(data[at + 8 : at + 8 + n], np.uint8).reshape(-1, 3)
         at += 12 + n
-    step = _SAMPLES[colour]
     try:
         raw = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8)
-        pixels = _unfiltered(raw, height, width, step)
-        if colour == 3:
-            pixels = palette[pixels[:, :, 0]]
+        found = _unfiltered(raw, height, width, _SAMPLES[colour])
+        return palette[found[:, :, 0]] if colour == 3 else found[:, :, :3] if colour in (2, 6) else found[:, :, :1]
     except (zlib.error, ValueError, IndexError, TypeError) as e:
         raise NoPicture("bad pixels") from e
-    return (pixels[:, :, :3] @ _WEIGHTS + 500) // 1000 if pixels.shape[2] >= 3 else pixels[:, :, 0].astype(np.int64)
 
 
-def _scaled(grey: np.ndarray, side: int) -> np.ndarray:
-    """The means of `side` x `side` equal tiles, of which each may cover parts of pixels."""
+def luminance(data: bytes) -> np.ndarray | None:
+    """The luminance of a whole PNG's pixels, 0 to 255; null where `pixels` is."""
+    found = pixels(data)
+    if found is None:
+        return None
+    return (found @ _WEIGHTS + 500) // 1000 if found.shape[2] == 3 else found[:, :, 0].astype(np.int64)
+
+
+def capped(data: bytes, megapixels: float) -> tuple[bytes, int, int] | None:
+    """A PNG of more than `megapixels` scaled down to that, as PNG, with its new width and height; null if its pixels can't be decoded."""
+    if not data.startswith(_PNG) or (found := pixels(data)) is None:
+        return None
+    scale = (megapixels / (found.shape[0] * found.shape[1] / 1e6)) ** 0.5
+    height, width = (max(1, int(n * scale)) for n in found.shape[:2])
+    small = np.stack([_scaled(found[:, :, c], height, width) for c in range(found.shape[2])], 2)
+    lines = np.zeros((height, 1 + width * found.shape[2]), np.uint8)
+    lines[:, 1:] = np.clip(np.rint(small), 0, 255).astype(np.uint8).reshape(height, -1)
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    head = struct.pack(">IIBBBBB", width, height, 8, 2 if found.shape[2] == 3 else 0, 0, 0, 0)
+    return _PNG + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + chunk(b"IEND", b""), width, height
+
+
+def _scaled(plane: np.ndarray, rows: int, columns: int) -> np.ndarray:
+    """The means of `rows` x `columns` equal tiles, of which each may cover parts of pixels."""
 
-    def along(a: np.ndarray) -> np.ndarray:
+    def along(a: np.ndarray, n: int) -> np.ndarray:
         sums = np.concatenate([np.zeros((1, a.shape[1])), np.cumsum(a, 0)])
-        at = np.arange(side + 1) * a.shape[0] / side
+        at = np.arange(n + 1) * a.shape[0] / n
         low = np.minimum(at.astype(int), a.shape[0] - 1)
         edges = sums[low] + (at - low)[:, None] * a[low]
-        return np.diff(edges, axis=0) * side / a.shape[0]
+        return np.diff(edges, axis=0) * n / a.shape[0]
 
-    return along(along(grey.astype(float)).T).T
+    return along(along(plane.astype(float), rows).T, columns).T
 
 
 def phash(data: bytes) -> str | None:
@@ -160,7 +180,7 @@ def phash(data: bytes) -> str | None:
         return None
     k = np.arange(_LOW)[:, None]
     cosines = np.cos(np.pi * k * (2 * np.arange(_SIDE) + 1) / (2 * _SIDE))
-    low = (cosines @ _scaled(grey, _SIDE) @ cosines.T).ravel()
+    low = (cosines @ _scaled(grey, _SIDE, _SIDE) @ cosines.T).ravel()
     bits = low > np.median(low)
     return f"{int(''.join('01'[int(b)] for b in bits), 2):016x}"
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pictures import NoPicture, examined, phash
+from ..functions.pictures import NoPicture, capped, examined, phash
 from ..functions.text import cache_key
 from .archive import Bucket, fetched
 
@@ -85,13 +85,15 @@ def lanes_of(cache: str) -> str:
     return cache.rstrip("/") + ".lanes"
 
 
-def fetch(candidates: DataFrame, cache: str, max_bytes: int = 0, rate: float = 2.0, burst: int = 4, retries: int = 4, base: float = 0.5, pictures: bool = False, lanes: int = 4) -> DataFrame:
+def fetch(candidates: DataFrame, cache: str, max_bytes: int = 0, rate: float = 2.0, burst: int = 4, retries: int = 4, base: float = 0.5, pictures: bool = False, lanes: int = 4, max_megapixels: float = 0) -> DataFrame:
     """`candidates` with sha256, size, failure and the file below `cache` that has the bytes.
 
     A source's candidates are dealt by their urls to `lanes` tasks, which share the source's `rate`; `cache`
     is a folder that all of them see. Files are named by source and url: a task that runs again
     goes on where the first one stopped. With `pictures` bytes that are no whole picture are the failure
-    `decode:...`, width and height are the files', and PNG files have their phash.
+    `decode:...`, width and height are the files', and PNG files have their phash. Of those with more than
+    `max_megapixels` (0: no limit) a PNG is scaled down to that, and what is told is the new file's,
+    but for the phash; other formats, for which there is no codec, are the failure `megapixel_cap`.
     """
     url = F.col("remote_url")
     rows = candidates.withColumn("cached", F.concat(F.lit(cache.rstrip("/") + "/"), cache_key(F.col("source"), url))).withColumn("_lane", F.pmod(F.hash(url), F.lit(lanes)))
@@ -111,11 +113,22 @@ def fetch(candidates: DataFrame, cache: str, max_bytes: int = 0, rate: float = 2
                         mine[key].take()
                         fetched(lambda: download(url, path + ".part", max_bytes) or b"", retries, base)  # noqa: B023
                         os.replace(path + ".part", path)
+                    told = (None, None, None)
+                    if pictures:
+                        with open(path, "rb") as f:
+                            data = f.read()
+                        told = (*examined(data), phash(data))
+                        if max_megapixels > 0 and (told[0] or 0) * (told[1] or 0) > max_megapixels * 1e6:
+                            small = capped(data, max_megapixels)
+                            if small is None:
+                                found.append((None, None, "megapixel_cap", None, None, None))
+                                continue
+                            with open(path + ".capped", "wb") as f:
+                                f.write(small[0])
+                            os.replace(path + ".capped", path)
+                            told = (*small[1:], told[2])
                     with open(path, "rb") as f:
                         digest = hashlib.file_digest(f, "sha256").hexdigest()
-                        f.seek(0)
-                        data = f.read() if pictures else b""
-                    told = (*examined(data), phash(data)) if pictures else (None, None, None)
                     found.append((digest, os.path.getsize(path), None, *told))
                 except NoPicture as e:
                     os.remove(path)

@@ -95,3 +95,23 @@ def test_one_source_is_fetched_by_several_tasks(spark, site, tmp_path):
     df = spark.createDataFrame(rows, "seq long, source string, remote_url string")
     got = fetch(df, str(tmp_path / "cache"), rate=1000, base=0.01, lanes=4).withColumn("task", F.spark_partition_id()).collect()
     assert len(got) == 40 and len({r.task for r in got}) > 1 and {r.sha256 for r in got} == {hashlib.sha256(BODY).hexdigest()}
+
+
+def test_megapixel_cap(spark, tmp_path):
+    """What the cap does to files that are there already, as after a fetch."""
+    import numpy as np
+
+    from provlake.functions.pictures import examined
+    from tests.test_pictures import filtered, jpeg
+
+    rows = [(1, "loc", "http://x/big.png", filtered(np.full((40, 60, 3), 7), [0] * 40, 2)), (2, "loc", "http://x/big.jpg", jpeg(300, 200)), (3, "loc", "http://x/small.jpg", jpeg(3, 2))]
+    df = spark.createDataFrame([r[:3] for r in rows], "seq long, source string, remote_url string")
+    (tmp_path / "cache").mkdir()
+    for _, source, url, data in rows:
+        (tmp_path / "cache" / f"{source}-{hashlib.sha1(url.encode()).hexdigest()}{url[-4:]}").write_bytes(data)
+    for _ in range(2):  # the second time the scaled file is there
+        got = {r.seq: r for r in fetch(df, str(tmp_path / "cache"), pictures=True, max_megapixels=0.0006).collect()}
+        assert (got[1].width, got[1].height, got[1].failure) == (30, 20, None) and len(got[1].phash) == 16
+        assert (got[2].failure, got[2].sha256, got[2].width) == ("megapixel_cap", None, None) and (got[3].width, got[3].height, got[3].phash) == (3, 2, None)
+        data = open(got[1].cached, "rb").read()
+        assert examined(data) == (30, 20) and hashlib.sha256(data).hexdigest() == got[1].sha256 and len(data) == got[1].size

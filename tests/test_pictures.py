@@ -109,3 +109,19 @@ def test_scaled_pictures_share_their_hash():
     other = int(phash(filtered(255 - smooth[:, ::-1, None], [2] * len(smooth), 0)), 16)
     assert all((hashes[0] ^ h).bit_count() <= 4 for h in hashes) and (hashes[0] ^ other).bit_count() > 12
     assert phash(b"\xff\xd8\xff\xd9") is None
+
+
+def test_pictures_over_the_cap_are_scaled():
+    import numpy as np
+
+    from provlake.functions.pictures import capped, phash, pixels
+
+    r = np.random.default_rng(3)
+    for colour, samples in ((2, 3), (0, 1), (6, 4)):
+        coarse = np.kron(r.integers(0, 256, (6, 8, samples)), np.ones((10, 10, 1), int))
+        data = filtered(coarse, [i % 5 for i in range(60)], colour)
+        small, width, height = capped(data, 60 * 80 / 1e6 / 4)
+        assert (width, height) == examined(small) == (40, 30)
+        assert (pixels(small) == coarse[::2, ::2, : min(samples, 3)]).all()  # tiles of one colour keep it
+        assert (int(phash(small), 16) ^ int(phash(data), 16)).bit_count() <= 4
+    assert capped(jpeg(300, 20), 0.001) is None
