@@ -73,3 +73,26 @@ def test_run_from_search_to_pool(spark, tmp_path):
     again = acquire(spark, str(tmp_path / "h"), f"http://127.0.0.1:{server.server_port}/search", category="identity", rate=1000)
     assert again.count() == 0 and run("stats")[:2] == ["by_category", "identity"]  # all is settled
     server.shutdown()
+
+
+def test_migration_moves_files_and_old_versions_go(spark, tmp_path):
+    def run(*argv):
+        out = io.StringIO()
+        assert cli.main(["--home", str(tmp_path / "home"), *argv], spark, out) == 0
+        return out.getvalue()
+
+    people = "id long, name string, wikidata_id string, birth_year int, death_year int, occupation string"
+    photos = "id long, person_id long, source string, source_url string, licence string, remote_url string, file_size long, filename string, sha256 string, status string"
+    spark.createDataFrame([(1, "Ann_B", None, 1900, None, None)], people).write.parquet(str(tmp_path / "people"))
+    spark.createDataFrame([(4, 1, "loc", "s", "CC0", "https://a/4.png", 3, "x.png", None, "complete"), (5, 1, "loc", "s", "CC0", "https://a/5.png", None, None, None, "pending")], photos).write.parquet(str(tmp_path / "photos"))
+    folder = tmp_path / "home/images/Ann_B"
+    folder.mkdir(parents=True)
+    (folder / "x.png").write_bytes(png())
+    old = ["migrate", str(tmp_path / "people"), str(tmp_path / "photos")]
+    assert run(*old) == "moved=1\n" and (tmp_path / "home/images/identity/Ann_B/x.png").read_bytes() == png()
+    assert run("verify") == "ok=1 missing=0 corrupt=0 mismatch=0\n"
+    assert run(*old) == "moved=0\n" and run("list").splitlines()[0] == "1 photographs"
+    assert run("expire") == "removed=0\n" and run("expire", "--age=-1") == "removed=1\n" and run("list", "--status", "").splitlines()[0] == "2 photographs"
+    lines = run("curated", "--category", "identity").splitlines()
+    assert lines[0].split("\t")[:3] == ["Albert_Einstein", "identity", "1879-1955"] and len(lines) == 3
+    assert run("curated", "--category", "concept").splitlines()[0].split("\t")[2:] == ["?", "?", "Art Nouveau poster illustration"]
