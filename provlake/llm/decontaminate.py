@@ -200,22 +200,29 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, shingle: int =
     """The rows of `docs`, all columns, in which no window of any item occurs.
 
     Null and empty texts have no words and stay; repeated rows stay or go together; null ids are ids like any other.
+    With several blocks of items each notes the rows that it hits, and all go at once; as `measure`, it needs the same
+    partitions of `docs` each time then.
     """
+    own = "_row" + "_" * max(map(len, docs.columns))
+    numbered = docs.withColumn(own, F.monotonically_increasing_id())
 
-    def without(docs: DataFrame, sent) -> DataFrame:
+    def scanned(docs: DataFrame, sent, hit: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in blocks(batches, "text", _BYTES):
-                yield batch.filter(pa.array([not x for x in _scan(batch, sent.value)[1]], pa.bool_()))
+                yield batch.filter(pa.array([bool(x) == hit for x in _scan(batch, sent.value)[1]], pa.bool_()))
 
         return docs.mapInArrow(run, docs.schema)
 
-    last = None
+    hits = last = None
     for sent in _indexes(docs, benchmark, size, shingle, block):
         if last is not None:
-            docs = written(without(docs, last), "clean")
+            here = written(scanned(numbered.select(own, "text"), last, True).select(own), "hits")
             last.destroy()
+            hits = here if hits is None else hits.union(here)
         last = sent
-    return without(docs, last)
+    if hits is None:
+        return scanned(docs, last, False)
+    return scanned(numbered, last, False).join(hits.distinct(), own, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
