@@ -116,6 +116,18 @@ def written_apart(df: DataFrame, name: str, apart: str) -> tuple[DataFrame, Data
     return out[0], out[1]
 
 
+@contextmanager
+def freeing(spark: SparkSession) -> Iterator[None]:
+    """Have Spark delete the shuffle files of what is executed within as soon as each execution ends."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, distinct_spans, dropped, mixed, utf8, word_spans, written, written_apart
+from .common import LOWER, distinct_spans, dropped, freeing, mixed, utf8, word_spans, written, written_apart
 from .packed import ROW, by_block, by_part, column_of, joined, numbered, one_by_one, pack, pack64, rows, split, spread_over, together, unpack, unpack64, with_column
 
 K = 5
@@ -334,7 +334,8 @@ def score(docs: DataFrame, train, order: int = 3, parts: int | None = None, limi
         return {r.h % (1 << 64) for r in found}
 
     def counted(asks: DataFrame, run, k: int) -> DataFrame:
-        out = written(asks.repartition(parts // _TOGETHER, "part").sortWithinPartitions("part", "block").mapInArrow(lambda batches: _parts(batches, run), _ANSWER), f"order{k}")
+        with freeing(spark):
+            out = written(asks.repartition(parts // _TOGETHER, "part").sortWithinPartitions("part", "block").mapInArrow(lambda batches: _parts(batches, run), _ANSWER), f"order{k}")
         if keep:
             out.where("kind = 'table'").select("part", "payload").write.mode("overwrite").option("compression", "zstd").parquet(f"{model}/order={k}")
         return out
