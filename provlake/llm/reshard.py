@@ -18,6 +18,9 @@ from pyspark.sql.window import Window
 
 from .common import on_exit, shared_dir, written
 
+#: Rows to a bucket, over all shards; there are 64 buckets and as many as shuffle partitions at least.
+_BUCKET = 1 << 20
+
 
 def min_cost_flow(sizes: list[int], capacities: list[int]) -> list[tuple[int, int, int]]:
     """(old, new, bytes) of the cheapest flow that places all `sizes` within `capacities`.
@@ -75,10 +78,12 @@ def place(docs: DataFrame, old: Column, n_old: int, n_new: int, capacities: list
     own; null ids are ids like any other; an empty table gives no rows.
     """
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    buckets = buckets or max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), old.cast("int").alias("old_shard"))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)).cast("int"))
     rows = written(rows.withColumn("class", -F.floor(F.log2("size")).cast("int")), "sized")
+    if buckets is None:
+        buckets = max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // _BUCKET))
+    # the row's number is hashed too, so that rows alike in id and text are dealt like any others
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "row"), F.lit(buckets)).cast("int"))
 
     parts = rows.groupBy("old_shard", "class", "bucket").agg(F.sum("size").alias("bytes"))
     before = Window.partitionBy("old_shard").orderBy("class", "bucket").rowsBetween(Window.unboundedPreceding, -1)
