@@ -21,7 +21,8 @@ SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 #: A-Z to a-z, all other bytes unchanged.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Masks of the first 0 to 8 bytes of a little-endian 64-bit number.
+FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _LONG = 64
 
 
@@ -192,7 +193,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     at = np.flatnonzero((n > 0) & (n <= _LONG))
     done = 0
     while len(at):
-        chunk = words[starts[at] + done] & _FIRST[np.minimum(n[at] - done, 8)]
+        chunk = words[starts[at] + done] & FIRST[np.minimum(n[at] - done, 8)]
         out[at] = mixed(out[at] ^ chunk)
         done += 8
         at = at[n[at] > done]
@@ -208,7 +209,7 @@ def _alike(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.nda
     words = eights(data)
     at, done = np.flatnonzero(ok & (n > 8) & (n <= _LONG) & (other != np.arange(len(n)))), 0
     while len(at):
-        last = _FIRST[np.minimum(n[at] - done, 8)]
+        last = FIRST[np.minimum(n[at] - done, 8)]
         ok[at] &= (words[starts[at] + done] & last) == (words[starts[other[at]] + done] & last)
         done += 8
         at = at[n[at] > done]

@@ -7,14 +7,14 @@ carries it is a candidate for the start that the shingle's offset implies. Candi
 would begin or end outside the document fall to the positional and length bounds; the rest are
 verified word by word and byte by byte.
 
-The benchmark is a stated query set: it is taken in blocks of at most `block` items or about
-_TEXTS bytes, one after the other; a block is sent to the tasks, every document is held against
-it, and it is released before the next. With one block documents are not shuffled.
+The benchmark is a stated query set: it is taken in blocks, one after the other. Items are cut
+into pieces of _STEP windows, so a block has at most `block` pieces, _WORDS words and _TEXTS
+bytes, and its index takes some 60 bytes a word. A block is sent to the tasks, every document is
+held against it, and it is released before the next. With one block documents are not shuffled.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,22 +22,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, mixed, span_hashes, utf8, word_spans, written
+from .common import FIRST, LOWER, blocks, distinct_spans, eights, mixed, span_hashes, utf8, word_spans, written
 
 _LOWER = np.frombuffer(LOWER, np.uint8)
 #: The bytes of `[\x00-\x2F\x3A-\x60\x7B-\x7F]`.
 _GAP = np.zeros(256, bool)
 _GAP[[*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 _BYTES = 1 << 21
-_TEXTS = 1 << 25
+#: Windows of a piece of an item; words and bytes of a block of pieces.
+_STEP = 1 << 15
+_WORDS = 1 << 20
+_TEXTS = 1 << 23
+#: Candidates that a task holds at a time.
+_AT_ONCE = 1 << 18
 
 
-def _words(column: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased bytes; start, end and row of each word; hash of each word."""
     data, off = utf8(column)
     data = _LOWER[data]
     starts, ends, row = word_spans(data, off, _GAP)
-    return data.tobytes(), starts, ends, row, span_hashes(data, starts, ends)
+    return data, starts, ends, row, span_hashes(data, starts, ends)
 
 
 def _runs(h: np.ndarray, width: int) -> np.ndarray:
@@ -49,42 +54,78 @@ def _runs(h: np.ndarray, width: int) -> np.ndarray:
     return mixed(out)
 
 
+def _numbers(ids: np.ndarray, width: int) -> np.ndarray:
+    """For each run of `width` words, by its first word, a number that runs of the same words share and no others.
+
+    Numbers of short runs make those of runs twice as long, so nothing is left to hashes.
+    """
+    pair = lambda a, b: np.unique(a * (b.max(initial=0) + 1) + b, return_inverse=True)[1]
+    out, have, power, span = None, 0, ids, 1
+    while True:
+        if width & span:
+            n = max(0, len(ids) - have - span + 1)
+            out = power[:n] if out is None else pair(out[:n], power[have : have + n])
+            have += span
+        if span << 1 > width:
+            return out
+        n = max(0, len(power) - span)
+        power, span = pair(power[:n], power[span : span + n]), span << 1
+
+
 class _Index:
-    """The windows of one block of items, by shingle."""
-
-    def __init__(self, items: list[tuple[str, str | None]], size: int, shingle: int):
-        text, at, end, row, h = _words(pa.array([x for _, x in items], pa.string()))
-        first = np.searchsorted(row, np.arange(len(items) + 1))
-        self.windows: dict[bytes, int] = {}
-        self.hashes: list[np.ndarray] = []
-        found = defaultdict(set)
-        for i, (name, _) in enumerate(items):
-            a, b = first[i], first[i + 1]
-            length = min(size, b - a)
-            for s in range(a, b - length + 1 if length else a):
-                key = b" ".join(text[at[k] : end[k]] for k in range(s, s + length))
-                w = self.windows.setdefault(key, len(self.windows))
-                if w == len(self.hashes):
-                    self.hashes.append(h[s : s + length])
-                found[w].add(name)
-        self.texts = list(self.windows)
-        self.items = [sorted(found[w]) for w in range(len(self.texts))]
-        self.parts = [_runs(x, min(shingle, len(x))) for x in self.hashes]
-        self.widths = [min(shingle, len(x)) for x in self.hashes]
-        self.tokens = {k: np.unique(np.concatenate([p for p, w in zip(self.parts, self.widths) if w == k])) for k in sorted(set(self.widths))}
-
-    def order(self, counts: dict[tuple[int, int], int]) -> None:
-        """Keep of each window its rarest shingle: {width: (hashes, windows by hash, offsets by hash)}."""
-        by = {k: defaultdict(list) for k in self.tokens}
-        for w, (parts, k) in enumerate(zip(self.parts, self.widths)):
-            best = min(range(len(parts)), key=lambda i: (counts.get((k, int(parts[i])), 0), int(parts[i]), i))
-            by[k][int(parts[best])].append((w, best))
+    """The windows of one block of pieces, by shingle; all its parts are flat arrays.
+
+    text, at, end, h: the words of the pieces. start, length: each distinct window's first word and number of words.
+    cut, items: the names of a window's items are names[items[cut[w] : cut[w + 1]]].
+    """
+
+    def __init__(self, names: list[str], texts: pa.Array, size: int, shingle: int):
+        data, at, end, row, h = _words(texts)
+        self.names = sorted(set(names))
+        place = {x: i for i, x in enumerate(self.names)}
+        item = np.array([place[x] for x in names], np.int64)
+        ids = distinct_spans(data, at, end)[2].astype(np.int64)
+        first = np.searchsorted(row, np.arange(len(names) + 1))
+        words = np.diff(first)
+        lengths = np.minimum(words, size)
+        start, length, cut, items = [], [], [0], []
+        for n in np.unique(lengths[lengths > 0]).tolist():
+            mine = np.flatnonzero(lengths == n)
+            times = words[mine] - n + 1
+            begin = np.repeat(first[mine] - np.cumsum(times) + times, times) + np.arange(times.sum())
+            kinds, one, which = np.unique(_numbers(ids, n)[begin], return_index=True, return_inverse=True)
+            pairs = np.unique(which * len(self.names) + np.repeat(item[mine], times))
+            start.append(begin[one])
+            length.append(np.full(len(kinds), n))
+            cut.extend((cut[-1] + np.cumsum(np.bincount(pairs // len(self.names), minlength=len(kinds)))).tolist())
+            items.append(pairs % len(self.names))
+        flat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
+        self.start, self.length, self.cut, self.items = flat(start, np.int32), flat(length, np.int32), np.array(cut, np.int64), flat(items, np.int32)
+        self.text, self.at, self.end, self.h = data, at.astype(np.int32), end.astype(np.int32), h
+        self.width = np.minimum(self.length, shingle)
+        self.shingles = {int(k): _runs(h, int(k)) for k in np.unique(self.width)}
+        self.tokens = {}
+        for k in self.shingles:
+            of = np.flatnonzero(self.width == k)
+            most = int((self.length[of] - k).max())
+            self.tokens[k] = np.unique(np.concatenate([self.shingles[k][self.start[of[self.length[of] - k >= j]] + j] for j in range(most + 1)]))
+
+    def order(self, counts: dict[int, np.ndarray]) -> None:
+        """Keep of each window its rarest shingle, by the counts of `tokens`: {width: (hashes, ends by hash, windows, offsets)}."""
         self.prefix = {}
-        for k, x in by.items():
-            keys = np.array(sorted(x), np.uint64)
-            pairs = [x[int(q)] for q in keys]
-            self.prefix[k] = keys, np.cumsum([0, *map(len, pairs)]), np.array([p for q in pairs for p in q], np.int64)
-        self.parts = self.tokens = None
+        for k, keys in self.tokens.items():
+            of = np.flatnonzero(self.width == k)
+            best, best_n, offset = np.full(len(of), len(keys)), np.full(len(of), np.iinfo(np.int64).max), np.zeros(len(of), np.int64)
+            for j in range(int((self.length[of] - k).max()) + 1):
+                on = np.flatnonzero(self.length[of] - k >= j)
+                token = np.searchsorted(keys, self.shingles[k][self.start[of[on]] + j])
+                n = counts[k][token]
+                less = (n < best_n[on]) | ((n == best_n[on]) & (token < best[on]))
+                best[on[less]], best_n[on[less]], offset[on[less]] = token[less], n[less], j
+            by = np.argsort(best, kind="stable")
+            used, many = np.unique(best[by], return_counts=True)
+            self.prefix[k] = keys[used], np.r_[0, np.cumsum(many)], of[by].astype(np.int32), offset[by].astype(np.int32)
+        self.shingles = self.tokens = self.width = None
 
 
 def _found(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,17 +140,47 @@ def _found(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[ok], k[ok]
 
 
+def _pieces(benchmark: DataFrame, size: int) -> DataFrame:
+    """(item, text, words): the items' texts in pieces that share size - 1 words, so that each window is in one; those without words go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "text", _TEXTS):
+            data, starts, ends, row, _ = _words(batch.column("text"))
+            first = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+                for p in range(a, max(b - size + 1, a + 1) if b > a else a, _STEP):
+                    q = min(b, p + _STEP + size - 1)
+                    yield pa.RecordBatch.from_arrays([batch.column("item").slice(i, 1), pa.array([data[starts[p] : ends[q - 1]].tobytes().decode()]), pa.array([q - p])], ["item", "text", "words"])
+
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").distinct()
+    return items.mapInArrow(run, "item string, text string, words long")
+
+
+def _dealt(pieces: DataFrame, block: int) -> list[tuple[int, int]]:
+    """Ranges [a, b) of the column `bucket`, each a block of at most `block` pieces, _WORDS words and _TEXTS bytes, but for a bucket that alone has more."""
+    out, held = [], np.zeros(3, np.int64)
+    limit = np.array([block, _WORDS, _TEXTS])
+    for r in pieces.groupBy("bucket").agg(F.count(F.lit(1)), F.sum("words"), F.sum(F.octet_length("text"))).orderBy("bucket").collect():
+        held += np.array(r[1:])
+        if not out or (held > limit).any():
+            out.append((r[0], r[0] + 1))
+            held = np.array(r[1:])
+        out[-1] = out[-1][0], r[0] + 1
+    return out
+
+
 def _indexes(docs: DataFrame, benchmark: DataFrame, size: int, shingle: int, block: int) -> Iterator:
     """The blocks' indexes as broadcast variables, one at a time, each with its windows' shingles ordered by rarity; the first may be empty."""
     sc = docs.sparkSession.sparkContext
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
-    many = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    of = max(1, -(-many[0] // block), -(-many[1] // _TEXTS))
-    for b in range(of):
-        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(of)) == b).collect() if of > 1 else items.collect()
-        index = _Index(sorted((r[0], r[1]) for r in rows if r[1]), size, shingle)
-        if not index.texts and b:
-            continue
+    pieces = written(_pieces(benchmark, size), "items")
+    many = pieces.agg(F.count(F.lit(1)), F.sum("words"), F.sum(F.octet_length("text"))).first()
+    full = max(-(-(n or 0) // most) for n, most in zip(many, (block, _WORDS, _TEXTS)))
+    # 64 buckets to a block, so that blocks fill up to their bounds whatever the hashes do
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("item", "text"), F.lit(64 * full)) if full > 1 else F.lit(0).cast("long"))
+    for a, b in _dealt(pieces, block) or [(0, 1)]:
+        rows = pieces.where(F.col("bucket").between(a, b - 1)).select("item", "text").orderBy("item", "text").toArrow().combine_chunks()
+        index = _Index(rows.column("item").to_pylist(), rows.column("text").combine_chunks(), size, shingle)
+        totals = {k: np.zeros(len(x), np.int64) for k, x in index.tokens.items()}
         sent = sc.broadcast(index.tokens)
 
         def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -123,36 +194,74 @@ def _indexes(docs: DataFrame, benchmark: DataFrame, size: int, shingle: int, blo
                     total[k] += np.bincount(pair % len(keys), minlength=len(keys))
             for k, n in total.items():
                 some = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k)), pa.array(sent.value[k][some].view(np.int64)), pa.array(n[some])], ["k", "h", "n"])
-
-        counts = docs.select("text").mapInArrow(count, "k long, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n"))
-        index.order({(r.k, r.h % (1 << 64)): r.n for r in counts.collect()} if index.texts else {})
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k)), pa.array(some), pa.array(n[some])], ["k", "token", "n"])
+
+        if totals:
+            counts = docs.select("text").mapInArrow(count, "k long, token long, n long").groupBy("k", "token").agg(F.sum("n").alias("n")).toArrow()
+            k, token, n = (counts.column(c).to_numpy() for c in ("k", "token", "n"))
+            for width, total in totals.items():
+                total[token[k == width]] = n[k == width]
+        index.order(totals)
         sent.destroy()
         yield sc.broadcast(index)
 
 
+def _same_words(data: np.ndarray, at: np.ndarray, end: np.ndarray, index: _Index, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether words `a` of a batch and words `b` of the index, whose hashes agree, have the same bytes. Words of one length up to 8 never share a hash."""
+    n = end[a] - at[a]
+    ok = n == index.end[b] - index.at[b]
+    on, done = np.flatnonzero(ok & (n > 8)), 0
+    if len(on):
+        mine, other = eights(data), eights(index.text)
+    while len(on):
+        last = FIRST[np.minimum(n[on] - done, 8)]
+        ok[on] &= (mine[at[a[on]] + done] & last) == (other[index.at[b[on]] + done] & last)
+        done += 8
+        on = on[ok[on] & (n[on] > done)]
+    return ok
+
+
+def _candidates(h: np.ndarray, index: _Index) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(first word of a possible window in the batch, window), some _AT_ONCE at a time."""
+    for k, (keys, cut, windows, offsets) in index.prefix.items():
+        pos, hit = _found(keys, _runs(h, k))
+        times = cut[hit + 1] - cut[hit]
+        upto = np.r_[0, np.cumsum(times)]
+        low = 0
+        while low < upto[-1]:
+            high = min(low + _AT_ONCE, upto[-1])
+            nth = np.arange(low, high)
+            p = np.searchsorted(upto, nth, "right") - 1
+            at = cut[hit[p]] + nth - upto[p]
+            yield pos[p] - offsets[at], windows[at]
+            low = high
+
+
 def _scan(batch: pa.RecordBatch, index: _Index) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[list[str]]]:
     """For each row: words, runs of hit words, ids of the items whose windows occur."""
-    text, at, end, row, h = _words(batch.column("text"))
+    data, at, end, row, h = _words(batch.column("text"))
     n = batch.num_rows
     first = np.searchsorted(row, np.arange(n + 1))
     cover = np.zeros(len(h) + 1, np.int64)
-    items: list[set[str]] = [set() for _ in range(n)]
-    for k, (keys, cut, pairs) in index.prefix.items():
-        pos, hit = _found(keys, _runs(h, k))
-        times = cut[hit + 1] - cut[hit]
-        pos, w, offset = np.repeat(pos, times), *(pairs[np.repeat(cut[hit + 1] - np.cumsum(times), times) + np.arange(times.sum())].T if len(pos) else np.zeros((2, 0), np.int64))
-        for s, x in zip((pos - offset).tolist(), w.tolist()):
-            want = index.hashes[x]
-            if s < 0 or s + len(want) > len(h):
-                continue
-            r = row[s]
-            if s + len(want) > first[r + 1] or not np.array_equal(h[s : s + len(want)], want):
-                continue
-            if b" ".join(text[at[i] : end[i]] for i in range(s, s + len(want))) == index.texts[x]:
-                cover[s] += 1
-                cover[s + len(want)] -= 1
-                items[r].update(index.items[x])
+    seen = [np.zeros(0, np.int64)]
+    for s, w in _candidates(h, index):
+        fits = (s >= 0) & (s + index.length[w] <= len(h))
+        s, w = s[fits].astype(np.int64), w[fits]
+        fits = s + index.length[w] <= first[row[s] + 1]
+        s, w = s[fits], w[fits]
+        j = 0
+        while True:  # word by word; what differs is out
+            on = np.flatnonzero(index.length[w] > j)
+            if not len(on):
+                break
+            a, b = s[on] + j, index.start[w[on]] + j
+            ok = np.ones(len(s), bool)
+            ok[on] = h[a] == index.h[b]
+            ok[on[ok[on]]] = _same_words(data, at, end, index, a[ok[on]], b[ok[on]])
+            s, w, j = s[ok], w[ok], j + 1
+        np.add.at(cover, s, 1)
+        np.add.at(cover, s + index.length[w], -1)
+        seen.append(np.unique(row[s] * len(index.start) + w))
     covered = np.r_[False, np.cumsum(cover[:-1]) > 0, False]
     covered = np.flatnonzero(covered[1:] != covered[:-1])
     runs: list[list[tuple[int, int]]] = [[] for _ in range(n)]
@@ -160,6 +269,10 @@ def _scan(batch: pa.RecordBatch, index: _Index) -> tuple[np.ndarray, list[list[t
         for r in range(row[a], row[b - 1] + 1):  # windows of neighbouring rows may touch
             if first[r] < first[r + 1]:
                 runs[r].append((max(a, int(first[r])) - int(first[r]), min(b, int(first[r + 1])) - int(first[r])))
+    items: list[set[str]] = [set() for _ in range(n)]
+    for pair in np.unique(np.concatenate(seen)).tolist():
+        r, w = divmod(pair, len(index.start))
+        items[r].update(index.names[i] for i in index.items[index.cut[w] : index.cut[w + 1]].tolist())
     return np.diff(first), runs, [sorted(x) for x in items]
 
 
