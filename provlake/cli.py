@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .acquire import acquire
-from .operators import catalog, pool
+from .operators import catalog, pool, publication
+from .operators.digests import Digests, stamps
 from .schema import PHOTOGRAPHS, SUBJECTS
 from .sources import archive, seeds
 from .state import Store
@@ -67,7 +68,9 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--dest", default=os.environ.get("DATASET_DIR", "./data"))
             c.add_argument("--mode", choices=["symlink", "copy"], default="symlink")
     sub.add_parser("stats")
-    sub.add_parser("verify").add_argument("--repair", action="store_true")
+    check = sub.add_parser("verify")
+    check.add_argument("--repair", action="store_true")
+    check.add_argument("--max-age", type=float, default=30 * 24 * 3600.0, help="seconds after which a file is read again though it looks unchanged")
     sub.add_parser("subjects").add_argument("--category")
     sub.add_parser("curated", help="the seed subjects with what is known of them").add_argument("--category")
     old = sub.add_parser("migrate", help="take over tables and files of the older layout")
@@ -101,12 +104,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
         _show(catalog.list_photographs(photos, subjects, limit=args.limit, **filters).select("id", "category", "subject", F.coalesce(F.col("year").cast("string"), F.lit("----")), "licence", "status", "filename"), args.limit, out)
     elif args.command == "export":
         scan = catalog.photo_scan(photos, subjects).where(catalog.predicate(licences=split_csv(args.licence), subject=args.subject, category=args.category))
-        result = pool.export_summary(pool.publish(pool.manifest(scan, pool.listing(spark, images), args.dest), images, args.mode)).first()
-        print(" ".join(f"{k}={v}" for k, v in result.asDict().items()), file=out)
+        result = publication.published(pool.manifest(scan, stamps(spark, images), args.dest), images, args.dest, args.mode)
+        print(" ".join(f"{k}={v}" for k, v in result.items()), file=out)
     elif args.command == "stats":
         _show(catalog.stats(photos, subjects).orderBy("section", F.desc("n"), "k"), 1000, out)
     elif args.command == "verify":
-        verdicts = pool.verified(catalog.photo_scan(photos, subjects), pool.listing(spark, images))
+        verdicts = pool.verified(catalog.photo_scan(photos, subjects), Digests(spark, f"{root}/digests").refresh(images, args.max_age))
         print(" ".join(f"{k}={v}" for k, v in pool.verify_summary(verdicts).first().asDict().items()), file=out)
         if args.repair:
             Store(spark, root).commit(subjects, pool.repaired(photos, verdicts))
