@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import catalog, ingest, ordered, pool
+from ..operators import catalog, digests, ingest, ordered, pool
 from ..operators.pages import Listing
 from ..sources import archive, seeds
 from ..state import Store
@@ -224,6 +224,24 @@ _query("orphans", "SELECT p.id FROM v_photographs p WHERE NOT EXISTS (SELECT 1 F
     lambda s, d: catalog.orphans(v.photographs(s, d), v.subjects(s, d).where("id % 10 <> 0")).select("id"))
 
 
+def _files(s: SparkSession, d: str) -> DataFrame:
+    return v.files(s, d).withColumn("length", F.octet_length("path").cast("long"))
+
+
+def _folders_sql(files: str) -> str:
+    """The digests of folders over a listing (path, sha256), lengths being those of the paths."""
+    part = lambda at: f"lower(lpad(to_hex(CAST(sum(CAST(CAST('0x' || substr(one, {at}, 15) AS BIGINT) AS HUGEINT)) % 1152921504606846976 AS BIGINT)), 15, '0'))"
+    return f"""SELECT folder, count(*) AS files, CAST(sum(length) AS BIGINT) AS bytes, {part(1)} || {part(16)} AS digest FROM (
+      SELECT length, sha256(concat_ws(chr(10), path, CAST(length AS VARCHAR), sha256)) AS one, unnest(list_transform(range(0, len(string_split(path, '/'))), lambda n: array_to_string(string_split(path, '/')[1:n], '/'))) AS folder
+      FROM (SELECT path, sha256, CAST(strlen(path) AS BIGINT) AS length FROM ({files}))) GROUP BY folder"""
+
+
+_query("pool_folders", _folders_sql("SELECT path, sha256 FROM v_files"))(lambda s, d: digests.folders(_files(s, d)))
+_LATER = "SELECT path, CASE WHEN strlen(path) % 5 = 0 AND corrupt THEN '1' ELSE sha256 END AS sha256 FROM v_files WHERE strlen(path) % 7 > 0"
+_query("pool_changed", f"SELECT folder, CASE WHEN a.digest IS NULL THEN 'new' WHEN b.digest IS NULL THEN 'gone' ELSE 'other' END AS change FROM ({_folders_sql('SELECT path, sha256 FROM v_files')}) a FULL JOIN ({_folders_sql(_LATER)}) b USING (folder) WHERE a.digest IS DISTINCT FROM b.digest")(
+    lambda s, d: digests.changed(_files(s, d), _files(s, d).where("length % 7 > 0").withColumn("sha256", F.expr("CASE WHEN length % 5 = 0 AND corrupt THEN '1' ELSE sha256 END"))))
+
+
 def _store(s: SparkSession, d: str) -> Store:
     """A store with all photographs; a later version has every seventh as failed, and some new ones."""
     base = s.conf.get("spark.checkpoint.dir", None)
