@@ -48,7 +48,8 @@ class Listing:
         version = store.version() if version is None else version
         path = f"{store.root}/listings/{version}"
         if not store._fs.exists(store._path(f"{path}/counts/_SUCCESS")):  # the last to be written
-            make(photo_scan(store.read("photographs", version), store.read("subjects", version)), path, rows, store.totals(version)["photographs"])
+            about = sum(f["rows"] for f in store._entry(version)["tables"]["photographs"])  # not the largest id: ids may lie far apart
+            make(photo_scan(store.read("photographs", version), store.read("subjects", version)), path, rows, about)
         return cls(store.spark, path)
 
     def page(self, limit: int, after: list | None = None, status: str | None = "complete", **filters) -> Page:

@@ -60,3 +60,14 @@ def test_a_listing_stays_with_its_version(store):
     store.commit_changes(store.spark.createDataFrame([], SUBJECTS), store.spark.createDataFrame([photo(900, 1)], PHOTOGRAPHS))
     assert Listing.of(store, at).page(5, status=None).total.first().n == before.total.first().n
     assert Listing.of(store).page(5, status=None).total.first().n == before.total.first().n + 1
+
+
+def test_ranges_go_by_rows_not_by_ids(spark, tmp_path):
+    out = Store(spark, str(tmp_path / "s"), 2)
+    ids = [*range(1, 61), *range(10**9, 10**9 + 60)]
+    out.commit(spark.createDataFrame([(1, "S1", "identity", None, None, None, None)], SUBJECTS), spark.createDataFrame([photo(i, 1) for i in ids], PHOTOGRAPHS))
+    listing = Listing.of(out, rows=40)
+    assert [r["n"] for r in listing.ranges] == [40, 40, 40]
+    page = listing.page(50)
+    assert [r.id for r in page.rows.collect()] == ids[:50] and page.total.first().n == 120
+    assert [r.id for r in listing.page(50, page.cursor).rows.collect()] == ids[50:100]
