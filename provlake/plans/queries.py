@@ -255,8 +255,9 @@ def _store(s: SparkSession, d: str) -> Store:
     photos, subjects = _both(s, d)
     out.commit(subjects, photos)
     old = out.read("photographs").where("id % 7 = 0")
-    new = old.where("id % 5 = 0").withColumns({"id": F.col("id") + 1_000_000_000, "remote_url": F.concat("remote_url", F.lit("?new")), "status": F.lit("pending"), "sha256": F.lit(None), "filename": F.lit(None), "file_size": F.lit(None)})
-    out.commit_changes(subjects.limit(0), old.withColumn("status", F.lit("failed")).unionByName(new))
+    new = {"id": F.col("id") + 1_000_000_000, "remote_url": F.concat("remote_url", F.lit("?new")), "status": F.lit("pending"), "sha256": F.lit(None), "filename": F.lit(None), "file_size": F.lit(None)}
+    rows = old.withColumn("new", F.explode(F.when(F.col("id") % 5 == 0, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))  # both from one read
+    out.commit_changes(subjects.limit(0), rows.withColumns({n: F.when(F.col("new"), c).otherwise(F.lit("failed") if n == "status" else F.col(n)) for n, c in new.items()}))
     return out
 
 
@@ -294,7 +295,9 @@ def _ingested(s: SparkSession, d: str) -> DataFrame:
     rows = v.candidates(s, d).where("seq < 1000000000").withColumns({"subject": F.concat(F.lit("S "), F.col("seq") % 10), "source_url": F.col("remote_url"), "year": F.lit(None).cast("int"), "title": F.lit(None).cast("string"), "width": F.lit(None).cast("int")})
     ingest_batch(store, rows)
     ingest_batch(store, rows.withColumns({"failure": F.lit(None).cast("string"), "width": F.lit(800), "sha256": F.concat(F.lit("again"), F.col("seq").cast("string"))}).where("seq % 13 = 5"))
-    return store.read("photographs").where("remote_url not like '%archive.example/%.jpg%' or remote_url like '%archive.example/%/%'").select("remote_url", "status", "sha256", "width", F.col("file_size"))
+    other = F.expr("locate('archive.example/', remote_url) = 0")
+    rest = F.expr("substr(remote_url, locate('archive.example/', remote_url) + 16)")  # as LIKE patterns these would be regular expressions
+    return store.read("photographs").where(other | ~rest.contains(".jpg") | rest.contains("/")).select("remote_url", "status", "sha256", "width", F.col("file_size"))
 
 
 _query("ingest_store", """, _seen AS (SELECT *, """ + v._accepted("licence") + """ AS free, row_number() OVER (PARTITION BY sha256, """ + v._accepted("licence") + """ AND failure IS NULL ORDER BY seq) AS turn FROM v_candidates WHERE seq < 1000000000)

@@ -38,6 +38,8 @@ _SCHEMAS = TABLES | _INDEX
 KEYS = {"subjects": ["name", "category"], "photographs": ["remote_url"]} | {n: [c, "remote_url"] for n, c in INDEXES.items()}
 BUCKETED = {"subjects": ["name", "category"], "photographs": ["remote_url"]} | {n: [c] for n, c in INDEXES.items()}
 BUCKETS = 8
+#: A table written whole gets twice as many buckets, and again, until they hold about that many rows each.
+BUCKET_ROWS = 500_000
 #: That many folders in a row of which none outweighs four times what follows it are merged.
 FAN = 4
 _TOTALS = {"pool": 0, "subjects": 0, "photographs": 0}
@@ -124,21 +126,24 @@ class Store:
         finally:
             self.spark.sql(f"DROP TABLE {name}")
 
-    def _written(self, table: str, rows: DataFrame) -> dict | None:
-        """A new folder with the rows; None if there are none."""
+    def _written(self, table: str, rows: DataFrame, about: int = 0) -> dict | None:
+        """A new folder with the rows, of which there are `about` that many; None if there are none."""
         path, name, by = f"{table}/{uuid.uuid4().hex}", f"provlake_{uuid.uuid4().hex}", BUCKETED[table]
+        buckets = self.buckets
+        while buckets * BUCKET_ROWS < about:
+            buckets *= 2
         key = F.coalesce(F.col(by[0]), F.raise_error(F.lit(f"{table} without {by[0]}")).cast(_SCHEMAS[table][by[0]].dataType)).alias(by[0])
         rows = rows.select(*(key if f.name == by[0] else F.col(f.name).cast(f.dataType) for f in _SCHEMAS[table]))
-        out = rows.repartition(self.buckets, *by).write.format("parquet").bucketBy(self.buckets, *by).sortBy(*by).option("compression", "zstd")
+        out = rows.repartition(buckets, *by).write.format("parquet").bucketBy(buckets, *by).sortBy(*by).option("compression", "zstd")
         for c in {*by, "sha256"} & set(rows.columns):
             out = out.option(f"parquet.bloom.filter.enabled#{c}", "true")
         out.option("path", f"{self.root}/{path}").saveAsTable(name)
         self.spark.sql(f"DROP TABLE {name}")
-        n = self.spark.read.parquet(f"{self.root}/{path}").count() if self._files(path) else 0  # from the files' footers
+        n = self.spark.read.schema(_SCHEMAS[table]).parquet(f"{self.root}/{path}").count() if self._files(path) else 0  # from the files' footers
         if not n:
             self._delete([path])
             return None
-        return {"path": path, "rows": n, "buckets": self.buckets}
+        return {"path": path, "rows": n, "buckets": buckets}
 
     def _files(self, path: str) -> list[str]:
         return [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/{path}")) if s.getPath().getName().startswith("part-")]
@@ -218,9 +223,9 @@ class Store:
 
     # writes
 
-    def _put(self, rows: dict[str, DataFrame]) -> dict[str, dict | None]:
+    def _put(self, rows: dict[str, DataFrame], about: Callable[[DataFrame], int] = lambda _: 0) -> dict[str, dict | None]:
         with ThreadPoolExecutor(len(rows)) as pool:
-            return dict(zip(rows, pool.map(lambda x: self._written(*x), rows.items())))
+            return dict(zip(rows, pool.map(lambda x: self._written(*x, about(x[1])), rows.items())))
 
     def _next(self, at: int | None, tables: dict[str, list[dict]], totals: dict[str, int], new: list[str], streams: dict | None = None) -> int:
         """Claim the version after `at`; what was written for it goes if another writer has it."""
@@ -238,10 +243,12 @@ class Store:
     def commit(self, subjects: DataFrame, photographs: DataFrame, at: int | None = None) -> int:
         """Write both tables whole as the version after `at`, by default after the latest."""
         at = self.version() if at is None else at
-        index = {n: photographs.where(F.col(c).isNotNull()).select(c, "remote_url", F.lit(False).alias("gone")) for n, c in INDEXES.items()}
-        put = self._put({"subjects": subjects, "photographs": photographs} | index)
+        put = self._put({"subjects": subjects, "photographs": photographs}, DataFrame.count)
+        now = {t: self._rows(t, [f] if f else []) for t, f in put.items()}
+        # from what was written: the photographs given may take a join to make
+        index = {n: now["photographs"].where(F.col(c).isNotNull()).select(c, "remote_url", F.lit(False).alias("gone")) for n, c in INDEXES.items()}
+        put |= self._put(index, DataFrame.count)
         tables = {t: [f] if f else [] for t, f in put.items()}
-        now = {t: self._rows(t, tables[t]) for t in TABLES}
         complete = F.when(F.col("status") == "complete", F.col("file_size"))
         a, b = now["subjects"].agg(F.max("id")).first(), now["photographs"].agg(F.max("id"), F.sum(complete)).first()
         totals = {"subjects": a[0] or 0, "photographs": b[0] or 0, "pool": b[1] or 0}
@@ -259,7 +266,7 @@ class Store:
         if before is None:
             before = self.lookup("photographs", "remote_url", now["photographs"], at) if at else self.spark.createDataFrame([], PHOTOGRAPHS)
         was = before.select("remote_url", F.struct("id", "sha256", "status", "file_size").alias("was"))
-        pairs = now["photographs"].select("remote_url", "id", "sha256", "status", "file_size").join(was, "remote_url", "left")
+        pairs = self.scratch(now["photographs"].select("remote_url", "id", "sha256", "status", "file_size").join(was, "remote_url", "left"))  # which both indexes and the totals take
         index = {}
         for n, c in INDEXES.items():
             old, new = F.col(f"was.{c}"), F.col(c)
@@ -269,6 +276,7 @@ class Store:
         bytes_ = lambda status, size: F.coalesce(F.sum(F.when(status == "complete", size)), F.lit(0))
         more = pairs.agg(bytes_(F.col("status"), F.col("file_size")) - bytes_(F.col("was.status"), F.col("was.file_size")), F.max("id")).first()
         top = now["subjects"].agg(F.max("id")).first()[0]
+        self.drop(pairs)
         old = entry["totals"]
         totals = {"pool": old["pool"] + more[0], "photographs": max(old["photographs"], more[1] or 0), "subjects": max(old["subjects"], top or 0)}
         tables = {t: [*entry["tables"][t], *([put[t]] if put[t] else [])] for t in _SCHEMAS}
@@ -287,7 +295,7 @@ class Store:
                 rows = self._rows(table, part)
                 if first == 0 and table in INDEXES:
                     rows = rows.where("not gone")
-                merged = self._written(table, rows)
+                merged = self._written(table, rows, sum(f["rows"] for f in part))
                 tables[table] = [*folders[:first], *([merged] if merged else [])]
                 new += [merged["path"]] if merged else []
         if tables == entry["tables"]:

@@ -166,3 +166,36 @@ def test_a_retry_brings_what_the_download_tells(spark, tmp_path):
     assert (row.status, row.width, row.height, row.id) == ("complete", 800, 600, 1)
     with pytest.raises(Exception, match="without seq"):
         ingest_batch(store, spark.createDataFrame([(None, *candidate(2)[1:], 1, 1)], schema))
+
+
+def test_large_tables_get_more_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(state, "BUCKET_ROWS", 10)
+    store = Store(spark, str(tmp_path / "s"), buckets=2)
+    rows = [photo(i, 1, sha256=f"{i:064d}", remote_url=f"https://a/{i}") for i in range(60)]
+    store.commit(people(spark, (1, "Ann")), photos(spark, *rows))
+    buckets = lambda: {t: [f["buckets"] for f in x] for t, x in store._entry()["tables"].items()}
+    assert buckets() == {"subjects": [2], "photographs": [8], "by_id": [8], "by_sha256": [8]}
+    store.commit_changes(people(spark), photos(spark, photo(7, 1, status="failed", sha256="x", remote_url="https://a/7"), photo(60, 1, sha256="y", remote_url="https://a/60")))
+    assert buckets()["photographs"] == [8, 2]
+    for _ in range(2):
+        got = {r.remote_url: r.status for r in store.lookup("photographs", "remote_url", spark.range(5, 80).select(F.concat(F.lit("https://a/"), "id").alias("remote_url"))).collect()}
+        assert got == {f"https://a/{i}": "failed" if i == 7 else "complete" for i in range(5, 61)} and store.read("photographs").count() == 61
+        assert [r.id for r in store.lookup("photographs", "sha256", ["x", f"{7:064d}"]).collect()] == [7] and [r.id for r in store.lookup("photographs", "id", [60]).collect()] == [60]
+        store.compact(whole=True)
+    assert buckets()["photographs"] == [8] == buckets()["by_sha256"]
+
+
+def test_a_batch_is_made_once(spark, tmp_path):
+    store, made = Store(spark, str(tmp_path / "s")), spark.sparkContext.accumulator(0)
+    store.commit(people(spark, (1, "Ann")), photos(spark, photo(1, 1, sha256=f"{3:064d}")))
+
+    @F.udf("string")
+    def hashed(x):
+        made.add(1)
+        return x
+
+    rows = spark.createDataFrame([candidate(i, sha=f"{i:064d}") for i in range(5)], CANDIDATE).withColumn("sha256", hashed("sha256"))
+    store.drop(ingest_batch(store, rows))
+    assert made.value == 5 and store.read("photographs").where("status = 'duplicate'").count() == 1
+    scratch = tmp_path / "s" / "scratch"
+    assert list(scratch.iterdir()) == []  # nothing is left of what the batch was kept in
